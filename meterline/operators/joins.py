@@ -55,7 +55,7 @@ def expand_jobs(actions: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """
     children = F.when(F.col("externalChildIDs") != "", F.split("externalChildIDs", ",")).otherwise(F.array())
     ids = F.concat(F.array(F.col("externalId")), F.coalesce(children, F.array().cast("array<string>")))
-    ids = F.filter(F.transform(ids, F.trim), lambda x: x.isNotNull() & ~x.isin("", "-"))
+    ids = F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x.isNotNull() & ~x.isin("", "-"))
     rows = actions.select("*", F.posexplode(ids).alias("position", "jobId"))
     if jobs is None:
         return rows
@@ -69,7 +69,7 @@ def expand_jobs(actions: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
 def action_documents(actions: DataFrame) -> DataFrame:
     """One document per child job id; an action with a single job repeats that id as its child."""
     children = F.filter(
-        F.transform(F.split(F.coalesce("externalChildIDs", F.lit("")), ","), F.trim),
+        F.transform(F.split(F.coalesce("externalChildIDs", F.lit("")), ","), lambda x: F.trim(x)),
         lambda x: ~x.isin("", "-"),
     )
     usable = F.filter(F.array(F.trim("externalId")), lambda x: x.isNotNull() & ~x.isin("", "-"))

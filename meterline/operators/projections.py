@@ -121,6 +121,12 @@ def accumulator_name(col: Column) -> Column:
     return F.when(F.size(parts) > 2, F.concat(F.try_element_at(parts, F.lit(3)), F.array_join(rest, "")))
 
 
+def _last_named(entries: str, name: str) -> Column:
+    """Value of the last (k, v) entry of a name, NULL without one."""
+    hits = F.filter(F.col(entries), lambda x: x["k"] == F.lit(name))
+    return F.try_element_at(hits, F.lit(-1))["v"]
+
+
 def name_values_to_columns(
     df: DataFrame, arr: str, names: Mapping[str, str], rename: Callable[[Column], Column] = accumulator_name
 ) -> DataFrame:
@@ -132,11 +138,9 @@ def name_values_to_columns(
         F.transform(F.col(arr), lambda x: F.struct(rename(x["name"]).alias("k"), x["value"].alias("v"))),
         lambda x: x["k"].isNotNull(),
     )
-    # the last value of a repeated name wins
     out = {}
     for name, kind in names.items():
-        hits = F.filter(F.col("_entries"), lambda x, n=name: x["k"] == n)
-        out[name] = F.try_element_at(hits, F.lit(-1))["v"].try_cast(kind)
+        out[name] = _last_named("_entries", name).try_cast(kind)
     return df.withColumn("_entries", entries).withColumns(out).drop("_entries", arr)
 
 
@@ -155,8 +159,7 @@ def counters_to_columns(
     named = F.transform(flat, lambda c: F.struct(camel_case(c["name"]).alias("k"), c["value"].alias("v")))
     out = {}
     for name in names:
-        hits = F.filter(F.col("_counters"), lambda x, n=name: x["k"] == n)
-        out[f"{name}{suffix}"] = F.try_element_at(hits, F.lit(-1))["v"]
+        out[f"{name}{suffix}"] = _last_named("_counters", name)
     return df.withColumn("_counters", named).withColumns(out).drop("_counters")
 
 

@@ -7,6 +7,12 @@ partitioned by key **and** slice; what must cross a slice border (the last row,
 the last value seen, a row count) travels in a small edge table with one row per
 hot slice.
 
+Operators that follow one another on the same keys and order can share one slicing:
+pass them the result of ``slice_groups`` and drop its columns with ``drop_slices`` at
+the end. Windows are partitioned by ``_width`` too, which a key determines anyway, so
+that the filter of the edge tables is pushed below them: where no key is hot, AQE finds
+an empty broadcast side and removes the edge branches before they read anything.
+
 Size bounds. A key is hot when it holds more than ``piece`` rows, where
 ``piece = max(rows_per_slice, all rows / HOT_LIMIT)``. So there are fewer than
 ``HOT_LIMIT`` hot keys and at most ``2 * SPREAD * HOT_LIMIT`` slices in all,
@@ -26,6 +32,7 @@ HOT_LIMIT = 16_384
 SPREAD = 4
 ROWS_PER_SLICE = 1_000_000
 SLICE = "_slice"
+WIDTH = "_width"
 
 
 def position(df: DataFrame, order: str) -> Column:
@@ -68,7 +75,9 @@ def slice_groups(
     stats = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
     )
-    share = df.agg((F.count(F.lit(1)) / F.lit(HOT_LIMIT)).alias("_share")).scalar()
+    # the extra aggregates keep this subquery on the very exchange of ``stats``, so it is reused
+    overall = stats.agg(F.struct(F.sum("_n").alias("n"), F.min("_lo"), F.max("_hi")).alias("_all")).scalar()
+    share = overall["n"] / F.lit(HOT_LIMIT)
     hot = (
         stats.withColumn("_piece", F.greatest(F.lit(float(rows_per_slice)), share))
         .filter((F.col("_n") > F.col("_piece")) & (F.col("_hi") > F.col("_lo")))
@@ -86,10 +95,28 @@ def slice_groups(
     return joined.withColumn(SLICE, slice_no.cast("int")).drop(*names, "_lo", "_slices")
 
 
+def drop_slices(df: DataFrame) -> DataFrame:
+    """Remove the columns that ``slice_groups`` added."""
+    return df.drop(SLICE, WIDTH)
+
+
+def _slice_once(
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int, descending: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """The sliced rows, and the slice columns to drop at the end (none if the input came sliced)."""
+    if SLICE in df.columns:
+        return df, []
+    return slice_groups(df, keys, order, rows_per_slice, descending), [SLICE, WIDTH]
+
+
+def _window(keys: Sequence[str]):
+    return Window.partitionBy(*keys, SLICE, WIDTH)
+
+
 def _edge_table(sliced: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """One row per hot slice; key columns renamed so it can be joined back."""
     renamed = [F.col(k).alias(f"_edge{i}") for i, k in enumerate(keys)]
-    return sliced.filter(F.col("_width").isNotNull()).groupBy(*renamed, F.col(SLICE).alias("_edge_slice")).agg(*aggs)
+    return sliced.filter(F.col(WIDTH).isNotNull()).groupBy(*renamed, F.col(SLICE).alias("_edge_slice")).agg(*aggs)
 
 
 def _before(keys: Sequence[str]) -> tuple[Window, list[str]]:
@@ -119,15 +146,15 @@ def with_previous(
 ) -> DataFrame:
     """Add the previous row of each key as a struct of ``order`` and ``cols`` (NULL on the first)."""
     fields = list(dict.fromkeys([order, *cols]))
-    sliced = slice_groups(df, keys, order, rows_per_slice)
+    sliced, extra = _slice_once(df, keys, order, rows_per_slice)
     row = F.struct(*fields)
-    local = F.lag(row).over(Window.partitionBy(*keys, SLICE).orderBy(*_order(order, tiebreak)))
+    local = F.lag(row).over(_window(keys).orderBy(*_order(order, tiebreak)))
     rank = F.struct(order, *tiebreak)
     edges = _edge_table(sliced, keys, [F.max_by(row, rank).alias("_last")])
     w, names = _before(keys)
     edges = edges.withColumn("_carry", F.lag("_last").over(w)).drop("_last")
     out = _join_edges(sliced.withColumn(name, local), edges, keys, names)
-    return out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry", SLICE, "_width")
+    return out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry", *extra)
 
 
 def carry_forward(
@@ -145,8 +172,8 @@ def carry_forward(
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     names = names or {}
-    sliced = slice_groups(df, part, order, rows_per_slice)
-    w_local = Window.partitionBy(*part, SLICE).orderBy(*_order(order, tiebreak))
+    sliced, extra = _slice_once(df, part, order, rows_per_slice)
+    w_local = _window(part).orderBy(*_order(order, tiebreak))
     w_local = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.struct(order, *tiebreak)
     lasts = [
@@ -161,7 +188,7 @@ def carry_forward(
     rows = sliced.withColumns({f"_own{i}": F.last(c, ignorenulls=True).over(w_local) for i, c in enumerate(cols)})
     out = _join_edges(rows, edges, part, edge_names)
     out = out.withColumns({names.get(c, c): F.coalesce(f"_own{i}", f"_carry{i}") for i, c in enumerate(cols)})
-    return out.drop(SLICE, "_width", *[f"_own{i}" for i in range(len(cols))], *[f"_carry{i}" for i in range(len(cols))])
+    return out.drop(*extra, *[f"_own{i}" for i in range(len(cols))], *[f"_carry{i}" for i in range(len(cols))])
 
 
 def running_total(
@@ -176,8 +203,8 @@ def running_total(
 ) -> DataFrame:
     """Running sum of a weight inside each key, the current row included."""
     weighted = df.withColumn("_weight", weight)
-    sliced = slice_groups(weighted, keys, order, rows_per_slice, descending)
-    w_local = Window.partitionBy(*keys, SLICE).orderBy(*_order(order, tiebreak, descending))
+    sliced, extra = _slice_once(weighted, keys, order, rows_per_slice, descending)
+    w_local = _window(keys).orderBy(*_order(order, tiebreak, descending))
     w_local = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = _edge_table(sliced, keys, [F.sum("_weight").alias("_sum")])
     w, names = _before(keys)
@@ -186,7 +213,7 @@ def running_total(
     rows = sliced.withColumn(name, F.sum("_weight").over(w_local))
     out = _join_edges(rows, edges, keys, names)
     total = F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))
-    return out.withColumn(name, total).drop("_carry", "_weight", SLICE, "_width")
+    return out.withColumn(name, total).drop("_carry", "_weight", *extra)
 
 
 def row_number_within(

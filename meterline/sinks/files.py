@@ -19,17 +19,29 @@ FOLDER_NAMES = {"elasticsearch": "elasticsearchagent"}
 
 
 def compact_day(
-    spark: SparkSession, src: str, out: str, year: int, month: int, day: int, files: int = 10
+    spark: SparkSession,
+    src: str,
+    out: str,
+    year: int,
+    month: int,
+    day: int,
+    files: int = 10,
+    max_file_bytes: int = 4 * 1024**3,
 ) -> str:
-    """One day of the partitioned ingest layout into a few files under ``out/Y/M/D``.
+    """One day of the partitioned ingest layout into few files under ``out/Y/M/D``.
 
     The partition filter prunes to one folder. Fails if the target exists. ``files`` is
-    the file count the readers expect; rows move once, evenly, so no task is oversized.
+    how many files a day usually gets; a day too large for that gets as many as keep each
+    below ``max_file_bytes``, so no task writes an unbounded share.
     """
+    folder = f"{src.rstrip('/')}/year={year}/month={month}/day={day}"
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(folder)
+    day_bytes = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    count = max(files, -(-day_bytes // max_file_bytes))
     target = f"{out.rstrip('/')}/{year}/{month}/{day}"
     part = (F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day)
     rows = spark.read.orc(src).filter(part).select("data", "year", "month", "day")
-    rows.repartition(files).write.orc(target)
+    rows.repartition(int(count)).write.orc(target)
     return target
 
 

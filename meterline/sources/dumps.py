@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import size_to_kb, template_url
 from ..operators.ordering import number_groups
-from ..operators.slices import carry_forward
+from ..operators.slices import carry_forward, drop_slices, slice_groups
 
 LINE_ORDER = "line_no"
 
@@ -441,6 +441,7 @@ def parse_throughput(
     part: Sequence[str] = ("runId",),
     order: str = LINE_ORDER,
     tiles: int | str = 1,
+    tiebreak: Sequence[str] = (),
     rows_per_slice: int = 1_000_000,
 ) -> DataFrame:
     """Measured throughput lines ``status: x[i] = 1,234.5, min = .., max = ..`` numbered by position.
@@ -449,7 +450,8 @@ def parse_throughput(
     """
     v = F.col("value")
     section = F.when(v.contains("Measured Throughput Data"), F.lit("on")).when(v.startswith("=============="), F.lit("off"))
-    rows = carry_forward(df.withColumn("_section", section), part, order, "_section", rows_per_slice=rows_per_slice)
+    sliced = slice_groups(df, part, order, rows_per_slice)
+    rows = carry_forward(sliced.withColumn("_section", section), part, order, "_section", tiebreak)
     number = r"([\d,]+\.?\d*)"
     combined = v.contains("combined")
 
@@ -469,9 +471,7 @@ def parse_throughput(
         }
     )
     shown = [*part, "status", "actual", "min", "max"]
-    counted = number_groups(
-        data.filter(~F.col("_combined")), order, 4, tiles, part, rows_per_slice=rows_per_slice
-    )
+    counted = drop_slices(number_groups(data.filter(~F.col("_combined")), order, 4, tiles, part, tiebreak))
     counted = counted.select(
         *shown,
         F.col("_tile").cast("string").alias("tile"),

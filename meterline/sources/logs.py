@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def read_log_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
-def decode_logs(df: DataFrame, value: str = "value") -> DataFrame:
+def decode_logs(df: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """JSON payload to the struct ``data``; a payload that is no JSON keeps its row with NULL fields."""
-    return df.select(F.from_json(F.col(value).cast("string"), LOG_EVENT).alias("data"))
+    return df.select(*keep, F.from_json(F.col(value).cast("string"), LOG_EVENT).alias("data"))
 
 
 def read_logs(spark: SparkSession, base: str, year, month, days) -> DataFrame:
