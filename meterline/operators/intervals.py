@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import same_keys
+from .slices import ROWS_PER_SLICE, WIDTH, running_total, same_keys, slice_groups
 
 
 def critical_path(
@@ -104,25 +104,57 @@ def interp_percentile(col, p) -> Column:
 
 
 def group_percentiles(
-    df: DataFrame, group: Sequence[str], value: str, points: Mapping[str, float]
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    points: Mapping[str, float],
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Exact interpolated percentiles per group.
 
-    Equal values are counted first, map-side, so a group of any size sends its
-    distinct values only.
+    Equal values are counted first, map-side, so a group sends its distinct values only.
+    A group with more distinct values than one task should hold is cut into slices by
+    value; running counts then find the values at the wanted positions.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = slice_groups(counted, group, value, rows_per_slice)
     ps = F.array(*[F.lit(float(p)) for p in points.values()])
-    out = counted.groupBy(*group).agg(F.percentile(value, ps, F.col("_n")).alias("_p"))
-    return out.select(*group, *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
+    plain = sliced.filter(F.col(WIDTH).isNull()).groupBy(*group).agg(F.percentile(value, ps, F.col("_n")).alias("_p"))
+    plain = plain.select(*group, *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
+
+    large = sliced.filter(F.col(WIDTH).isNotNull())
+    names = [f"_g{i}" for i in range(len(group))]
+    # one row per sliced group; slice_groups bounds how many there are
+    totals = large.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(F.sum("_n").alias("_all"))
+    seen = running_total(large, group, value, F.col("_n"), name="_seen")
+    seen = seen.join(F.broadcast(totals), same_keys(group, names))
+    picks = []
+    for i, p in enumerate(points.values()):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        picks.append(F.min(F.when(F.col("_seen") > F.floor(at), F.col(value))).alias(f"_low{i}"))
+        picks.append(F.min(F.when(F.col("_seen") > F.ceil(at), F.col(value))).alias(f"_high{i}"))
+    found = seen.groupBy(*group).agg(F.max("_all").alias("_all"), *picks)
+    out = {}
+    for i, (name, p) in enumerate(points.items()):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.col(f"_low{i}").cast("double"), F.col(f"_high{i}").cast("double")
+        mixed = low * (F.ceil(at) - at) + high * (at - F.floor(at))
+        out[name] = F.when(F.floor(at) == F.ceil(at), low).otherwise(mixed)
+    return plain.unionByName(found.select(*group, *[c.alias(n) for n, c in out.items()]))
 
 
 def flag_stragglers(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "isStraggler", factor: float = 1.5
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    name: str = "isStraggler",
+    factor: float = 1.5,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """1 for rows above the upper fence ``q75 + 1.5 * (q75 - q25)`` of their group, else 0."""
     names = [f"_g{i}" for i in range(len(group))]
-    fences = group_percentiles(df, group, value, {"_q25": 0.25, "_q75": 0.75}).select(
+    quartiles = group_percentiles(df, group, value, {"_q25": 0.25, "_q75": 0.75}, rows_per_slice)
+    fences = quartiles.select(
         *[F.col(g).alias(n) for g, n in zip(group, names)],
         (F.col("_q75") + F.lit(factor) * (F.col("_q75") - F.col("_q25"))).alias("_fence"),
     )

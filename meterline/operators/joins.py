@@ -28,9 +28,15 @@ def stage_tasks(
     tasks: DataFrame,
     keys: Sequence[str] = ("appId", "stageId", "stageAttemptId"),
 ) -> DataFrame:
-    """Stages with their tasks; a stage without tasks stays, once."""
+    """Stages with their tasks; a stage without tasks stays, once.
+
+    Written as an inner join plus the stages left over: AQE can split a stage with very
+    many tasks in an inner join, but not on the far side of an outer one.
+    """
     own = [c for c in tasks.columns if c in keys or c not in stages.columns]
-    return stages.join(tasks.select(*own), list(keys), "left")
+    matched = stages.join(tasks.select(*own), list(keys), "inner")
+    idle = stages.join(tasks.select(*keys).distinct(), list(keys), "left_anti")
+    return matched.unionByName(idle, allowMissingColumns=True)
 
 
 def task_attempts(tasks: DataFrame, attempts: DataFrame, keys: Sequence[str] = ("taskId", "type")) -> DataFrame:
@@ -122,12 +128,12 @@ def membership_changed(cur: DataFrame, prev: DataFrame, keys: Sequence[str]) ->
 
 def drop_stale(known: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Known entities that are still active (their stale siblings are removed)."""
-    return known.join(active.select(*keys), list(keys), "left_semi")
+    return known.join(active.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def stale(known: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Known entities no longer active: what the clean-up removes."""
-    return known.join(active.select(*keys), list(keys), "left_anti")
+    return known.join(active.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def merge_pending(new: DataFrame, pending: DataFrame, key: str) -> DataFrame:

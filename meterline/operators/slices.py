@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_LIMIT = 16_384
-SPREAD = 4
+SPREAD = 16
 ROWS_PER_SLICE = 1_000_000
 SLICE = "_slice"
 WIDTH = "_width"
@@ -90,7 +90,8 @@ def slice_groups(
         number = F.col("_slices") - 1 - number
     # NULL order values sort first going up, last going down
     edge = F.col("_slices") if descending else F.lit(-1)
-    slice_no = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(F.coalesce(number, edge) + 2)
+    number = F.when(pos.isNull(), edge).otherwise(number)
+    slice_no = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(number + 2)
     joined = df.join(F.broadcast(hot), same_keys(keys, names), "left")
     return joined.withColumn(SLICE, slice_no.cast("int")).drop(*names, "_lo", "_slices")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.intervals import concurrency, concurrency_summary, scheduling_delay
-from ..operators.joins import enrich, stage_tasks
+from ..operators.joins import enrich
 from ..operators.rollups import rollup_stages, rollup_tasks, total_cores
 
 STAGE = ["appId", "appAttemptId", "stageId", "stageAttemptId"]
@@ -18,9 +18,7 @@ def stage_concurrency(stages: DataFrame, tasks: DataFrame, step: int = 5) -> Dat
     bounds = stages.filter("status = 'COMPLETE'").select(
         *STAGE, F.col("firstTaskLaunchedTime").alias("_from"), F.col("completionTime").alias("_to")
     )
-    rows = stage_tasks(bounds, tasks.select(*STAGE, "launchTime", "endTime"), STAGE).filter(
-        F.col("launchTime").isNotNull()
-    )
+    rows = tasks.select(*STAGE, "launchTime", "endTime").join(bounds, STAGE, "inner")
     return concurrency(rows, STAGE, "launchTime", "endTime", step, "_from", "_to")
 
 
