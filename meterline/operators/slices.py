@@ -13,11 +13,12 @@ the end. Windows are partitioned by ``_width`` too, which a key determines anywa
 that the filter of the edge tables is pushed below them: where no key is hot, AQE finds
 an empty broadcast side and removes the edge branches before they read anything.
 
-Size bounds. A key is hot when it holds more than ``piece`` rows, where
-``piece = max(rows_per_slice, all rows / HOT_LIMIT)``. So there are fewer than
-``HOT_LIMIT`` hot keys and at most ``2 * SPREAD * HOT_LIMIT`` slices in all,
-however large the input is; both tables are therefore safe to broadcast. Every
-other key stays in slice 0 and costs nothing beyond the count.
+Size bounds. Candidates are the keys with more than ``rows_per_slice`` rows. A candidate
+is hot when it holds more than ``piece`` rows, where ``piece`` is the larger of
+``rows_per_slice`` and the candidates' rows / ``HOT_LIMIT``. So there are fewer than
+``HOT_LIMIT`` hot keys and at most ``2 * SPREAD * HOT_LIMIT`` slices in all, however
+large the input is; both tables are therefore safe to broadcast. Every other key stays
+in slice 0 and costs nothing beyond the count.
 """
 
 from __future__ import annotations
@@ -75,12 +76,12 @@ def slice_groups(
     stats = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
     )
-    # the extra aggregates keep this subquery on the very exchange of ``stats``, so it is reused
-    overall = stats.agg(F.struct(F.sum("_n").alias("n"), F.min("_lo"), F.max("_hi")).alias("_all")).scalar()
-    share = overall["n"] / F.lit(HOT_LIMIT)
+    # at most one candidate per ``rows_per_slice`` input rows, so one task can add them up
+    large = stats.filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
+    share = F.sum("_n").over(Window.partitionBy(F.lit(0))) / F.lit(HOT_LIMIT)
     hot = (
-        stats.withColumn("_piece", F.greatest(F.lit(float(rows_per_slice)), share))
-        .filter((F.col("_n") > F.col("_piece")) & (F.col("_hi") > F.col("_lo")))
+        large.withColumn("_piece", F.greatest(F.lit(float(rows_per_slice)), share))
+        .filter(F.col("_n") > F.col("_piece"))
         .withColumn("_slices", F.ceil(F.col("_n") / F.col("_piece")) * F.lit(SPREAD))
         .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.col("_slices"))
         .select(*names, "_lo", "_slices", "_width")

@@ -84,7 +84,7 @@ DOCUMENTS = {
         **strings(
             "id", "name", "user", "queue", "state", "finalStatus", "applicationType", "diagnostics"
         ),
-        **longs("startedTime", "finishedTime", "elapsedTime", "memorySeconds", "vcoreSeconds"),
+        **longs("submittedTime", "startedTime", "finishedTime", "elapsedTime", "memorySeconds", "vcoreSeconds"),
     ),
     "yarn_container": struct(
         **strings("containerId", "nodeId", "containerState", "diagnosticsInfo", "logUrl"),

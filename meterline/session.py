@@ -23,6 +23,8 @@ def build_session(app: str = "meterline", master: str | None = None, **conf) ->
         "spark.sql.orc.impl": "native",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.ui.enabled": "false",
+        # call-site capture costs a round trip per column expression when plans are built
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def parse_job_history(lines: DataFrame) -> DataFrame:
     return known.select("job_file", F.col("o.type").alias("type"), payload.alias("event"))
 
 
+def history_day(finish_s: int, zone: str = "UTC") -> date:
+    """The folder day of a job: its finish time on the cluster's clock."""
+    return datetime.fromtimestamp(finish_s, ZoneInfo(zone)).date()
+
+
 def history_paths(base: str, day: date, job_id: str = "", days: int = 2) -> list[str]:
     """Globs of the finished-job folders for a job: its finish day (cluster time) and the next.
 

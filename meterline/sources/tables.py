@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import iso_gmt_to_epoch
-from ..operators.projections import flatten_struct, metric_name
+from ..functions import camel_case, iso_gmt_to_epoch
+from ..operators.projections import flatten_struct, metric_name, plain_name, prefixed_name
 from ..schemas import DOCUMENTS
 
 
@@ -132,5 +131,55 @@ def mr_tasks(tasks: DataFrame) -> DataFrame:
     return out.withColumns({"submitTime": F.col("startTime"), "endTime": F.col("finishTime"), "runTime": run})
 
 
-def doc_columns(doc_type: str) -> list[str]:
-    return [f.name for f in T.StructType(DOCUMENTS[doc_type].fields).fields]
+def mr_job_counters(docs: DataFrame, names: Sequence[str], groups: str = "counterGroup") -> DataFrame:
+    """Named job counters as ``<name>Total``, ``<name>Map`` and ``<name>Reduce`` columns."""
+    flat = F.flatten(F.transform(F.col(groups), lambda g: g["counter"]))
+    named = F.transform(flat, lambda c: F.struct(camel_case(c["name"]).alias("k"), c.alias("c")))
+    out = {}
+    for name in names:
+        hits = F.filter(F.col("_counters"), lambda x: x["k"] == F.lit(name))
+        hit = F.try_element_at(hits, F.lit(-1))["c"]
+        for suffix, field in (("Total", "total"), ("Map", "map"), ("Reduce", "reduce")):
+            out[f"{name}{suffix}"] = hit[f"{field}CounterValue"]
+    return docs.withColumn("_counters", named).withColumns(out).drop("_counters", groups)
+
+
+def spark_jobs(jobs: DataFrame) -> DataFrame:
+    """Spark job documents with epoch-second times and durations."""
+    out = jobs.withColumns(
+        {"submitTime": iso_gmt_to_epoch("submissionTime"), "endTime": iso_gmt_to_epoch("completionTime")}
+    ).withColumnRenamed("name", "jobName")
+    run = F.col("endTime") - F.col("submitTime")
+    return out.withColumns(
+        {
+            "startTime": F.col("submitTime"),
+            "elapsedTime": run,
+            "runTime": run,
+            "schedulingDelay": F.lit(0).cast("bigint"),
+        }
+    ).drop("submissionTime", "completionTime")
+
+
+def spark_executors(
+    executors: DataFrame, memory_keys: Sequence[str] = (), log_keys: Sequence[str] = ("stdout", "stderr")
+) -> DataFrame:
+    """Executor documents with the wanted memory metrics and log links lifted to columns."""
+    out = flatten_struct(executors, "memoryMetrics", plain_name, memory_keys)
+    out = flatten_struct(out, "executorLogs", prefixed_name, log_keys)
+    return out.withColumn("addTime", iso_gmt_to_epoch("addTime")).withColumnRenamed("id", "executorId")
+
+
+def yarn_apps(apps: DataFrame) -> DataFrame:
+    """Application documents with second times."""
+    cols = [c for c in ("startedTime", "finishedTime", "elapsedTime", "submittedTime") if c in apps.columns]
+    return apps.withColumns({c: F.floor(F.col(c) / 1000).cast("bigint") for c in cols})
+
+
+def mr_attempts(attempts: DataFrame) -> DataFrame:
+    """Attempt documents with second times."""
+    cols = (
+        "startTime", "finishTime", "elapsedTime", "shuffleFinishTime", "mergeFinishTime", "elapsedShuffleTime",
+        "elapsedMergeTime", "elapsedReduceTime",
+    )
+    out = attempts.withColumns({c: F.floor(F.col(c) / 1000).cast("bigint") for c in cols})
+    return out.withColumnsRenamed({"id": "taskAttemptId", "assignedContainerId": "containerId"})
