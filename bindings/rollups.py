@@ -180,9 +180,9 @@ def mean_ratio(spark, sf_dir):
 
 @query(
     "cpu_topology",
-    """
+    f"""
 SELECT l_suppkey AS host, string_agg(DISTINCT 'model' || l_returnflag, ',' ORDER BY 'model' || l_returnflag) AS "cpuType",
-       round(CAST(sum(l_linenumber) AS DOUBLE) / count(*), 2) AS clock, count(DISTINCT l_linenumber) AS "totalCores",
+       {round2("sum(l_linenumber)", "count(*)")} AS clock, count(DISTINCT l_linenumber) AS "totalCores",
        count(DISTINCT l_linestatus) AS sockets, count(DISTINCT l_quantity) AS "logicalCpus",
        CASE WHEN count(DISTINCT l_linenumber) * count(DISTINCT l_linestatus) * 2 = count(DISTINCT l_quantity) THEN 'On' ELSE 'off' END AS "hyperThreading"
 FROM lineitem GROUP BY 1""",
@@ -346,21 +346,32 @@ def action_sums(spark, sf_dir):
     return wfa.select("wfaId", *SUM_NAMES, "submitDelay", "jobDelay")
 
 
+def busy_sql(name: str, span: str, min_rows: int = 1) -> str:
+    """CTEs that merge the intervals (k, s, e) of ``span`` and sum their length.
+
+    A bad endpoint voids a key, and so do fewer than ``min_rows`` intervals.
+    """
+    return f"""
+{name}_ok AS (SELECT k FROM {span} GROUP BY k HAVING count(*) >= {min_rows} AND count(*) = count(*) FILTER (WHERE s > 0 AND e > 0)),
+{name}_m AS (SELECT x.*, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS o FROM {span} x JOIN {name}_ok USING (k)),
+{name}_i AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {name}_m),
+{name} AS (SELECT k, CAST(sum(e - s) AS BIGINT) AS busy FROM (SELECT k, g, min(s) AS s, max(e) AS e FROM {name}_i GROUP BY 1, 2) GROUP BY 1)"""
+
+
 @query(
     "workflow_delays",
     f"""
 WITH {WORKFLOW},
 used AS (SELECT job.*, count(*) OVER (PARTITION BY wfaId) AS n FROM job),
-span AS (SELECT wfId AS k, startTime AS s, finishTime AS e FROM used WHERE NOT (n > 1 AND position = 0)),
-ok AS (SELECT k FROM span GROUP BY k HAVING min(s) > 0 AND min(e) > 0),
-m AS (SELECT span.*, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS o FROM span JOIN ok USING (k)),
-i AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m),
-b AS (SELECT k, CAST(sum(e - s) AS BIGINT) AS busy FROM (SELECT k, g, min(s) AS s, max(e) AS e FROM i GROUP BY 1, 2) GROUP BY 1)
-SELECT wfId AS "wfId", 0 AS "wfSchedulingDelay", CASE WHEN busy > 0 THEN endTime - startTime - busy ELSE 0 END AS "jobSchedulingDelay"
-FROM wf LEFT JOIN b ON k = wfId WHERE endTime IS NOT NULL""",
+jspan AS (SELECT wfId AS k, startTime AS s, finishTime AS e FROM used WHERE NOT (n > 1 AND position = 0)),
+aspan AS (SELECT wfId AS k, startTime AS s, endTime AS e FROM wfa),
+{busy_sql("jb", "jspan")}, {busy_sql("ab", "aspan")}
+SELECT wfId AS "wfId", CASE WHEN ab.busy > 0 THEN endTime - startTime - ab.busy ELSE 0 END AS "wfSchedulingDelay",
+       CASE WHEN jb.busy > 0 THEN endTime - startTime - jb.busy ELSE 0 END AS "jobSchedulingDelay"
+FROM wf LEFT JOIN jb ON jb.k = wfId LEFT JOIN ab ON ab.k = wfId WHERE endTime IS NOT NULL""",
 )
 def delays_of_workflows(spark, sf_dir):
-    """Every workflow has an action that never started, so the action paths are void."""
+    """Workflows with an action that never started, or a job without an end, have no path there."""
     wf, wfa, job, _ = _hierarchy(spark, sf_dir)
     return workflow_delays(wf, wfa, job).select(
         "wfId", F.col("wfSchedulingDelay").cast("bigint").alias("wfSchedulingDelay"),
@@ -392,7 +403,25 @@ def disks(spark, sf_dir):
     return out.select("host", "name", "time", "read_bytes_delta", "read_count_delta", "elapsed_s", "readLatency")
 
 
-@query("spark_app_report")
+@query(
+    "spark_app_report",
+    f"""
+WITH st AS (SELECT c_nationkey AS app, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+tk AS (SELECT app, id, b, b + 5 + l_linenumber * 3 AS s, b + 5 + l_linenumber * 3 + CAST(l_quantity AS BIGINT) AS e, l_partkey AS r FROM lineitem JOIN st ON l_orderkey = id),
+tspan AS (SELECT id AS k, s, e FROM tk), sspan AS (SELECT app AS k, b AS s, b + 65 AS e FROM st),
+{busy_sql("tb", "tspan", 2)}, {busy_sql("sb", "sspan", 2)},
+bk AS (SELECT id, b + 5 + i * 5 AS x, least(b + 10 + i * 5, b + 66) AS y FROM st, LATERAL (SELECT unnest(range(13)) AS i) WHERE id IN (SELECT id FROM tk)),
+pt AS (SELECT bk.id, x, count(tk.id) AS n FROM bk LEFT JOIN tk ON tk.id = bk.id AND ((s >= x AND s < y) OR (e > x AND e <= y) OR (s < x AND e > y)) GROUP BY 1, 2),
+pp AS (SELECT id, max(n) AS mx, min(n) AS mn FROM pt GROUP BY 1),
+rs AS (SELECT id, CAST(sum(r) AS BIGINT) AS r FROM tk GROUP BY 1),
+ap AS (SELECT app, count(*) AS n, CAST(sum(coalesce(r, 0)) AS BIGINT) AS r, CAST(sum(CASE WHEN busy > 0 THEN 65 - busy ELSE 0 END) AS BIGINT) AS d, max(coalesce(mx, 0)) AS mx, min(coalesce(mn, 0)) AS mn
+       FROM st LEFT JOIN rs USING (id) LEFT JOIN pp USING (id) LEFT JOIN tb ON tb.k = st.id GROUP BY 1),
+ex AS (SELECT c_nationkey AS app, 4 * count(*) AS cores FROM customer GROUP BY 1)
+SELECT n_nationkey AS "appId", coalesce(n, 0) AS "numStages", coalesce(r, 0) AS "resultSize", coalesce(d, 0) AS "taskSchedulingDelay", coalesce(mx, 0) AS "maxParallelTasks",
+       coalesce(mn, 0) AS "minParallelTasks", CASE WHEN n > 0 THEN cores ELSE 0 END AS "totalCores", coalesce((n * 10 + r) // 1048576, 0) AS "dataProc",
+       CASE WHEN sb.busy > 0 THEN 300000000 - sb.busy ELSE 0 END AS "stageSchedulingDelay"
+FROM nation LEFT JOIN ap ON ap.app = n_nationkey LEFT JOIN ex ON ex.app = n_nationkey LEFT JOIN sb ON sb.k = n_nationkey""",
+)
 def app_report(spark, sf_dir):
     """Applications per nation, stages per order, tasks per line item."""
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("appId"))
