@@ -126,7 +126,7 @@ FROM lagged""",
 )
 def rate_elapsed(spark, sf_dir):
     """Rate of an ever-growing counter: the running sum of the samples."""
-    rows = slice_groups(samples(spark, sf_dir), KEYS, "ts")
+    rows = slice_groups(samples(spark, sf_dir), KEYS, "ts", tiebreak=TIE)
     rows = running_total(rows, KEYS, "ts", F.col("c"), TIE, name="total")
     return counter_rate(rows, KEYS, "ts", ["total"], tiebreak=TIE).select("event_id", "total_rate")
 

@@ -17,8 +17,10 @@ Size bounds. Candidates are the keys with more than ``rows_per_slice`` rows. A c
 is hot when it holds more than ``piece`` rows, where ``piece`` is the larger of
 ``rows_per_slice`` and the candidates' rows / ``HOT_LIMIT``. So there are fewer than
 ``HOT_LIMIT`` hot keys and at most ``2 * SPREAD * HOT_LIMIT`` slices in all, however
-large the input is; both tables are therefore safe to broadcast. Every other key stays
-in slice 0 and costs nothing beyond the count.
+large the input is. Ranges that hold a burst are cut once more; there are fewer than
+``HOT_LIMIT`` of those, and their parts are bounded in the same way. All three tables are
+therefore safe to broadcast. Every other key stays in slice 0 and costs nothing beyond
+the count.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SPREAD = 16
 ROWS_PER_SLICE = 1_000_000
 SLICE = "_slice"
 WIDTH = "_width"
+MAX_SUBS = 1 << 20  # above 2 * SPREAD * HOT_LIMIT, the most parts one range can be cut into
 
 
 def position(df: DataFrame, order: str) -> Column:
@@ -65,36 +68,79 @@ def slice_groups(
     order: str,
     rows_per_slice: int = ROWS_PER_SLICE,
     descending: bool = False,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``_slice`` (0 for ordinary keys, the range number for hot ones, from 1) and ``_width``.
+    """Add ``_slice`` (0 for ordinary keys, growing with the order for hot ones) and ``_width``.
 
     ``_width`` is set on rows of hot keys only; filtering on it lets Catalyst turn
-    the left join into an inner one, so ordinary rows never reach the edge table.
+    the left joins into inner ones, so ordinary rows never reach the edge table.
+
+    A hot key is cut into ranges of equal width. A range that still holds more than
+    ``piece`` rows (a burst) is cut again between its own first and last position, and if
+    all its rows share one order value, by the first tiebreak column.
     """
-    names = [f"_hot{i}" for i in range(len(keys))]
     pos = position(df, order)
+    names = [f"_hot{i}" for i in range(len(keys))]
     stats = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
     )
     # at most one candidate per ``rows_per_slice`` input rows, so one task can add them up
-    large = stats.filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
     share = F.sum("_n").over(Window.partitionBy(F.lit(0))) / F.lit(HOT_LIMIT)
+    spread = F.col("_hi") > F.col("_lo")
     hot = (
-        large.withColumn("_piece", F.greatest(F.lit(float(rows_per_slice)), share))
+        stats.filter(F.col("_n") > rows_per_slice)
+        .withColumn("_piece", F.greatest(F.lit(float(rows_per_slice)), share))
         .filter(F.col("_n") > F.col("_piece"))
         .withColumn("_slices", F.ceil(F.col("_n") / F.col("_piece")) * F.lit(SPREAD))
-        .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.col("_slices"))
-        .select(*names, "_lo", "_slices", "_width")
+        .withColumn(WIDTH, F.when(spread, (F.col("_hi") - F.col("_lo")) / F.col("_slices")).otherwise(F.lit(1.0)))
+        .select(*names, "_lo", "_slices", WIDTH, "_piece")
     )
-    number = F.least(F.floor((pos - F.col("_lo")) / F.col("_width")), F.col("_slices") - 1)
+    number = F.least(F.floor((pos - F.col("_lo")) / F.col(WIDTH)), F.col("_slices") - 1)
     if descending:
         number = F.col("_slices") - 1 - number
     # NULL order values sort first going up, last going down
     edge = F.col("_slices") if descending else F.lit(-1)
     number = F.when(pos.isNull(), edge).otherwise(number)
-    slice_no = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(number + 2)
-    joined = df.join(F.broadcast(hot), same_keys(keys, names), "left")
-    return joined.withColumn(SLICE, slice_no.cast("int")).drop(*names, "_lo", "_slices")
+    cell = F.when(F.col(WIDTH).isNull(), F.lit(0)).otherwise(number + 2).cast("bigint")
+    rows = df.join(F.broadcast(hot), same_keys(keys, names), "left").withColumn("_cell", cell)
+    rows = rows.drop(*names, "_lo", "_slices")
+
+    tie = _tie_position(df, tiebreak)
+    ends = [F.min(pos).alias("_p0"), F.max(pos).alias("_p1"), F.min(tie).alias("_t0"), F.max(tie).alias("_t1")]
+    names = [f"_dense{i}" for i in range(len(keys))]
+    by_tie = ~F.coalesce(F.col("_p1") > F.col("_p0"), F.lit(False))
+    low = F.when(by_tie, F.col("_t0")).otherwise(F.col("_p0"))
+    high = F.when(by_tie, F.col("_t1")).otherwise(F.col("_p1"))
+    dense = (
+        rows.filter(F.col(WIDTH).isNotNull())
+        .groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_cell").alias("_dense_cell"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_piece").alias("_p"), *ends)
+        .filter(F.col("_n") > F.col("_p"))
+        .withColumns({"_by_tie": by_tie, "_low": low, "_high": high})
+        .filter(F.col("_high") > F.col("_low"))
+        .withColumn("_subs", F.ceil(F.col("_n") / F.col("_p")) * F.lit(SPREAD))
+        .withColumn("_sub_width", (F.col("_high") - F.col("_low")) / F.col("_subs"))
+        .select(*names, "_dense_cell", "_by_tie", "_low", "_subs", "_sub_width")
+    )
+    cond = same_keys(keys, names) & (F.col("_cell") == F.col("_dense_cell"))
+    out = rows.join(F.broadcast(dense), cond, "left")
+    at = F.when(F.col("_by_tie"), tie).otherwise(pos)
+    sub = F.least(F.floor((at - F.col("_low")) / F.col("_sub_width")), F.col("_subs") - 1)
+    if descending:
+        # ties are broken upwards even when the order goes down
+        sub = F.when(F.col("_by_tie"), sub).otherwise(F.col("_subs") - 1 - sub)
+    out = out.withColumn(SLICE, F.col("_cell") * F.lit(MAX_SUBS) + F.coalesce(sub, F.lit(0)))
+    return out.drop(*names, "_dense_cell", "_by_tie", "_low", "_subs", "_sub_width", "_cell", "_piece")
+
+
+def _tie_position(df: DataFrame, tiebreak: Sequence[str]) -> Column:
+    """Position of the first tiebreak column, NULL if there is none that has one."""
+    if tiebreak:
+        try:
+            return position(df, tiebreak[0])
+        except TypeError:
+            pass
+    return F.lit(None).cast("double")
 
 
 def drop_slices(df: DataFrame) -> DataFrame:
@@ -103,12 +149,17 @@ def drop_slices(df: DataFrame) -> DataFrame:
 
 
 def _slice_once(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int, descending: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    rows_per_slice: int,
+    descending: bool = False,
+    tiebreak: Sequence[str] = (),
 ) -> tuple[DataFrame, list[str]]:
     """The sliced rows, and the slice columns to drop at the end (none if the input came sliced)."""
     if SLICE in df.columns:
         return df, []
-    return slice_groups(df, keys, order, rows_per_slice, descending), [SLICE, WIDTH]
+    return slice_groups(df, keys, order, rows_per_slice, descending, tiebreak), [SLICE, WIDTH]
 
 
 def _window(keys: Sequence[str]):
@@ -148,7 +199,7 @@ def with_previous(
 ) -> DataFrame:
     """Add the previous row of each key as a struct of ``order`` and ``cols`` (NULL on the first)."""
     fields = list(dict.fromkeys([order, *cols]))
-    sliced, extra = _slice_once(df, keys, order, rows_per_slice)
+    sliced, extra = _slice_once(df, keys, order, rows_per_slice, tiebreak=tiebreak)
     row = F.struct(*fields)
     local = F.lag(row).over(_window(keys).orderBy(*_order(order, tiebreak)))
     rank = F.struct(order, *tiebreak)
@@ -174,7 +225,7 @@ def carry_forward(
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     names = names or {}
-    sliced, extra = _slice_once(df, part, order, rows_per_slice)
+    sliced, extra = _slice_once(df, part, order, rows_per_slice, tiebreak=tiebreak)
     w_local = _window(part).orderBy(*_order(order, tiebreak))
     w_local = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.struct(order, *tiebreak)
@@ -205,7 +256,7 @@ def running_total(
 ) -> DataFrame:
     """Running sum of a weight inside each key, the current row included."""
     weighted = df.withColumn("_weight", weight)
-    sliced, extra = _slice_once(weighted, keys, order, rows_per_slice, descending)
+    sliced, extra = _slice_once(weighted, keys, order, rows_per_slice, descending, tiebreak)
     w_local = _window(keys).orderBy(*_order(order, tiebreak, descending))
     w_local = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = _edge_table(sliced, keys, [F.sum("_weight").alias("_sum")])

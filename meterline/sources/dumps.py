@@ -450,7 +450,7 @@ def parse_throughput(
     """
     v = F.col("value")
     section = F.when(v.contains("Measured Throughput Data"), F.lit("on")).when(v.startswith("=============="), F.lit("off"))
-    sliced = slice_groups(df, part, order, rows_per_slice)
+    sliced = slice_groups(df, part, order, rows_per_slice, tiebreak=tiebreak)
     rows = carry_forward(sliced.withColumn("_section", section), part, order, "_section", tiebreak)
     number = r"([\d,]+\.?\d*)"
     combined = v.contains("combined")

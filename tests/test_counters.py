@@ -192,3 +192,21 @@ def test_no_hot_key_means_one_shuffle(skewed):
     out.collect()
     final = plan(out).split("== Initial Plan ==")[0]
     assert final.count("ShuffleQueryStage") <= 1 and "BroadcastHashJoin" not in final
+
+
+def test_bursts_and_ties_are_cut_again(spark):
+    """Rows crowded into a thousandth of the time; whole-number values of which one holds a third of the rows."""
+    i = F.col("id")
+    when = F.when(i % 6 < 4, 800_000 + (i % 997) / 10).otherwise(i * 170.0)
+    value = F.when(i % 6 < 2, F.lit(7)).otherwise(i * 37 % 101)
+    df = spark.range(6000).select("id", F.when(i % 2 == 0, "hot").otherwise("hot2").alias("k"), when.alias("t"), value.alias("c"))
+    for order in ("t", "c"):
+        sliced = slice_groups(df, ["k"], order, rows_per_slice=100, tiebreak=["id"])
+        assert sliced.groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 100
+        for down in (False, True):
+            want = rows(row_number_within(df, ["k"], order, ["id"], descending=down), "id", "index")
+            for size in (20, 100):
+                got = row_number_within(df, ["k"], order, ["id"], descending=down, rows_per_slice=size)
+                assert rows(got, "id", "index") == want
+    one = df.withColumn("t", F.lit(1.0))
+    assert rows(row_number_within(one, ["k"], "t", ["id"], rows_per_slice=100), "id", "index") == rows(row_number_within(one, ["k"], "t", ["id"]), "id", "index")
