@@ -56,7 +56,7 @@ SELECT 'a' || o_orderkey AS "taskAttemptId", 't' || o_custkey AS "taskId", 'MAP'
        CASE o_orderstatus WHEN 'O' THEN 'SUCCEEDED' WHEN 'F' THEN 'FAILED' ELSE 'KILLED' END AS state, s AS "startTime",
        CASE o_orderstatus WHEN 'O' THEN s + o_custkey WHEN 'F' THEN s + 5 ELSE -1 END AS "finishTime",
        CASE o_orderstatus WHEN 'O' THEN o_custkey WHEN 'F' THEN 5 ELSE -1 END AS "elapsedTime",
-       'NODE_LOCAL' AS locality, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS "hdfsBytesRead", CASE WHEN o_orderstatus <> 'P' THEN 7 END AS cpu
+       'NODE_LOCAL' AS locality, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS "hdfsBytesRead", CASE WHEN o_orderstatus <> 'P' THEN CAST(7 AS BIGINT) END AS cpu
 FROM (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders)""",
 )
 def history_attempts(spark, sf_dir):
@@ -115,7 +115,7 @@ def history_jobs(spark, sf_dir):
     "landed_job_documents",
     """
 SELECT 'job_' || o_orderkey AS "jobId", s AS "submitTime", CASE WHEN o_orderstatus <> 'P' THEN s + 3 END AS "startTime", s + 90 AS "finishTime", o_custkey // 1000 AS "avgMapTime",
-       CASE WHEN o_orderstatus <> 'P' THEN 87 END AS "runTime", 90 AS "elapsedTime" FROM (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders)""",
+       CASE WHEN o_orderstatus <> 'P' THEN CAST(87 AS BIGINT) END AS "runTime", CAST(90 AS BIGINT) AS "elapsedTime" FROM (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders)""",
 )
 def landed_jobs(spark, sf_dir):
     """History-API job documents landed as JSON."""

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def build_session(app: str = "meterline", master: str | None = None, **conf) -> SparkSession:
@@ -34,16 +35,16 @@ def build_session(app: str = "meterline", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a fresh temporary
-    folder made and recorded, so later calls in the session agree on it.
+    Only where the setting is absent (tests, a laptop) is a temporary folder made, one
+    per application.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="meterline-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if folder:
+        return folder
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="meterline-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

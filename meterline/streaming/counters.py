@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from ..operators.counters import check_policies
 
 RESTARTED = "restarted"
 
+# ship the functions below with the job, so that executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _series_deltas(
     rows: pd.DataFrame, last: tuple | None, time: str, cols: list[str], wanted: list[str],

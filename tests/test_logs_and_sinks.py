@@ -159,3 +159,15 @@ def test_overwrite_directory(spark, tmp_path):
     insert_overwrite_directory(spark.range(4).select(F.col("id").cast("int").alias("a")), path)
     insert_overwrite_directory(spark.range(2).select(F.col("id").cast("int").alias("a")), path)
     assert rows(read_delimited(spark, path)) == [(0,), (1,)]
+
+
+def test_shared_folder_comes_from_the_session(spark, monkeypatch):
+    from meterline import session
+
+    assert session.scratch_path(spark, "a").startswith(session.shared_dir(spark))
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.meterline.unset")
+    made = session.shared_dir(spark)
+    assert os.path.isdir(made) and session.shared_dir(spark) == made
+    spark.conf.set("spark.meterline.unset", "/shared/folder")
+    assert session.shared_dir(spark) == "/shared/folder"
+    spark.conf.unset("spark.meterline.unset")

@@ -1,6 +1,9 @@
 """Streams equal their batch forms over several micro-batches; marks, lifecycle, followed files."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +128,28 @@ def test_lifecycle(spark):
 def test_end_marker(spark):
     df = spark.createDataFrame([("a", "<x>"), ("a", "</testResults>"), ("b", "<x>")], "path string, value string")
     assert rows(complete_files(df), "path") == [("a",)]
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from meterline.session import build_session
+from meterline.streaming.counters import stream_counter_delta
+from meterline.streaming.ingest import start
+spark = build_session("outside", "local[2]", **{{"spark.sql.shuffle.partitions": "2"}})
+stream = spark.readStream.schema({schema!r}).parquet({src!r})
+out = stream_counter_delta(stream, ["k"], "time", ["c"])
+start(out.writeStream.format("parquet").option("path", {out!r}).option("checkpointLocation", {cp!r}), "available_now").awaitTermination()
+print("rows", spark.read.parquet({out!r}).count())
+"""
+
+
+def test_workers_need_no_package(samples, tmp_path):
+    """Started from another folder, Python workers cannot import the library."""
+    src = str(tmp_path / "src")
+    samples.write.parquet(src)
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = SCRIPT.format(repo=repo, schema=SCHEMA, src=src, out=str(tmp_path / "o"), cp=str(tmp_path / "c"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 240" in done.stdout, done.stderr[-2000:]
