@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counters import delta_value
-from .slices import same_keys
 
 
 def enrich(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
