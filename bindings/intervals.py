@@ -26,7 +26,7 @@ marked AS (
   FROM span
 ),
 islands AS (
-  SELECT *, sum(opens) OVER (PARTITION BY jobId ORDER BY startTime, finishTime ROWS UNBOUNDED PRECEDING) AS island
+  SELECT *, sum(opens) OVER (PARTITION BY jobId ORDER BY startTime, finishTime RANGE UNBOUNDED PRECEDING) AS island
   FROM marked
 ),
 path AS (

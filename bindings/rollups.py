@@ -349,12 +349,14 @@ def action_sums(spark, sf_dir):
 def busy_sql(name: str, span: str, min_rows: int = 1) -> str:
     """CTEs that merge the intervals (k, s, e) of ``span`` and sum their length.
 
+    Equal intervals are peers: the island number is a RANGE sum, or a tie could fall into the island before its own.
+
     A bad endpoint voids a key, and so do fewer than ``min_rows`` intervals.
     """
     return f"""
 {name}_ok AS (SELECT k FROM {span} GROUP BY k HAVING count(*) >= {min_rows} AND count(*) = count(*) FILTER (WHERE s > 0 AND e > 0)),
 {name}_m AS (SELECT x.*, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS o FROM {span} x JOIN {name}_ok USING (k)),
-{name}_i AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {name}_m),
+{name}_i AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS g FROM {name}_m),
 {name} AS (SELECT k, CAST(sum(e - s) AS BIGINT) AS busy FROM (SELECT k, g, min(s) AS s, max(e) AS e FROM {name}_i GROUP BY 1, 2) GROUP BY 1)"""
 
 
