@@ -1,6 +1,7 @@
 """Registered queries: contract, and a spread of them against their SQL on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -17,8 +18,9 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) > 140
+    own = {q for q in entry.queries() if not re.match(r"op\d+_|pipeline$", q)}
+    assert own <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(own) > 140
 
 
 @needs_data
