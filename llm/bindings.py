@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import bindings_langid, bindings_licences, bindings_neardup, bindings_topk  # noqa: F401
+from . import bindings_langid, bindings_licences, bindings_linededup, bindings_neardup, bindings_topk  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
