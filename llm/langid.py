@@ -24,7 +24,8 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 2000
 FEATURE_BITS = 18
 NGRAMS = (2, 3, 4, 5)
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
+GROUP_CHARS = 3_000_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -180,8 +181,8 @@ def label_texts(texts: list[str | None], model, cache: dict[str, int], table: li
                 row.append(i)
         numbers.extend(row)
         lengths.append(len(row))
-    for i in range(0, len(new), 50_000):
-        table.append(emissions(new[i : i + 50_000], weights))
+    for i in range(0, len(new), 20_000):
+        table.append(emissions(new[i : i + 20_000], weights))
     if len(table) > 1:
         table[:] = [np.concatenate(table)]
     lengths = np.array(lengths, dtype=np.int64)
@@ -191,6 +192,20 @@ def label_texts(texts: list[str | None], model, cache: dict[str, int], table: li
     return forward_backward(table[0][np.array(numbers, dtype=np.int64)].astype(np.float64), some, transitions)[0], lengths
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[int]]:
+    """Texts of like length together, longest first, ``GROUP_CHARS`` in a group: sequences of a
+    group advance together, and a group bounds the memory (a longer text is a group of its own)."""
+    group, held = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
+        if group and held + len(texts[i] or "") > GROUP_CHARS:
+            yield group
+            group, held = [], 0
+        group.append(i)
+        held += len(texts[i] or "")
+    if group:
+        yield group
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     labels = model[0]
     cache: dict[str, int] = {}
@@ -198,24 +213,28 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
     for batch in batches:
         texts = batch.column("text").to_pylist()
         pred, score, by_lang = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
-        gamma, lengths = label_texts(texts, model, cache, rows)
-        if labels and len(gamma):
-            some = np.flatnonzero(lengths > 0)
-            starts = np.cumsum(lengths[some]) - lengths[some]
-            mean = np.add.reduceat(gamma, starts, axis=0) / lengths[some][:, None]
-            best = mean.argmax(axis=1)  # of equal ones the first: labels are sorted
-            hits = np.add.reduceat(np.eye(len(labels), dtype=np.int64)[gamma.argmax(axis=1)], starts, axis=0)
-            for i, k, m, h in zip(some, best, mean, hits, strict=True):
-                pred[i], score[i] = labels[k], min(1.0, float(m[k]))
-                by_lang[i] = ",".join(f"{labels[j]}:{h[j]}" for j in np.flatnonzero(h))
+        counts = np.zeros(len(texts), dtype=np.int64)
+        for group in _groups(texts):
+            gamma, lengths = label_texts([texts[i] for i in group], model, cache, rows)
+            counts[group] = lengths
+            if labels and len(gamma):
+                some = np.flatnonzero(lengths > 0)
+                starts = np.cumsum(lengths[some]) - lengths[some]
+                mean = np.add.reduceat(gamma, starts, axis=0) / lengths[some][:, None]
+                best = mean.argmax(axis=1)  # of equal ones the first: labels are sorted
+                hits = np.add.reduceat(np.eye(len(labels), dtype=np.int32)[gamma.argmax(axis=1)], starts, axis=0)
+                for j, k, m, h in zip(some, best, mean, hits, strict=True):
+                    i = group[j]
+                    pred[i], score[i] = labels[k], min(1.0, float(m[k]))
+                    by_lang[i] = ",".join(f"{labels[x]}:{h[x]}" for x in np.flatnonzero(h))
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
+                rows[:] = [rows[0][:0]]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score),
-             pa.array(lengths), pa.array(by_lang, pa.string())],
+             pa.array(counts), pa.array(by_lang, pa.string())],
             names=["id", "held_out", "lang_pred", "score", "n_words", "words_by_lang"],
         )
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-            rows[:] = [rows[0][:0]]
 
 
 def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
