@@ -1,6 +1,9 @@
 """Imports every module that registers queries."""
 
-from . import bindings_bpe, bindings_iblt, bindings_langid, bindings_licences, bindings_linededup, bindings_mixing, bindings_neardup, bindings_topk  # noqa: F401
+from . import (  # noqa: F401
+    bindings_bpe, bindings_iblt, bindings_langid, bindings_licences, bindings_linededup, bindings_mixing, bindings_neardup, bindings_topk,
+    bindings_warc,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
