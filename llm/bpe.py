@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_key
-from .minhash import Spans, bloom, flat_parts, key_long, may_hold, _key_longs
+from .minhash import _key_longs, bloom, flat_parts, key_long, may_hold, spans_for
 
 WINDOW = 16
 MEAN_CHUNK = 512
@@ -76,13 +76,13 @@ class Coder:
             self.decode = lambda ids: slow.decode(ids, skip_special_tokens=False)
 
 
-def cuts(contents: list[bytes], spans: Spans | None = None) -> list[list[int]]:
+def cuts(contents: list[bytes]) -> list[list[int]]:
     """Chunk borders of each item, its begin and end included; borders stand between characters."""
     line = b"".join(contents)
     if not line:
         return [[0, 0] for _ in contents]
     data = np.frombuffer(line, dtype=np.uint8)
-    spans = spans or Spans(len(data) + 1)
+    spans = spans_for(len(data))
     sums = spans.sums(data)
     at = np.arange(WINDOW, len(data))
     h = (sums[at] - sums[at - WINDOW]) * spans.down[at - WINDOW]

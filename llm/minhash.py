@@ -30,7 +30,7 @@ from .common import sorted_runs, stored
 
 BLOCK = 128
 BLOOM_BITS = 26
-FLAT_BYTES = 1 << 22
+FLAT_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 
 
@@ -67,6 +67,16 @@ class Spans:
         return mix((sums[end] - sums[start]) * self.down[start])
 
 
+_SPANS: list[Spans] = []
+
+
+def spans_for(size: int) -> Spans:
+    """Powers for ``size`` bytes, kept from call to call."""
+    if not _SPANS or len(_SPANS[0].up) <= size:
+        _SPANS[:] = [Spans(max(size + 1, 2 * FLAT_BYTES))]
+    return _SPANS[0]
+
+
 def flat_parts(contents: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of items of about ``FLAT_BYTES`` together."""
     begin = held = 0
@@ -79,12 +89,12 @@ def flat_parts(contents: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(contents)
 
 
-def word_shingles(contents: list[bytes], n: int, spans: Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``n``-word shingles of items whose words are joined by single spaces, one
     after the other, and each item's count. Fewer than ``n`` words make one shingle; no word none."""
     line = b" ".join(contents) + b" "
     data = np.frombuffer(line, dtype=np.uint8)
-    spans = spans if spans is not None and len(spans.up) > len(data) else Spans(len(data) + 1)
+    spans = spans_for(len(data))
     words = data != 32
     edge = np.flatnonzero(np.diff(words.view(np.int8), prepend=0))
     starts, ends = edge[0::2], edge[1::2]
@@ -93,7 +103,7 @@ def word_shingles(contents: list[bytes], n: int, spans: Spans | None = None) ->
     per = np.diff(np.searchsorted(starts, item_end), prepend=0)
     first = np.cumsum(per) - per
     length = np.minimum(per, n)
-    rolling, total = np.zeros(len(h), dtype=np.uint64), h
+    rolling = np.zeros(len(h), dtype=np.uint64)
     left = np.repeat(first + per, per) - np.arange(len(h))
     for k in range(n):
         ahead = np.zeros_like(h)
@@ -101,15 +111,14 @@ def word_shingles(contents: list[bytes], n: int, spans: Spans | None = None) ->
         rolling = np.where(left > k, rolling * np.uint64(0xC2B2AE3D27D4EB4F) + ahead, rolling)
     count = np.where(per > 0, per - length + 1, 0)
     keep = left >= np.repeat(length, per)
-    del total
     return mix(rolling[keep]), count
 
 
-def char_shingles(contents: list[bytes], n: int, spans: Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
+def char_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``n``-byte shingles of each item; a shorter item makes one, an empty one none."""
     line = b"".join(contents)
     data = np.frombuffer(line, dtype=np.uint8)
-    spans = spans if spans is not None and len(spans.up) > len(data) else Spans(len(data) + 1)
+    spans = spans_for(len(data))
     size = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
     ends = np.cumsum(size)
     count = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
