@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
 from . import (  # noqa: F401
-    bindings_bpe, bindings_iblt, bindings_langid, bindings_licences, bindings_linededup, bindings_mixing, bindings_neardup, bindings_topk,
+    bindings_bpe, bindings_iblt, bindings_langid, bindings_licences, bindings_linededup, bindings_mixing, bindings_neardup, bindings_tokenstore, bindings_topk,
     bindings_warc,
 )
 from .registry import ORACLES, QUERIES
