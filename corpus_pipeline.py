@@ -2,12 +2,67 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from llm.bpe import encode_digests
 from llm.common import stored, table
+from llm.langid import UNKNOWN, identify
+from llm.linededup import dedup_lines
+from llm.mixing import mix_by_weight
+from llm.neardup import keep_one
 
-ORACLE_SQL = None  # classifiers, MinHash and tokenizers are beyond SQL; tested against brute force
-STAGES: list = []
+#: a text whose words follow no learned language: four languages at random score 0.25
+LEAST_SCORE = 0.35
+
+ORACLE_SQL = None  # a trained field, MinHash and tokenizers are beyond SQL; the tests hold the stages against brute force
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without a letter, or whose words fit no learned
+    language, go. Null ids are kept if their text is. The field is learned from the documents
+    themselves, as the query ``op9_language_id`` does. The text is labelled in its row, so nothing is
+    joined back."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = identify(docs, held_out, keep_columns=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand elsewhere before; ``n_chars`` follows the text. A
+    document that loses all its lines goes, since its first copy has them all."""
+    left = dedup_lines(docs)
+    gone = (F.col("lines_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    return left.filter(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents, each as often as it is taken. The one document of a source at which its quota
+    ends is taken in part by the mix; here it counts once more from half on, since texts stay whole."""
+    taken = mix_by_weight(docs, keep_text=True)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    copies = taken.withColumn("__times", times).filter("__times > 0")
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests."""
+    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing to target weights", mixing),
+    ("BPE encoding", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,8 @@ def _groups(texts: list[str | None]) -> Iterator[list[int]]:
         yield group
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], n_out: int) -> Iterator[pa.RecordBatch]:
+    """The columns ``keep`` and the first ``n_out`` results."""
     labels = model[0]
     cache: dict[str, int] = {}
     rows = [np.empty((0, len(labels)), dtype=np.float32)]
@@ -230,11 +231,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             if len(cache) > CACHED_WORDS:
                 cache.clear()
                 rows[:] = [rows[0][:0]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score),
-             pa.array(counts), pa.array(by_lang, pa.string())],
-            names=["id", "held_out", "lang_pred", "score", "n_words", "words_by_lang"],
-        )
+        out = [pa.array(pred, pa.string()), pa.array(score), pa.array(counts), pa.array(by_lang, pa.string())][:n_out]
+        names = ["lang_pred", "score", "n_words", "words_by_lang"][:n_out]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], names=[*keep, *names])
 
 
 def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
@@ -250,8 +249,11 @@ def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAM
     return fit([(r["lang"], r["text"]) for r in picked])
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Language of every row of ``docs``: ``id, held_out, lang_pred, score, n_words, words_by_lang``.
+def identify(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False
+) -> DataFrame:
+    """Language of every row of ``docs``: ``id, held_out, lang_pred, score, n_words, words_by_lang``,
+    or with ``keep_columns`` all its columns, ``lang_pred`` and ``score`` (replaced where they exist).
 
     The field is learned from rows where ``held_out`` is false and the language is known; rows
     where it is null are neither learned from nor held out. A text that is null or has no letter
@@ -263,7 +265,12 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     model = learn(docs.filter(~held_out), text_col, lang_col)
     shared = spark.sparkContext.broadcast(model)
+    if keep_columns:
+        whole = F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")]).alias("row")
+        rows = docs.select(whole, F.col(text_col).alias("text"))
+        schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+        return rows.mapInArrow(lambda it: _predict(it, shared.value, ["row"], 2), schema).select("row.*", "lang_pred", "score")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
     )
-    return rows.mapInArrow(lambda it: _predict(it, shared.value), _OUT).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda it: _predict(it, shared.value, ["id", "held_out"], 4), _OUT).withColumnRenamed("id", id_col)

@@ -167,9 +167,9 @@ def mix(
 
 def mix_by_weight(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: int = 11,
+    weights: tuple = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: int = 11, keep_text: bool = False,
 ) -> DataFrame:
-    """Documents (without the text) plus ``size, source_size, target, taken``, whose names are
+    """Documents (without the text, save with ``keep_text``) plus ``size, source_size, target, taken``, whose names are
     replaced where the documents have them; sources are mixed to weights that repeat.
 
     Sources are numbered by code point, null last (a null source is a source of its own), and
@@ -185,7 +185,7 @@ def mix_by_weight(
     new = ("size", "source_size", "target", "taken", "__source", "__sources", "__size")
     sized = stored(
         docs.select(
-            *[c for c in names if c not in (text_col, *new)], words.alias("__size"),
+            *[c for c in names if c not in new and (keep_text or c != text_col)], words.alias("__size"),
             F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("__source"),
         ),
         "sized",
