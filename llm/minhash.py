@@ -105,7 +105,7 @@ def word_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray
     length = np.minimum(per, n)
     rolling = np.zeros(len(h), dtype=np.uint64)
     left = np.repeat(first + per, per) - np.arange(len(h))
-    for k in range(n):
+    for k in range(min(n, len(h))):
         ahead = np.zeros_like(h)
         ahead[: len(h) - k] = h[k:] if k else h
         rolling = np.where(left > k, rolling * np.uint64(0xC2B2AE3D27D4EB4F) + ahead, rolling)

@@ -70,9 +70,9 @@ def jaccard_classes(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one left of each class, columns as they were. Rows that repeat id and
     text count as one, save for texts without a word, which all stay."""
-    kept = jaccard_classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), "k").distinct()
+    kept = jaccard_classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("k").alias("__kept")).distinct()
     keyed = docs.withColumn("__k", text_key(F.col(text_col)))
     worded = F.coalesce(F.col(text_col).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
-    same = (F.col("__k") == F.col("k")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    same = (F.col("__k") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
     found = keyed.filter(worded).join(kept, same).dropDuplicates(["__k", "__id"])
     return found.select(*docs.columns).unionByName(docs.filter(~worded))
