@@ -17,35 +17,27 @@ THRESHOLD = 0.8
 RECALL = 0.999
 BAND_ROWS = 4
 
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256))
-
-
-def normalised(line: str) -> bytes:
-    """A-Z lower-cased, runs of ASCII white space as one space, none at the ends."""
-    return b" ".join(line.encode("utf-8").translate(_FOLD).split())
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\v\f\r" else b for b in range(256))
 
 
 def _lines(text: str | None) -> list[tuple[int, bytes]]:
-    """Numbers and normalised contents of the lines that are not blank."""
+    """Numbers and contents of the lines that are not blank: A-Z lower-cased, runs of ASCII white
+    space as one space, none at the ends."""
     if not text:
         return []
-    return [(i, c) for i, line in enumerate(text.split("\n")) if (c := normalised(line))]
-
-
-def _source(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
-    contents = [c for t in batch.column("text").to_pylist() for _, c in _lines(t)]
-    return [hashlib.md5(c).digest() for c in contents], contents
+    raw = text.encode("utf-8").translate(_FOLD)
+    lines = raw.split(b"\n")
+    if b"  " in raw:
+        lines = [b" ".join(line.split()) for line in lines]
+    return [(i, c) for i, line in enumerate(lines) if (c := line.strip(b" "))]
 
 
-def _occurrences(batches):
-    for batch in batches:
-        ids, docs = batch.column("id").to_pylist(), batch.column("d").to_pylist()
-        out = [(i, d, n, hashlib.md5(c).digest()) for i, d, t in zip(ids, docs, batch.column("text").to_pylist(), strict=True) for n, c in _lines(t)]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
-            names=["id", "d", "n", "k"],
-        )
+def _source(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], dict]:
+    found = [_lines(t) for t in batch.column("text").to_pylist()]
+    contents = [c for lines in found for _, c in lines]
+    rows = pa.array([row for row, lines in enumerate(found) for _ in lines], pa.int64())
+    more = {"id": batch.column("id").take(rows), "d": batch.column("d").take(rows), "n": pa.array([n for lines in found for n, _ in lines], pa.int32())}
+    return [hashlib.md5(c).digest() for c in contents], contents, more
 
 
 def without_lines(text: str, numbers: list[int]) -> str:
@@ -72,11 +64,11 @@ def dropped_lines(
     """``id, d, numbers``: numbers (from 0) of the lines that go, for each document that loses any;
     ``d`` is the key of the document's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = similar(rows.select("text"), _source, lambda c: char_shingles(c, chars), threshold, recall, BAND_ROWS)
+    rows = rows.withColumn("d", text_key(F.col("text")))
+    shingle = lambda c: char_shingles(c, chars)
+    links, places = similar(rows, _source, shingle, threshold, recall, BAND_ROWS, "id bigint, d binary, n int", degrees=False)
     roots = components(links.filter("other IS NOT NULL"), "k", "other").withColumnsRenamed({"node": "k"})
-    places = rows.withColumn("d", text_key(F.col("text"))).mapInArrow(_occurrences, "id long, d binary, n int, k binary")
     # the first line of each text of a line, then of each component: both combined before the shuffle
-    places = stored(places, "lines")
     place = F.struct(F.col("id").isNull(), "id", "d", "n")
     each = places.groupBy("k").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
     each = each.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_runs, stored
+from .common import stored
 
 BLOCK = 128
 BLOOM_BITS = 26
 FLAT_BYTES = 1 << 20
+HELD_KEYS = 200_000
 _P = 0x9E3779B97F4A7C15
 
 
@@ -131,17 +132,16 @@ def signatures(shingles: np.ndarray, count: np.ndarray, bands: int, rows: int) -
     begins = (np.cumsum(count) - count)[count > 0]
     if not len(begins):
         return np.empty((0, bands), dtype=np.int64)
-    low = (shingles >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    # both halves of a hash are random, so low * x + high is, for each odd x, a random order of its own
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
     high = shingles.astype(np.uint32)
-    seeds = np.random.default_rng(20240601).integers(1, 1 << 32, size=(bands * rows, 2), dtype=np.uint32)
-    out = np.empty((len(begins), bands), dtype=np.uint64)
+    odd = np.random.default_rng(20240601).integers(1, 1 << 32, size=bands * rows, dtype=np.uint32) | np.uint32(1)
+    out, value = np.empty((len(begins), bands), dtype=np.uint64), np.empty_like(low)
     for b in range(bands):
         h = np.full(len(begins), b + 1, dtype=np.uint64)
         for r in range(rows):
-            x, y = seeds[b * rows + r]
-            value = low * (x | np.uint32(1))
-            value += high ^ y
-            value *= np.uint32(0x85EBCA6B)
+            np.multiply(low, odd[b * rows + r], out=value)
+            np.add(value, high, out=value)
             h = mix(h ^ np.minimum.reduceat(value, begins).astype(np.uint64))
         out[:, b] = h
     return out.view(np.int64)
@@ -149,7 +149,7 @@ def signatures(shingles: np.ndarray, count: np.ndarray, bands: int, rows: int) -
 
 def bloom(df: DataFrame, value: Column) -> tuple[int, np.ndarray]:
     """Filter of uniformly hashed longs: two bits of each, in a table of bounded size."""
-    rows = df.select(value.alias("h"))
+    rows = stored(df.select(value.alias("h")), "hashes")
     n = rows.count()
     bits = 1 << min(BLOOM_BITS, max(16, (16 * n).bit_length()))
     low, high = F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)
@@ -182,21 +182,33 @@ def _key_longs(keys: list[bytes]) -> np.ndarray:
 
 
 class _Links:
-    """Union-find over the members of one cell."""
+    """What the cells of a task have found: degrees, and links that join what was apart."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, degrees: bool):
+        self.up: dict[bytes, bytes] = {}
+        self.degrees: dict[bytes, int] | None = {} if degrees else None
+        self.edges: list[tuple] = []
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
+    def find(self, x: bytes) -> bytes:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    def link(self, a: bytes, b: bytes) -> None:
+        if self.degrees is not None:
+            for x in (a, b):
+                self.degrees[x] = self.degrees.get(x, 0) + 1
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.edges.append((a, None, b))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        out = self.edges + [(k, d, None) for k, d in (self.degrees or {}).items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
+        self.__init__(self.degrees is not None)
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -220,64 +232,86 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 _LINKS = pa.schema([("k", pa.binary()), ("deg", pa.int64()), ("other", pa.binary())])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: float) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    for run in sorted_runs(batches, ["bk", "i", "j"]):
-        bk, i, j = (run.column(c)[0].as_py() for c in ("bk", "i", "j"))
-        keys, block = run.column("k").to_pylist(), np.array(run.column("block").to_pylist())
-        buckets = run.column("bs").to_pylist()
-        sets = sets_of(run.column("content").to_pylist())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(left) or not len(right):
-            continue
+_CELL = ("bk", "i", "j", "block", "k", "bs", "content")
+
+
+def _verify_cell(rows: list[tuple], sets: list[np.ndarray], threshold: float, links: _Links) -> None:
+    bk, i, j = rows[0][:3]
+    block = np.array([r[3] for r in rows])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return
+    sizes = np.array([len(s) for s in sets])
+    if len(rows) == 2 and i == j:
+        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
+    else:
         both = _common(sets, left, right)
-        sizes = np.array([len(s) for s in sets])
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        near = both >= threshold * union - 1e-9
-        if i == j:
-            near &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        deg, links = np.zeros(len(keys), dtype=np.int64), _Links(len(keys))
-        for x, y in zip(*np.nonzero(near), strict=True):
-            a, b = int(left[x]), int(right[y])
-            if min(set(buckets[a]) & set(buckets[b])) == bk:
-                deg[a] += 1
-                deg[b] += 1
-                if links.join(a, b):
-                    out.append((keys[a], None, keys[b]))
-        out += [(keys[x], int(deg[x]), None) for x in np.flatnonzero(deg)]
-        if len(out) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
+    near = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+    if i == j:
+        near = np.triu(near, 1)
+    for x, y in zip(*(p.tolist() for p in np.nonzero(near)), strict=True):
+        a, b = rows[left[x]], rows[right[y]]
+        if min(set(a[5]) & set(b[5])) == bk:
+            links.link(a[4], b[4])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: float, degrees: bool) -> Iterator[pa.RecordBatch]:
+    """Cells arrive sorted; they are worked through in parts of bounded size, and the last one of a
+    part waits for the rest of its rows."""
+    held: list[tuple] = []
+    links = _Links(degrees)
+
+    def work(rows: list[tuple]) -> None:
+        sets: list = [None] * len(rows)
+        for a, b in flat_parts([r[6] for r in rows]):
+            sets[a:b] = sets_of([r[6] for r in rows[a:b]])
+        begin = 0
+        for at in range(1, len(rows) + 1):
+            if at == len(rows) or rows[at][:3] != rows[begin][:3]:
+                _verify_cell(rows[begin:at], sets[begin:at], threshold, links)
+                begin = at
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            held += zip(*(batch.column(c).slice(at, 1024).to_pylist() for c in _CELL), strict=True)
+            last = next((n for n in range(len(held) - 1, 0, -1) if held[n - 1][:3] != held[n][:3]), 0)
+            if last:
+                work(held[:last])
+                held = held[last:]
+            if len(links.up) > HELD_KEYS:
+                yield from links.flush()
+    if held:
+        work(held)
+    yield from links.flush()
 
 
 def similar(
-    rows: DataFrame, source: Callable, shingle: Callable, threshold: float, recall: float, band_rows: int
-) -> DataFrame:
+    rows: DataFrame, source: Callable, shingle: Callable, threshold: float, recall: float, band_rows: int, extra: str = "",
+    degrees: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """Pairs of different items with Jaccard similarity of at least ``threshold``.
 
-    ``source(batch) -> (keys, contents)`` names the items of an Arrow batch of ``rows``;
-    ``shingle(contents) -> (hashes, counts)`` their shingles. Returns ``k, deg, other``: rows
-    without ``other`` add ``deg`` links to item ``k``; rows with it are links that connect the
-    components. Items without shingles have no links.
+    ``source(batch) -> (keys, contents, more)`` names the items of an Arrow batch of ``rows``, with
+    arrays of further columns (declared in ``extra``); ``shingle(contents) -> (hashes, counts)`` gives
+    their shingles. Returns the links and the items. Links are ``k, deg, other``: rows without ``other``
+    (only with ``degrees``) add ``deg`` links to item ``k``; rows with it are links that connect the components. Items
+    (``k`` and the further columns) are those with shingles; the others have no links.
     """
     bands = choose_bands(threshold, recall, band_rows)
     spark = rows.sparkSession
 
     def sign(batches):
         for batch in batches:
-            keys, contents = source(batch)
+            keys, contents, more = source(batch)
             for a, b in flat_parts(contents):
                 hashes, count = shingle(contents[a:b])
                 found = signatures(hashes, count, bands, band_rows)
-                some = [keys[a + i] for i in np.flatnonzero(count > 0)]
+                some = np.flatnonzero(count > 0)
                 lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), found.reshape(-1))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), lists], names=["k", "bands"])
+                further = [x.slice(a, b - a).take(pa.array(some)) for x in more.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in some], pa.binary()), lists, *further], names=["k", "bands", *more])
 
-    signed = stored(rows.mapInArrow(sign, "k binary, bands array<long>"), "signatures")
+    signed = stored(rows.mapInArrow(sign, "k binary, bands array<long>" + (f", {extra}" if extra else "")), "signatures")
     twice = signed.select(F.explode("bands").alias("bk")).groupBy("bk").count().filter("count > 1")
     held = spark.sparkContext.broadcast(bloom(twice, F.col("bk")))
 
@@ -301,7 +335,7 @@ def similar(
 
     def fetch(batches):
         for batch in batches:
-            keys, contents = source(batch)
+            keys, contents, _ = source(batch)
             if not keys:
                 continue
             ok = np.flatnonzero(may_hold(wanted.value, _key_longs(keys)))
@@ -322,5 +356,5 @@ def similar(
         hashes, count = shingle(contents)
         return [np.unique(part) for part in np.split(hashes, np.cumsum(count)[:-1])]
 
-    found = cells.mapInArrow(lambda it: _verify(it, sets_of, threshold), "k binary, deg long, other binary")
-    return stored(found, "links")
+    found = cells.mapInArrow(lambda it: _verify(it, sets_of, threshold, degrees), "k binary, deg long, other binary")
+    return stored(found, "links"), signed.drop("bands")

@@ -24,9 +24,9 @@ def normalised(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8").translate(_TABLE).split())
 
 
-def _source(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+def _source(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], dict]:
     texts = batch.column("text").to_pylist()
-    return [hashlib.md5((t or "").encode("utf-8")).digest() for t in texts], [normalised(t) for t in texts]
+    return [hashlib.md5((t or "").encode("utf-8")).digest() for t in texts], [normalised(t) for t in texts], {}
 
 
 def jaccard_classes(
@@ -45,7 +45,7 @@ def jaccard_classes(
     columns play no part.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    links = similar(rows.select("text"), _source, lambda c: word_shingles(c, n), threshold, recall, BAND_ROWS)
+    links, _ = similar(rows.select("text"), _source, lambda c: word_shingles(c, n), threshold, recall, BAND_ROWS)
     degree = links.filter("other IS NULL").groupBy("k").agg(F.sum("deg").alias("n_links"))
     roots = components(links.filter("other IS NOT NULL"), "k", "other").withColumnsRenamed({"node": "k"})
     worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
