@@ -83,13 +83,16 @@ SELECT user_id AS host, event_type AS document, 'about ' || event_type AS help,
        CASE WHEN event_type = 'click' THEN user_id END AS value_int FROM events""",
 )
 def exposition(spark, sf_dir):
-    """One scrape per user; each event type is a metric with HELP and (but for one) TYPE lines."""
+    """One scrape per user; each event type is a metric with HELP and (but for one) TYPE lines. A HELP
+    and a TYPE line before them are cut short, and a label is repeated."""
     ev = table(spark, sf_dir, "events")
     base = F.ascii("event_type").cast("bigint") * 10**12
     heads = ev.select("user_id", "event_type").distinct().select(
         F.col("user_id").alias("host"),
         F.explode(
             F.array(
+                F.struct((base - 2).alias("line_no"), F.lit("# HELP").alias("value")),
+                F.struct((base - 1).alias("line_no"), F.lit("# TYPE x").alias("value")),
                 F.struct(base.alias("line_no"), F.format_string("# HELP %s about %s", "event_type", "event_type").alias("value")),
                 F.struct(
                     (base + 1).alias("line_no"),
@@ -101,7 +104,7 @@ def exposition(spark, sf_dir):
     number = F.when(F.col("event_type") == "click", F.col("user_id").cast("string")).otherwise(F.col("value").cast("string"))
     body = ev.select(
         F.col("user_id").alias("host"), (base + 2 + F.col("event_id")).alias("line_no"),
-        F.format_string('%s_total{id="%d",label="a b"} %s', "event_type", "event_id", number).alias("value"),
+        F.format_string('%s_total{id="0",id="%d",label="a b"} %s', "event_type", "event_id", number).alias("value"),
     )
     out = parse_exposition(heads.unionByName(body), ["host"])
     return out.select(
@@ -114,7 +117,7 @@ def exposition(spark, sf_dir):
     """
 SELECT o_orderkey, 'px' || o_custkey AS pxname, CAST(o_custkey AS DOUBLE) AS rate, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_custkey END AS ereq,
        CAST(o_orderkey AS DOUBLE) / 1024 AS bin, CASE WHEN o_custkey % 10 <> 0 THEN CAST(o_orderkey % 10 AS DOUBLE) / (o_custkey % 10) * 100 END AS sutil
-FROM orders WHERE o_orderstatus = 'O'""",
+FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 97 <> 0""",
 )
 def proxy_front(spark, sf_dir):
     return proxy_frontends(_proxy(spark, sf_dir)).select("o_orderkey", "pxname", "rate", "ereq", "bin", "sutil")
@@ -124,23 +127,37 @@ def proxy_front(spark, sf_dir):
     "proxy_backends",
     """
 SELECT o_orderkey, 'px' || o_custkey AS pxname, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_custkey END AS econ, o_orderkey AS rtime
-FROM orders WHERE o_orderstatus = 'F'""",
+FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 97 <> 0""",
 )
 def proxy_back(spark, sf_dir):
     return proxy_backends(_proxy(spark, sf_dir)).select("o_orderkey", "pxname", "econ", "rtime")
 
 
-PROXY_HEADER = "# pxname,svname,scur,slim,bin,bout,rate,req_rate,ereq,dreq,econ,rtime,"
+PROXY_HEADERS = (
+    "# pxname,svname,scur,slim,bin,bout,rate,req_rate,ereq,dreq,econ,rtime,",
+    "# pxname,svname,slim,scur,rate,bin,bout,req_rate,econ,ereq,dreq,rtime,",
+)
 
 
 def _proxy(spark, sf_dir):
+    """One dump per fiftieth of the orders; odd ones name their fields in another order. Some lines
+    are an error text instead of fields."""
     cust, order = F.col("o_custkey"), F.col("o_orderkey")
     side = F.when(F.col("o_orderstatus") == "O", "FRONTEND").when(F.col("o_orderstatus") == "F", "BACKEND").otherwise("srv1")
     maybe = F.when(cust % 5 == 0, "").otherwise(cust.cast("string"))
-    line = F.format_string(
+    even = F.format_string(
         "px%d,%s,%d,%d,%d,%d,%d,%d,%s,%d,%s,%d,", cust, side, order % 10, cust % 10, order, order, cust, cust, maybe, cust, maybe, order
     )
-    return parse_proxy_stats(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("value")), PROXY_HEADER)
+    odd = F.format_string(
+        "px%d,%s,%d,%d,%d,%d,%d,%d,%s,%s,%d,%d,", cust, side, cust % 10, order % 10, cust, order, order, cust, maybe, maybe, cust, order
+    )
+    line = F.when(order % 97 == 0, "503 Service Unavailable").when(order % 2 == 0, even).otherwise(odd)
+    rows = table(spark, sf_dir, "orders").select((order % 50).alias("dump"), order.alias("line_no"), "o_orderkey", line.alias("value"))
+    heads = rows.select("dump").distinct().select(
+        "dump", F.lit(-1).cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("o_orderkey"),
+        F.when(F.col("dump") % 2 == 0, PROXY_HEADERS[0]).otherwise(PROXY_HEADERS[1]).alias("value"),
+    )
+    return parse_proxy_stats(heads.unionByName(rows), part=["dump"], order="line_no")
 
 
 @query(

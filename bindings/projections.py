@@ -275,7 +275,7 @@ def closed_lookback(spark, sf_dir):
     "elapsed_strings",
     """
 SELECT event_id, user_id * 3600 + (event_id % 60) * 60 + event_id % 50 AS seconds,
-       CAST(2 * 1440 + user_id * 60 + event_id % 60 AS DOUBLE) + round((event_id % 50) / 60.0::DOUBLE, 4) AS minutes,
+       CASE WHEN event_id % 7 <> 0 THEN CAST(2 * 1440 + user_id * 60 + event_id % 60 AS DOUBLE) + round((event_id % 50) / 60.0::DOUBLE, 4) END AS minutes,
        (event_id % 60) * 60 + event_id % 50 AS short FROM events""",
 )
 def elapsed_strings(spark, sf_dir):
@@ -283,7 +283,7 @@ def elapsed_strings(spark, sf_dir):
     short = F.format_string("%02d:%02d", F.col("event_id") % 60, F.col("event_id") % 50)
     return table(spark, sf_dir, "events").select(
         "event_id", elapsed_to_seconds(clock).alias("seconds"),
-        elapsed_to_minutes(F.concat(F.lit("2-"), clock)).alias("minutes"), elapsed_to_seconds(short).alias("short"),
+        elapsed_to_minutes(F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("2-"), clock)).otherwise("45")).alias("minutes"), elapsed_to_seconds(short).alias("short"),
     )
 
 
@@ -333,8 +333,11 @@ def placeholder_when_empty(spark, sf_dir):
 @query(
     "text_to_epoch",
     """
-SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 4 * 3600 AS edt, CAST(epoch(o_orderdate) AS BIGINT) AS gmt,
-       CAST(epoch(o_orderdate) AS BIGINT) AS iso FROM orders""",
+SELECT o_orderkey, s + 4 * 3600 AS edt, s AS gmt, s AS iso, s + 7 * 3600 AS mst, s - 19800 AS kolkata, CAST(NULL AS BIGINT) AS unknown,
+       -- daylight saving lasts from the first Sunday of April to the last of October until 2006
+       s + CASE WHEN d >= CAST(y || '-04-01' AS DATE) + CAST((7 - dayofweek(CAST(y || '-04-01' AS DATE))) % 7 AS INTEGER)
+                 AND d <= CAST(y || '-10-31' AS DATE) - CAST(dayofweek(CAST(y || '-10-31' AS DATE)) AS INTEGER) - 1 THEN 4 ELSE 5 END * 3600 AS eastern_noon
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders)""",
 )
 def text_to_epoch(spark, sf_dir):
     day = F.col("o_orderdate").cast("timestamp")
@@ -344,6 +347,10 @@ def text_to_epoch(spark, sf_dir):
         zoned_text_to_epoch(F.concat(wall, F.lit(" EDT"))).alias("edt"),
         zoned_text_to_epoch(F.concat(wall, F.lit(" GMT"))).alias("gmt"),
         iso_gmt_to_epoch(F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("GMT"))).alias("iso"),
+        zoned_text_to_epoch(F.concat(wall, F.lit(" MST"))).alias("mst"),
+        zoned_text_to_epoch(F.concat(wall, F.lit(" Asia/Kolkata"))).alias("kolkata"),
+        zoned_text_to_epoch(F.concat(wall, F.lit(" Nowhere/Zone"))).alias("unknown"),
+        (zoned_text_to_epoch(F.concat(F.date_format(day + F.expr("INTERVAL 12 HOURS"), "E, dd MMM yyyy HH:mm:ss"), F.lit(" US/Eastern"))) - 43200).alias("eastern_noon"),
     )
 
 

@@ -95,17 +95,13 @@ def memory_pool_name(col) -> Column:
 
 
 def size_to_kb(col) -> Column:
-    """``1.2g`` to kilobytes; a bare number is already kilobytes, an unknown unit gives NULL."""
-    c = _col(col)
-    number = F.regexp_extract(c, r"^(\d*\.?\d*)", 1).try_cast("double")
-    unit = F.regexp_extract(c, r"([a-z])", 1)
-    factor = (
-        F.when(unit.isin("", "k"), F.lit(1.0))
-        .when(unit == "m", F.lit(1024.0))
-        .when(unit == "g", F.lit(1048576.0))
-        .when(unit == "t", F.lit(1073741824.0))
-    )
-    return number * factor
+    """``1.2g`` to kilobytes; a bare number is already kilobytes, other text gives NULL."""
+    parts = r"^(\d+\.?\d*|\.\d+)([kmgt]?)$"
+    c = F.trim(_col(col))
+    number = F.regexp_extract(c, parts, 1).try_cast("double")
+    # each letter of the row is 1024 times the one before; none counts as k
+    place = F.greatest(F.instr(F.lit("kmgt"), F.regexp_extract(c, parts, 2)) - 1, F.lit(0))
+    return number * F.pow(F.lit(1024.0), place)
 
 
 def string_to_array(col, element: str = "string") -> Column:

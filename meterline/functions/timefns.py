@@ -35,15 +35,34 @@ def epoch_millis(col) -> Column:
 def zoned_text_to_epoch(col) -> Column:
     """``Fri, 10 Aug 2018 16:10:23 EDT`` to epoch seconds.
 
-    The abbreviation alone fixes the offset (the ``D`` marks daylight saving),
-    so repeated clock times in autumn stay unambiguous.
+    An abbreviation of the table alone fixes the offset (the ``D`` marks daylight saving), so
+    repeated clock times in autumn stay unambiguous. Any other zone name Spark knows
+    (``US/Eastern``, ``Asia/Kolkata``, ``MST``, ``+05:30``) is read by its rules; a name it does
+    not know, or text of another form, gives NULL.
     """
     c = _col(col)
-    wall = F.regexp_extract(c, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    zone = F.regexp_extract(c, r"(\w+)$", 1)
+    clock = r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})"
+    wall = F.try_to_timestamp(F.concat(F.regexp_extract(c, clock, 1), F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
+    zone = F.regexp_extract(c, clock + r" (\S+)\s*$", 2)
     offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSET_HOURS.items() for x in pair])
-    as_utc = F.try_to_timestamp(F.concat(wall, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return F.unix_timestamp(as_utc) - F.try_element_at(offsets, zone) * 3600
+    fixed = F.unix_timestamp(wall) - F.try_element_at(offsets, zone) * 3600
+    # a cast reads zone names after the clock, and gives NULL where it cannot
+    seconds = F.unix_timestamp(wall)
+    days = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    of_day = F.pmod(seconds, F.lit(86400))
+    text = F.format_string("%sT%02d:%02d:%02d", days.cast("string"), F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60)
+    named = F.unix_timestamp(F.when(zone != "", F.concat_ws(" ", text, zone)).try_cast("timestamp"))
+    return F.coalesce(fixed, named)
+
+
+def utc_to_local(col, zone) -> Column:
+    """Clock time in a zone (a name or a column of names) of a UTC timestamp."""
+    return F.from_utc_timestamp(_col(col), zone)
+
+
+def local_to_utc(col, zone) -> Column:
+    """UTC timestamp of a clock time in a zone."""
+    return F.to_utc_timestamp(_col(col), zone)
 
 
 http_date_to_epoch = zoned_text_to_epoch
@@ -88,9 +107,9 @@ def elapsed_to_seconds(col) -> Column:
 
 
 def elapsed_to_minutes(col) -> Column:
-    """``[dd-][hh:]mm:ss`` to minutes, the seconds part rounded to four places."""
+    """``[dd-][hh:]mm:ss`` to minutes, the seconds part rounded to four places; NULL without a colon."""
     days, clock = _elapsed_parts(col)
-    seconds = F.element_at(clock, -1).try_cast("double")
-    minutes = F.element_at(clock, -2).try_cast("bigint")
+    seconds = F.try_element_at(clock, F.lit(-1)).try_cast("double")
+    minutes = F.try_element_at(clock, F.lit(-2)).try_cast("bigint")
     hours = F.when(F.size(clock) > 2, F.try_element_at(clock, F.lit(-3)).try_cast("bigint")).otherwise(0)
     return days * 1440 + hours * 60 + minutes + F.round(seconds / 60, 4)

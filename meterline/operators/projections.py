@@ -55,7 +55,17 @@ def rename_keys(df: DataFrame, mapping: Mapping[str, str] | Callable[[str], str]
 
 def rename_map_keys(df: DataFrame, col: str, rule: Callable[[Column], Column] = camel_case) -> DataFrame:
     """Apply a naming rule to the keys of a map column."""
-    return df.withColumn(col, F.transform_keys(col, lambda k, v: rule(k)))
+    entries = F.transform(F.map_entries(col), lambda e: F.struct(rule(e["key"]).alias("k"), e["value"].alias("v")))
+    return df.withColumn(col, last_wins_map(entries))
+
+
+def last_wins_map(entries: Column) -> Column:
+    """Map of an array of ``(k, v)`` structs; of entries with one key the last counts, and entries
+    without a key are left out (Spark's own constructors raise on both)."""
+    named = F.filter(entries, lambda e: e["k"].isNotNull())
+    keys = F.array_distinct(F.transform(named, lambda e: e["k"]))
+    last = F.transform(keys, lambda k: F.try_element_at(F.filter(named, lambda e: e["k"] == k), F.lit(-1))["v"])
+    return F.map_from_arrays(keys, last)
 
 
 def drop_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -145,17 +155,20 @@ def name_values_to_columns(
 
 
 def counters_to_map(groups: Column, suffix: str = "") -> Column:
-    """Counter groups (array of structs with a ``counts`` array of name, value) to one map."""
-    flat = F.flatten(F.transform(groups, lambda g: g["counts"]))
-    entries = F.transform(flat, lambda c: F.struct(F.concat(camel_case(c["name"]), F.lit(suffix)), c["value"]))
-    return F.map_from_entries(entries)
+    """Counter groups (array of structs with a ``counts`` array of name, value) to one map.
+
+    A name that occurs again, in another group or folded to the same camel case, wins.
+    """
+    flat = F.flatten(F.filter(F.transform(groups, lambda g: g["counts"]), lambda c: c.isNotNull()))
+    entries = F.transform(flat, lambda c: F.struct(F.concat(camel_case(c["name"]), F.lit(suffix)).alias("k"), c["value"].alias("v")))
+    return last_wins_map(entries)
 
 
 def counters_to_columns(
     df: DataFrame, groups: str, names: Sequence[str], suffix: str = ""
 ) -> DataFrame:
     """Named counters of nested counter groups as columns, row by row (no shuffle)."""
-    flat = F.flatten(F.transform(F.col(groups), lambda g: g["counts"]))
+    flat = F.flatten(F.filter(F.transform(F.col(groups), lambda g: g["counts"]), lambda c: c.isNotNull()))
     named = F.transform(flat, lambda c: F.struct(camel_case(c["name"]).alias("k"), c["value"].alias("v")))
     out = {}
     for name in names:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,16 +33,24 @@ def build_session(app: str = "meterline", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether the driver runs the tasks itself (``local``, ``local[8]``, ``local[2,3]``)."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made, one
-    per application.
+    Only where the setting is absent and everything runs in one process (a local master: tests, a
+    laptop) is a temporary folder made, one per application. On a cluster it must be set: each
+    executor would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if folder:
         return folder
+    if not is_local(context.master):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors of {context.master} share")
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="meterline-")
     return _local_dirs[context.applicationId]

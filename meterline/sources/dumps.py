@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import size_to_kb, template_url
 from ..operators.ordering import number_groups
+from ..operators.projections import last_wins_map
 from ..operators.slices import carry_forward, drop_slices, slice_groups
 
 LINE_ORDER = "line_no"
@@ -144,17 +145,18 @@ def parse_exposition(
 ) -> DataFrame:
     """Samples of metric exposition text: name, labels, value, and the HELP and TYPE in force.
 
-    ``value_int`` is set where the text is a whole number, ``value`` always.
+    ``value_int`` is set where the text is a whole number, ``value`` always. A comment line cut
+    short names nothing; of a repeated label the last counts.
     """
     v = F.col("value")
     is_help, is_type = v.startswith("# HELP"), v.startswith("# TYPE")
     words = F.split(v, " ")
     marked = df.withColumns(
         {
-            "document": F.when(is_help, words[2]),
+            "document": F.when(is_help, F.get(words, F.lit(2))),
             "help": F.when(is_help, F.array_join(F.slice(words, 4, F.greatest(F.size(words) - 3, F.lit(0))), " ")),
             # a HELP line opens a metric whose TYPE is not known yet: blank, not the last one
-            "type": F.when(is_type, words[3]).when(is_help, F.lit("")),
+            "type": F.when(is_type, F.get(words, F.lit(3))).when(is_help, F.lit("")),
         }
     )
     filled = carry_forward(marked, part, order, ["document", "help", "type"], rows_per_slice=rows_per_slice)
@@ -167,7 +169,7 @@ def parse_exposition(
     return samples.withColumns(
         {
             "metric": F.regexp_extract(v, r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1),
-            "labels": F.map_from_arrays(keys, vals),
+            "labels": last_wins_map(F.zip_with(keys, vals, lambda k, x: F.struct(k.alias("k"), x.alias("v")))),
             "type": F.nullif(F.col("type"), F.lit("")),
             "value_int": F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")),
             "_number": text.try_cast("double"),
@@ -177,22 +179,39 @@ def parse_exposition(
 
 # ---------------------------------------------------------------- proxy CSV
 
-def parse_proxy_stats(df: DataFrame, header: str, part: Sequence[str] = ()) -> DataFrame:
+def parse_proxy_stats(
+    df: DataFrame, header: str | None = None, part: Sequence[str] = ("path",), order: str = LINE_ORDER, rows_per_slice: int = 1_000_000
+) -> DataFrame:
     """Rows of proxy statistics CSV as a map column ``stats``, with ``pxname`` and ``svname``.
 
-    ``header`` is the ``# pxname,svname,...`` line that names the fields; empty fields are 0.
+    The ``# pxname,svname,...`` line of each dump names the fields of the lines that follow it:
+    it is carried down within ``part`` in the order of ``order``, so dumps of different
+    versions keep their own order of fields. ``header`` names them for all lines instead, and then
+    neither column is needed. Empty fields are 0. A line with fewer than two fields, or without a
+    header before it, goes to ``_corrupt``.
     """
-    names = [n for n in header.strip("# \n").split(",") if n]
-    rows = df.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    cells = F.split(F.col("value"), ",")
-    entries = [
-        F.struct(F.lit(n).alias("k"), F.coalesce(F.nullif(F.try_element_at(cells, F.lit(i + 1)), F.lit("")), F.lit("0")).alias("v"))
-        for i, n in enumerate(names)
-        if i >= 2
-    ]
+    v = F.col("value")
+    if header is None:
+        named = carry_forward(
+            df.withColumn("_header", F.when(v.startswith("#"), v)), part, order, "_header", rows_per_slice=rows_per_slice
+        )
+    else:
+        named = df.withColumn("_header", F.lit(header))
+    rows = named.filter(~v.startswith("#") & (F.trim("value") != ""))
+    names = F.split(F.regexp_replace("_header", r"^#\s*|\s+$", ""), ",")
+    cells = F.split(v, ",")
+    entries = F.transform(
+        names, lambda n, i: F.struct(F.nullif(n, F.lit("")).alias("k"), F.coalesce(F.nullif(F.get(cells, i), F.lit("")), F.lit("0")).alias("v"))
+    )
+    good = F.coalesce((F.size(cells) > 1) & F.col("_header").isNotNull(), F.lit(False))
     return rows.withColumns(
-        {"pxname": cells[0], "svname": cells[1], "stats": F.map_from_entries(F.array(*entries))}
-    ).drop("value")
+        {
+            "pxname": F.when(good, F.get(cells, F.lit(0))),
+            "svname": F.when(good, F.get(cells, F.lit(1))),
+            "stats": F.when(good, last_wins_map(F.filter(F.slice(entries, 3, F.greatest(F.size(entries), F.lit(1))), lambda e: e["k"].isNotNull()))),
+            "_corrupt": F.when(~good, v),
+        }
+    ).drop("value", "_header")
 
 
 # Proxy fields shown for each side, with output name and type.
@@ -229,12 +248,12 @@ def proxy_frontends(stats: DataFrame) -> DataFrame:
     out["bout"] = _stat("bout", "double") / 1024
     limit = F.nullif(_stat("slim", "double"), F.lit(0.0))
     out["sutil"] = _stat("scur", "double") / limit * 100
-    return rows.withColumns(out).drop("stats")
+    return rows.withColumns(out).drop("stats", "_corrupt")
 
 
 def proxy_backends(stats: DataFrame) -> DataFrame:
     rows = stats.filter(F.col("svname") == "BACKEND")
-    return rows.withColumns({n: _stat(src, kind) for n, (src, kind) in BACKEND_FIELDS.items()}).drop("stats")
+    return rows.withColumns({n: _stat(src, kind) for n, (src, kind) in BACKEND_FIELDS.items()}).drop("stats", "_corrupt")
 
 
 # ---------------------------------------------------------------- key: value

@@ -16,7 +16,7 @@ def read_job_history(spark: SparkSession, paths) -> DataFrame:
     """Event lines of job-history files: ``job_file``, ``type`` and the payload ``event``.
 
     Lines that do not begin with a brace and events of unknown type are skipped. The
-    payload sits under one key that names its class, whatever it is.
+    payload sits under one key that names its class, whatever it is; without one it is NULL.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("job_file"), "value")
     return parse_job_history(lines)
@@ -28,7 +28,7 @@ def parse_job_history(lines: DataFrame) -> DataFrame:
         "job_file", F.from_json("value", "type STRING, event MAP<STRING, STRING>").alias("o")
     )
     known = outer.filter(F.col("o.type").isin(EVENT_TYPES))
-    payload = F.from_json(F.map_values("o.event")[0], HISTORY_EVENT)
+    payload = F.from_json(F.get(F.map_values("o.event"), F.lit(0)), HISTORY_EVENT)
     return known.select("job_file", F.col("o.type").alias("type"), payload.alias("event"))
 
 
@@ -49,14 +49,23 @@ def history_paths(base: str, day: date, job_id: str = "", days: int = 2) -> list
     return out
 
 
-def find_history(spark: SparkSession, base: str, day: date, job_id: str = "", finished_after: str | None = None) -> DataFrame:
-    """Paths and modification times of a job's history files, newest-first folders excluded.
+def find_history(
+    spark: SparkSession, base: str, day: date, job_id: str = "", finished_after: str | None = None, days: int = 2
+) -> DataFrame:
+    """Paths and modification times of a job's history files in the folders of its finish day and
+    the next (a job that ends near midnight lands there), in order of time.
 
-    ``finished_after`` (ISO timestamp) keeps files modified at or after the job's finish.
+    ``finished_after`` (ISO timestamp) keeps files modified at or after the job's finish. Days
+    without a folder are passed over.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{job_id}*jhist")
-    reader = reader.option("recursiveFileLookup", "true")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{job_id}*jhist").option("recursiveFileLookup", "true")
+    folders = [f"{base.rstrip('/')}/done/{day + timedelta(days=i):%Y/%m/%d}" for i in range(days)]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = [f for f in folders if hadoop(f).getFileSystem(conf).exists(hadoop(f))]
+    if not there:
+        return spark.createDataFrame([], "path STRING, modificationTime TIMESTAMP")
+    found = reader.load(there).select("path", "modificationTime")
     if finished_after:
-        reader = reader.option("modifiedAfter", finished_after)
-    found = reader.load(f"{base.rstrip('/')}/done/{day:%Y/%m/%d}")
-    return found.select("path", "modificationTime").orderBy("modificationTime", "path")
+        found = found.filter(F.col("modificationTime") >= F.lit(finished_after).cast("timestamp"))
+    return found.orderBy("modificationTime", "path")
