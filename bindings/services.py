@@ -47,9 +47,10 @@ def garbage(spark, sf_dir):
 @query(
     "api_call_report",
     f"""
-WITH {SAMPLES}, l AS (SELECT *, lag(c) OVER w AS pc, lag(event_id) OVER w IS NULL AS head FROM samples WINDOW w AS (PARTITION BY user_id % 10, event_type, user_id ORDER BY ts))
+WITH {SAMPLES}, l AS (SELECT *, lag(c) OVER w AS pc, lag(event_id) OVER w IS NULL AS head, min(ts) OVER (PARTITION BY user_id % 10) AS first_poll
+  FROM samples WINDOW w AS (PARTITION BY user_id % 10, event_type, user_id ORDER BY ts))
 SELECT event_id, CASE WHEN head THEN c ELSE c - pc END AS requests FROM l
-WHERE NOT coalesce(c < pc, false) AND CASE WHEN head THEN c ELSE c - pc END <> 0""",
+WHERE ts > first_poll AND NOT coalesce(c < pc, false) AND CASE WHEN head THEN c ELSE c - pc END <> 0""",
 )
 def api_calls(spark, sf_dir):
     rows = samples(spark, sf_dir).select(

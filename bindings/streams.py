@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterline.session import scratch_path
 from meterline.sources.logs import read_partitioned
-from meterline.streaming.counters import drop_restarted_polls, stream_counter_delta
+from meterline.streaming.counters import drop_restarted_polls, stream_counter_delta, stream_counter_rate
 from meterline.streaming.ingest import follow_files, ingest_pipeline, start, stream_count_windows
 from meterline.streaming.marks import advance_lifecycle, advance_mark, read_marks, read_since
 
@@ -57,14 +57,30 @@ def streamed_windows(spark, sf_dir):
     return back.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-def _streamed_deltas(spark, sf_dir, **policy):
-    stream = _event_stream(spark, sf_dir).select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("c"),
+RUNS = 3
+
+
+def _streamed_deltas(spark, sf_dir, counter="c", rate=False, **policy):
+    """The events land in order of time, a part at a time, and each part is taken by a run of the
+    stream that goes on from the state the last one left."""
+    c = F.round(F.col("value") * 100).cast("bigint")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), c.alias("c"), (c + F.lit(1 << 60)).alias("big")
     )
-    out, state = scratch_path(spark, "deltas"), scratch_path(spark, "deltas-state")
-    deltas = stream_counter_delta(stream, ["user_id"], "ts", ["c"], tiebreak=["event_id"], **policy)
-    writer = deltas.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state)
-    start(writer, "available_now").awaitTermination()
+    cuts = rows.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [i / RUNS for i in range(1, RUNS)], 0.01)
+    landed, out, state = (scratch_path(spark, n) for n in ("landed", "deltas", "deltas-state"))
+    operator = stream_counter_rate if rate else stream_counter_delta
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows
+        if low is not None:
+            part = part.filter(F.unix_micros("ts") >= int(low))
+        if high is not None:
+            part = part.filter(F.unix_micros("ts") < int(high))
+        part.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        deltas = operator(stream, ["user_id"], "ts", [counter], tiebreak=["event_id"], **policy)
+        writer = deltas.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state)
+        start(writer, "available_now").awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -78,6 +94,28 @@ def streamed_deltas(spark, sf_dir):
     return _streamed_deltas(spark, sf_dir, reset="current", first="zero").select("event_id", "c_delta")
 
 
+@query(
+    "streamed_large_counters",
+    f"""
+WITH {SAMPLES}, l AS (SELECT *, lag(c) OVER w AS pc FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, c - pc AS big_delta FROM l""",
+)
+def streamed_large(spark, sf_dir):
+    """Counters beyond 2^53, which doubles cannot tell apart."""
+    return _streamed_deltas(spark, sf_dir, "big", reset="raw").select("event_id", "big_delta")
+
+
+@query(
+    "streamed_counter_rate",
+    f"""
+WITH {SAMPLES}, l AS (SELECT *, lag(c) OVER w AS pc, lag(ts) OVER w AS pts FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN floor(epoch(ts)) > floor(epoch(pts)) THEN CAST(c - pc AS DOUBLE) / (floor(epoch(ts)) - floor(epoch(pts))) END AS c_rate FROM l""",
+)
+def streamed_rates(spark, sf_dir):
+    """Rates over several micro-batches."""
+    return _streamed_deltas(spark, sf_dir, rate=True).select("event_id", "c_rate")
+
+
 @query(
     "streamed_restart_polls",
     f"""

@@ -75,14 +75,21 @@ def slice_groups(
     ``_width`` is set on rows of hot keys only; filtering on it lets Catalyst turn
     the left joins into inner ones, so ordinary rows never reach the edge table.
 
-    A hot key is cut into ranges of equal width. A range that still holds more than
+    A hot key is cut into ranges of equal width between its smallest and its largest finite
+    position; infinities and NaN have slices of their own at the ends, so that one of them cannot
+    stretch the ranges. With no keys, all rows are one group. A range that still holds more than
     ``piece`` rows (a burst) is cut again between its own first and last position, and if
     all its rows share one order value, by the first tiebreak column.
     """
+    if not keys:
+        # a key that is always 0, which the optimizer cannot know: the joins below stay equi-joins
+        whole = df.withColumn("_whole", F.pmod(F.xxhash64(order), F.lit(1)))
+        return slice_groups(whole, ["_whole"], order, rows_per_slice, descending, tiebreak).drop("_whole")
     pos = position(df, order)
     names = [f"_hot{i}" for i in range(len(keys))]
+    finite = F.when(F.abs(pos) < F.lit(float("inf")), pos)
     stats = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
+        F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")
     )
     # at most one candidate per ``rows_per_slice`` input rows, so one task can add them up
     share = F.sum("_n").over(Window.partitionBy(F.lit(0))) / F.lit(HOT_LIMIT)
@@ -95,11 +102,13 @@ def slice_groups(
         .withColumn(WIDTH, F.when(spread, (F.col("_hi") - F.col("_lo")) / F.col("_slices")).otherwise(F.lit(1.0)))
         .select(*names, "_lo", "_slices", WIDTH, "_piece")
     )
-    number = F.least(F.floor((pos - F.col("_lo")) / F.col(WIDTH)), F.col("_slices") - 1)
+    # in rising order: -Infinity, the ranges, Infinity, NaN
+    number = F.least(F.floor((finite - F.col("_lo")) / F.col(WIDTH)), F.col("_slices") - 1) + 1
+    number = F.when(finite.isNotNull(), number).when(F.isnan(pos), F.col("_slices") + 2).when(pos > 0, F.col("_slices") + 1).otherwise(F.lit(0))
     if descending:
-        number = F.col("_slices") - 1 - number
+        number = F.col("_slices") + 2 - number
     # NULL order values sort first going up, last going down
-    edge = F.col("_slices") if descending else F.lit(-1)
+    edge = F.col("_slices") + 3 if descending else F.lit(-1)
     number = F.when(pos.isNull(), edge).otherwise(number)
     cell = F.when(F.col(WIDTH).isNull(), F.lit(0)).otherwise(number + 2).cast("bigint")
     rows = df.join(F.broadcast(hot), same_keys(keys, names), "left").withColumn("_cell", cell)

@@ -20,8 +20,21 @@ RESTARTED = "restarted"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+ELAPSED = "elapsed_s"
+_WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _exact(values: pd.Series, kind: T.DataType) -> pd.Series:
+    """Counter values without a detour by doubles: whole numbers, decimals, or floats."""
+    if isinstance(kind, _WHOLE):
+        return values.astype("Int64")
+    if isinstance(kind, T.DecimalType):
+        return values.astype(object).where(values.notna(), pd.NA)
+    return values.astype("Float64")
+
+
 def _series_deltas(
-    rows: pd.DataFrame, last: tuple | None, time: str, cols: list[str], wanted: list[str],
+    rows: pd.DataFrame, last: tuple | None, time: str, cols: list[str], wanted: list[str], kinds: dict[str, T.DataType],
     reset: str, first: str, gate: str | None, max_gap_s: float | None, suffix: str,
 ) -> tuple[pd.DataFrame, tuple | None]:
     """Deltas of one series' time-ordered new rows, and the row to remember."""
@@ -29,19 +42,20 @@ def _series_deltas(
     if last is not None:
         stale = rows[time] < pd.Timestamp(last[0], unit="us")
     fresh = rows[~stale]
-    prev = fresh[[time, *wanted]].shift(1)
+    now = {name: _exact(fresh[name], kinds[name]) for name in wanted}
+    prev = pd.DataFrame({time: fresh[time].shift(1), **{name: now[name].shift(1) for name in wanted}})
     if last is not None and len(fresh):
         prev.loc[fresh.index[0], time] = pd.Timestamp(last[0], unit="us")
         for name, value in zip(wanted, last[1:]):
-            prev.loc[fresh.index[0], name] = value
+            prev.loc[fresh.index[0], name] = pd.NA if value is None else value
+    gap = (fresh[time].dt.floor("s") - pd.to_datetime(prev[time]).dt.floor("s")).dt.total_seconds()
+    rows[ELAPSED] = gap.reindex(rows.index).astype("Int64")
     has_prev = prev[time].notna()
     restarted = pd.Series(False, index=rows.index)
     for c in cols:
-        cur = fresh[c].astype("Float64")
-        before = prev[c].astype("Float64")
-        diff = cur - before
-        negative = (diff < 0).fillna(False)
-        restarted.loc[fresh.index] |= negative.astype(bool)
+        cur, diff = now[c], now[c] - prev[c]
+        negative = (diff < 0).fillna(False).astype(bool)
+        restarted.loc[fresh.index] |= negative
         if reset == "zero":
             diff = diff.mask(negative, 0)
         elif reset == "current":
@@ -49,12 +63,11 @@ def _series_deltas(
         elif reset == "null":
             diff = diff.mask(negative)
         if gate:
-            grew = (fresh[gate].astype("Float64") - prev[gate].astype("Float64") > 0).fillna(False)
+            grew = (now[gate] - prev[gate] > 0).fillna(False).astype(bool)
             diff = diff.where(grew, 0)
         if max_gap_s is not None:
             # whole seconds on both ends, as in the batch operator
-            gap = fresh[time].dt.floor("s") - pd.to_datetime(prev[time]).dt.floor("s")
-            diff = diff.mask((gap.dt.total_seconds() > max_gap_s).fillna(False), 0)
+            diff = diff.mask((gap > max_gap_s).fillna(False), 0)
         if first == "zero":
             diff = diff.where(has_prev, 0)
         elif first == "passthrough":
@@ -68,7 +81,7 @@ def _series_deltas(
         out = rows[has_prev.reindex(rows.index, fill_value=True)]
     if len(fresh):
         newest = fresh.iloc[-1]
-        values = [None if pd.isna(newest[w]) else newest[w] for w in wanted]
+        values = [None if pd.isna(v := now[w].iloc[-1]) else v for w in wanted]
         last = (newest[time].value // 1000, *values)
     return out, last
 
@@ -84,24 +97,31 @@ def stream_counter_delta(
     max_gap_s: float | None = None,
     tiebreak: Sequence[str] = (),
     suffix: str = "_delta",
+    expire_after_s: float | None = None,
 ) -> DataFrame:
     """Delta of each counter from the previous sample of its series, across micro-batches.
 
-    State is the last row of each series. A sample older than the remembered one gets NULL
-    and does not replace it. ``restarted`` tells whether a counter fell; with
+    State is the last row of each series, exact for whole numbers and decimals. A sample older
+    than the remembered one gets NULL and does not replace it. ``restarted`` tells whether a
+    counter fell, ``elapsed_s`` how many whole seconds lie between the samples; with
     ``reset="drop_batch"`` pass the batches through ``drop_restarted_polls``.
+
+    ``expire_after_s`` forgets a series once the watermark (which the stream must then have) has
+    passed its last sample by that long: a container or process that is gone leaves no state, and one
+    that comes back later starts anew.
     """
     check_policies(reset, first)
     keys, cols = list(keys), list(cols)
     wanted = list(dict.fromkeys([*cols, *([gate] if gate else [])]))
     order = [time, *tiebreak]
     kinds = {f.name: f.dataType for f in stream.schema.fields}
-    whole = {w: isinstance(kinds[w], (T.LongType, T.IntegerType, T.ShortType)) for w in wanted}
+    whole = {w: isinstance(kinds[w], _WHOLE) for w in wanted}
     out_schema = T.StructType(
         [
             *stream.schema.fields,
             *[T.StructField(f"{c}{suffix}", kinds[c]) for c in cols],
             T.StructField(RESTARTED, T.BooleanType()),
+            T.StructField(ELAPSED, T.LongType()),
         ]
     )
     state_schema = T.StructType(
@@ -110,24 +130,70 @@ def stream_counter_delta(
     names = [f.name for f in out_schema.fields]
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
         last = state.get if state.exists else None
-        out, last = _series_deltas(rows, last, time, cols, wanted, reset, first, gate, max_gap_s, suffix)
+        out, last = _series_deltas(rows, last, time, cols, wanted, kinds, reset, first, gate, max_gap_s, suffix)
         for c in cols:
             if whole[c]:
                 out[f"{c}{suffix}"] = out[f"{c}{suffix}"].astype("Int64")
         if last is not None:
             us, *values = last
-            typed = [v if v is None else (int(v) if whole[w] else float(v)) for w, v in zip(wanted, values)]
-            state.update((int(us), *typed))
+            exact = lambda w, v: int(v) if whole[w] else v if isinstance(kinds[w], T.DecimalType) else float(v)
+            state.update((int(us), *[v if v is None else exact(w, v) for w, v in zip(wanted, values)]))
+            if expire_after_s is not None:
+                due = int(us) // 1000 + int(expire_after_s * 1000)
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield out[names]
 
     return stream.groupBy(*keys).applyInPandasWithState(
-        update, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout
+        update, out_schema, state_schema, "append",
+        GroupStateTimeout.NoTimeout if expire_after_s is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def stream_counter_rate(
+    stream: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    cols: Sequence[str],
+    per: str = "elapsed",
+    interval_s: float | str | None = None,
+    reset: str = "raw",
+    first: str = "null",
+    digits: int | None = None,
+    tiebreak: Sequence[str] = (),
+    suffix: str = "_rate",
+    expire_after_s: float | None = None,
+) -> DataFrame:
+    """Delta per second across micro-batches, by the rules of the batch ``counter_rate``."""
+    if per not in ("elapsed", "interval"):
+        raise ValueError("per must be 'elapsed' or 'interval'")
+    if per == "interval" and interval_s is None:
+        raise ValueError("per='interval' needs interval_s")
+    rows = stream_counter_delta(
+        stream, keys, time, cols, reset=reset, first=first, tiebreak=tiebreak, suffix="_d", expire_after_s=expire_after_s
+    )
+    if per == "elapsed":
+        seconds = F.when(F.col(ELAPSED) > 0, F.col(ELAPSED))
+        if first in ("zero", "passthrough"):
+            seconds = F.when(F.col(ELAPSED).isNull(), F.lit(1)).otherwise(seconds)
+    else:
+        seconds = F.col(interval_s) if isinstance(interval_s, str) else F.lit(interval_s)
+    out = {}
+    for c in cols:
+        rate = F.col(f"{c}_d").cast("double") / seconds.cast("double")
+        out[f"{c}{suffix}"] = rate if digits is None else F.round(rate, digits)
+    return rows.withColumns(out).drop(ELAPSED, *[f"{c}_d" for c in cols])
+
+
 def drop_restarted_polls(batch: DataFrame, poll: Sequence[str]) -> DataFrame:
-    """Rows of polls in which no counter fell (a poll arrives whole in one micro-batch)."""
+    """Rows of polls in which no counter fell.
+
+    Right for a stored table of deltas, or for micro-batches that hold their polls whole. Where a
+    poll may be split over micro-batches, write the deltas first and apply this to the stored rows.
+    """
     bad = batch.filter(F.col(RESTARTED)).select(*poll).distinct()
     return batch.join(bad, list(poll), "left_anti")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterline.functions import hit_ratio, mean_latency
@@ -210,3 +211,19 @@ def test_bursts_and_ties_are_cut_again(spark):
                 assert rows(got, "id", "index") == want
     one = df.withColumn("t", F.lit(1.0))
     assert rows(row_number_within(one, ["k"], "t", ["id"], rows_per_slice=100), "id", "index") == rows(row_number_within(one, ["k"], "t", ["id"]), "id", "index")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_slices_hold_against_infinities_and_nan(spark, descending):
+    odd = [float("inf"), float("-inf"), float("nan"), None]
+    values = [float(i % 400) for i in range(2000)] + odd * 3
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, i long, v double")
+    for keys in (["k"], []):
+        cut = slice_groups(df, keys, "v", rows_per_slice=100, descending=descending, tiebreak=["i"])
+        largest = cut.groupBy("_slice").count().agg(F.max("count")).first()[0]
+        assert largest <= 200
+        got = row_number_within(df, keys, "v", ["i"], descending, 100, "n")
+        order = F.desc("v") if descending else F.asc("v")
+        want = df.withColumn("n", F.row_number().over(Window.orderBy(order, "i")))
+        assert {(r.i, r.n) for r in got.collect()} == {(r.i, r.n) for r in want.collect()}
+        assert "NestedLoop" not in plan(cut)
