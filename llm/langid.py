@@ -99,7 +99,7 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
     return gamma / gamma.sum(axis=1, keepdims=True), pairs
 
 
-def fit(samples: list[tuple[str, str]], rounds: int = 60, piece: int = 40, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(samples: list[tuple[str, str]], rounds: int = 25, piece: int = 40, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels, feature weights and transition weights from ``(language, text)`` pairs.
 
     Sequences of ``piece`` words are cut from the texts; half of them are then joined from two
