@@ -81,7 +81,10 @@ def _score_cells(batches: Iterator[pa.RecordBatch], k: int, block_rows: int) ->
             for b in np.unique(which):
                 rows = blocks[b]
                 for part in np.array_split(alive[which == b], max(1, len(rows) * int((which == b).sum()) // 4_000_000)):
-                    scores = (q[part] @ flat[rows].T).astype(np.int64)
+                    scores = q[part] @ flat[rows].T
+                    if not exact:
+                        scores = np.clip(scores, -(2**63), 2**63 - 1)
+                    scores = scores.astype(np.int64)
                     for j, n in enumerate(part):
                         s, doc_ids = scores[j], ids[rows]
                         other = doc_ids != ids[queries[n]]
@@ -125,7 +128,8 @@ def top_k(
     Both have ``id long, v array<long>``. Candidates of a query are all rows with another id
     and as many components. Ties go to the smaller id. Rows with a null id take no part as
     queries and are no candidates; repeated ids are candidates each for themselves, and a
-    repeated query answers once for each row. Empty inputs give an empty result.
+    repeated query answers once for each row. Scores beyond a long count as the largest or smallest
+    one. Empty inputs give an empty result.
 
     The table is cut into groups of about ``group_rows`` consecutive rows by id and the queries
     into groups of about ``query_rows``; a task scores one group against one query group, and
