@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterline.session import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,6 +50,20 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df``, a sorted table, with the ``place`` (from 0) each row has in it: written as it lies, then
+    numbered by its partitions, so that a wrong order shows."""
+    path = scratch_path(spark, "sorted")
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_row", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead")
+    )
+    place = F.col("_row").bitwiseAND((1 << 33) - 1) + F.col("_ahead")
+    return rows.join(ahead, "_part").withColumn("place", place).drop("_row", "_part", "_ahead")
+
+
 LOGS = """
 logs AS (
   SELECT ts AS time,

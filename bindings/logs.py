@@ -119,6 +119,6 @@ def event_index_distributed(spark, sf_dir):
     return add_index(rows, "value", ["event_id"], distributed=True).select("event_id", "index")
 
 
-@query("log_preview", "SELECT 10 AS n")
+@query("log_preview", f"WITH {LOGS} SELECT time, message FROM logs ORDER BY message LIMIT 10")
 def log_preview(spark, sf_dir):
-    return preview(logs(spark, sf_dir), 10).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return preview(logs(spark, sf_dir).select("time", "message").orderBy("message"), 10)

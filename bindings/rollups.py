@@ -6,16 +6,13 @@ from pyspark.sql import functions as F
 
 from meterline.functions import hit_ratio
 from meterline.operators.aggregates import (
+    attempt_ratios,
     attempt_outcomes,
     cpu_topology,
     entity_totals,
-    map_speed,
-    mapper_spill,
     mean_of_ratios,
     pricing_summary,
     rollup_sizes,
-    shuffle_ratio,
-    sort_ratio,
     sums_by_category,
     tasks_per,
     with_aggregate_row,
@@ -79,8 +76,7 @@ def ratios(spark, sf_dir):
             "elapsedTime": F.col("elapsedTime") * 86400,
         }
     )
-    out = mapper_spill(rows).join(shuffle_ratio(rows), "jobId")
-    return out.join(map_speed(rows), "jobId").join(sort_ratio(rows), "jobId")
+    return attempt_ratios(rows)
 
 
 @query(

@@ -16,7 +16,7 @@ from meterline.plans.service_report import api_report, service_report
 from meterline.session import scratch_path
 from meterline.sources.tables import mr_job_counters, read_docs, spark_executors, spark_jobs
 
-from .common import SAMPLES, query, round2, samples, table
+from .common import SAMPLES, places, query, round2, samples, table
 
 LAG = f"""
 {SAMPLES}, l AS (SELECT *, lag(c) OVER w AS pc, lag(k) OVER w AS pk, lag(event_id) OVER w IS NULL AS head FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
@@ -122,12 +122,12 @@ def table_stats(spark, sf_dir):
 @query(
     "overall_hit_ratio",
     """
-SELECT l_suppkey, CASE WHEN h + m = 0 THEN 0 ELSE (h / (h + m)) * 100 END >= 50 AS good FROM (
+SELECT l_suppkey, CASE WHEN h + m = 0 THEN 0 ELSE round(h / (h + m) * 100, 6) END AS ratio FROM (
   SELECT l_suppkey, CAST(sum(l_partkey) AS DOUBLE) AS h, CAST(sum(l_orderkey) AS DOUBLE) AS m FROM lineitem GROUP BY 1)""",
 )
 def overall(spark, sf_dir):
     out = overall_hit_ratio(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", "l_orderkey")
-    return out.select("l_suppkey", (F.col("ratio") >= 50).alias("good"))
+    return out.select("l_suppkey", F.round("ratio", 6).alias("ratio"))
 
 
 @query(
@@ -145,10 +145,10 @@ def long_sessions(spark, sf_dir):
     return long_queries(rows).select("o_orderkey", "o_custkey")
 
 
-@query("largest_documents", "SELECT count(*) AS n, max(n_chars) AS largest FROM documents")
+@query("largest_documents", "SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC) - 1 AS place FROM documents")
 def largest(spark, sf_dir):
-    rows = largest_tables(table(spark, sf_dir, "documents"), "n_chars")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("largest"))
+    """The sizes in the order in which the report lists them."""
+    return places(spark, largest_tables(table(spark, sf_dir, "documents").select("n_chars"), "n_chars"))
 
 
 @query(

@@ -114,13 +114,13 @@ def batches(spark, sf_dir):
 @query(
     "upsert_latest",
     """
-WITH u AS (SELECT c_custkey AS id, c_mktsegment AS segment, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(-1 AS BIGINT) AS version FROM customer WHERE c_nationkey <> 3
+WITH u AS (SELECT c_custkey * 2 AS id, c_mktsegment AS segment, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(-1 AS BIGINT) AS version FROM customer
            UNION ALL SELECT o_custkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END, CASE WHEN o_orderstatus <> 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) END, o_orderkey FROM orders)
 SELECT id, arg_max(segment, version) FILTER (WHERE segment IS NOT NULL) AS segment, arg_max(cents, version) FILTER (WHERE cents IS NOT NULL) AS cents, max(version) AS version FROM u GROUP BY 1""",
 )
 def upserted(spark, sf_dir):
-    current = table(spark, sf_dir, "customer").filter("c_nationkey <> 3").select(
-        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"),
+    current = table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") * 2).alias("id"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"),
         F.lit(-1).cast("bigint").alias("version"),
     )
     status = F.col("o_orderstatus")

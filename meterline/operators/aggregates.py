@@ -60,6 +60,24 @@ def ratio_of_sums(
     return sums.withColumn(name, ratio("_num", "_den")).drop("_num", "_den")
 
 
+def ratios_of_sums(df: DataFrame, group: Sequence[str], ratios: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Several ratios ``name: (numerator, divisor)`` of the same groups in one aggregation."""
+    sums = {f"_{part}{i}": F.sum(col) for i, pair in enumerate(ratios.values()) for part, col in zip(("num", "den"), pair)}
+    out = df.groupBy(*group).agg(*[total.alias(n) for n, total in sums.items()])
+    return out.withColumns({name: ratio(f"_num{i}", f"_den{i}") for i, name in enumerate(ratios)}).drop(*sums)
+
+
+def attempt_ratios(attempts: DataFrame, group: Sequence[str] = ("jobId",)) -> DataFrame:
+    """Spill, shuffle and sort ratios and map speed of each job in one pass."""
+    work = F.col("elapsedTime") - F.col("elapsedShuffleTime") - F.col("elapsedMergeTime")
+    return ratios_of_sums(attempts, group, {
+        "mapperSpill": (F.col("spilledRecords"), F.col("mapOutputRecords")),
+        "shuffleRatio": (2 * F.col("elapsedShuffleTime"), work),
+        "mapSpeed": (F.col("hdfsBytesRead"), F.col("finishTime") - F.col("startTime")),
+        "sortRatio": (2 * F.col("elapsedMergeTime"), work),
+    })
+
+
 def mapper_spill(attempts: DataFrame, group: Sequence[str] = ("jobId",)) -> DataFrame:
     return ratio_of_sums(attempts, group, F.col("spilledRecords"), F.col("mapOutputRecords"), "mapperSpill")
 

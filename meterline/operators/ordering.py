@@ -146,10 +146,11 @@ def generate_records(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.range(n).select(F.substring(digest, 1, 10).alias("key"), payload.alias("payload"))
 
 
-def global_sort(df: DataFrame, key: str | Sequence[str], parts: int = 15) -> DataFrame:
-    """Total order over ``parts`` range partitions."""
+def global_sort(df: DataFrame, key: str | Sequence[str], parts: int | None = None) -> DataFrame:
+    """Total order over range partitions: as many as Spark sees fit, or ``parts``."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys) if parts is None else df.repartitionByRange(parts, *keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def top_processes(
