@@ -14,6 +14,8 @@ All of it is built-in functions on columns: tables are arrays of structs in thei
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ ROUNDS = 10
 PER_TABLE = 12
 _CELL = "struct<n:int,key:bigint,chk:bigint>"
 _FOUND = "array<struct<n:int,key:bigint>>"
+_PLACED = "array<struct<n:int,key:bigint,chk:bigint,s0:int,s1:int,s2:int>>"
 
 
 def digests(text: Column) -> Column:
@@ -47,22 +50,30 @@ def _cell(n: Column, key: Column, chk: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.alias("key"), chk.alias("chk"))
 
 
+def _placed(n: Column, key: Column, salt: int) -> Column:
+    """A digest with its check hash and its cells (numbered over all sub-tables)."""
+    spots = [(_slot(key, F.lit(s), salt) + s * SLOTS).cast("int").alias(f"s{s}") for s in range(SUBTABLES)]
+    return F.struct(n.cast("int").alias("n"), key.alias("key"), _check(key).alias("chk"), *spots)
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cells(keys: Column, salt: int = 0) -> Column:
     """The table of a set of digests."""
-    # slots of a digest are worked out once
-    placed = F.transform(keys, lambda k: F.struct(
-        k.alias("key"), _check(k).alias("chk"), *[_slot(k, F.lit(s), salt).cast("int").alias(f"s{s}") for s in range(SUBTABLES)]
-    ))
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def fill(sub: int) -> Column:
+    def fill(placed: Column, sub: int) -> Column:
         def one(slot: Column) -> Column:
             own = F.filter(placed, lambda p: p[f"s{sub}"] == slot)
             return F.aggregate(own, empty, lambda c, p: _cell(c["n"] + 1, c["key"].bitwiseXOR(p["key"]), c["chk"].bitwiseXOR(p["chk"])))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), one)
+        return F.transform(F.sequence(F.lit(sub * SLOTS), F.lit((sub + 1) * SLOTS - 1)), one)
 
-    return F.concat(*[fill(s) for s in range(SUBTABLES)])
+    spread = F.transform(keys, lambda k: _placed(F.lit(1), k, salt))
+    return _with(spread, lambda placed: F.concat(*[fill(placed, s) for s in range(SUBTABLES)]))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -72,32 +83,29 @@ def minus(a: Column, b: Column) -> Column:
 def peel(table: Column, salt: int = 0) -> Column:
     """``cells`` left and ``found`` digests (``n``: 1 on the left side only, -1 on the right)."""
 
-    def take(state: Column, _: Column) -> Column:
+    def take(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
         new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), new.alias("new"))
+        placed = F.transform(new, lambda p: _placed(p["n"], p["key"], salt))
+        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), placed.alias("new"))
 
     def drop(state: Column) -> Column:
-        placed = F.transform(state["new"], lambda p: F.struct(
-            p["n"].alias("n"), p["key"].alias("key"), _check(p["key"]).alias("chk"),
-            *[(_slot(p["key"], F.lit(s), salt) + s * SLOTS).cast("int").alias(f"s{s}") for s in range(SUBTABLES)],
-        ))
-
         def less(c: Column, j: Column) -> Column:
-            here = F.filter(placed, lambda p: (p["s0"] == j) | (p["s1"] == j) | (p["s2"] == j))
+            here = F.filter(state["new"], lambda p: (p["s0"] == j) | (p["s1"] == j) | (p["s2"] == j))
             return F.aggregate(here, c, lambda x, p: _cell(x["n"] - p["n"], x["key"].bitwiseXOR(p["key"]), x["chk"].bitwiseXOR(p["chk"])))
 
+        taken = F.transform(state["new"], lambda p: F.struct(p["n"].alias("n"), p["key"].alias("key")))
         return F.struct(
-            F.transform(state["cells"], less).alias("cells"), F.concat(state["found"], state["new"]).alias("found"),
-            F.array().cast(_FOUND).alias("new"),
+            F.transform(state["cells"], less).alias("cells"), F.concat(state["found"], taken).alias("found"),
+            F.array().cast(_PLACED).alias("new"),
         )
 
     def step(state: Column, i: Column) -> Column:
         # two turns of the fold make a round: the first names the pure cells, the second takes them out
         nothing = F.size(state["new"]) == 0
-        return F.when(i % 2 == 0, take(state, i)).when(nothing, state).otherwise(drop(state))
+        return F.when(i % 2 == 0, take(state)).when(nothing, state).otherwise(drop(state))
 
-    start = F.struct(table.alias("cells"), F.array().cast(_FOUND).alias("found"), F.array().cast(_FOUND).alias("new"))
+    start = F.struct(table.alias("cells"), F.array().cast(_FOUND).alias("found"), F.array().cast(_PLACED).alias("new"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), start, step)
 
 
