@@ -187,7 +187,7 @@ def label_texts(texts: list[str | None], model, cache: dict[str, int], table: li
         table[:] = [np.concatenate(table)]
     lengths = np.array(lengths, dtype=np.int64)
     some = lengths[lengths > 0]
-    if not len(some):
+    if not len(some) or not len(transitions):
         return np.empty((0, transitions.shape[0])), lengths
     return forward_backward(table[0][np.array(numbers, dtype=np.int64)].astype(np.float64), some, transitions)[0], lengths
 
