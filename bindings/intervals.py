@@ -10,7 +10,7 @@ from meterline.operators.intervals import (
     critical_path,
     durations,
     flag_stragglers,
-    interp_percentile,
+    group_percentiles,
     scheduling_delay,
     wait_time,
 )
@@ -132,10 +132,19 @@ SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_qua
        quantile_cont(l_quantity, 0.75) AS p75 FROM lineitem GROUP BY 1""",
 )
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        interp_percentile("l_quantity", 0.25).alias("p25"), interp_percentile("l_quantity", 0.5).alias("p50"),
-        interp_percentile("l_quantity", 0.75).alias("p75"),
-    )
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return group_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", points)
+
+
+@query(
+    "percentiles_of_one_group",
+    """
+SELECT quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem""",
+)
+def percentiles_of_all(spark, sf_dir):
+    """All line items as one group, which is cut into slices."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("all", F.lit("x"))
+    return group_percentiles(rows, ["all"], "l_extendedprice", {"p25": 0.25, "p99": 0.99}, rows_per_slice=500).drop("all")
 
 
 @query(

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import ROWS_PER_SLICE, SLICE, WIDTH, running_total, same_keys, slice_groups
+from .slices import ROWS_PER_SLICE, WIDTH, running_total, same_keys, slice_groups
 
 
 def critical_path(
@@ -112,13 +112,13 @@ def group_percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles per group.
 
-    Equal values are counted first, map-side, so a group sends its distinct values only.
-    A group with more rows than one task should hold is cut into slices by value; running
-    counts then find the values at the wanted positions.
+    Equal values are counted first, map-side, so all that follows works on one row per group and
+    distinct value. A group with more of these than one task should hold is cut into slices by
+    value; running counts then find the values at the wanted positions.
     """
     known = df.select(*group, value).filter(F.col(value).isNotNull())
-    sliced = slice_groups(known, group, value, rows_per_slice)
-    sliced = sliced.groupBy(*group, SLICE, WIDTH, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = slice_groups(counted, group, value, rows_per_slice)
     ps = F.array(*[F.lit(float(p)) for p in points.values()])
     plain = sliced.filter(F.col(WIDTH).isNull()).groupBy(*group).agg(F.percentile(value, ps, F.col("_n")).alias("_p"))
     plain = plain.select(*group, *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
