@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import encode_digests
-from llm.common import stored, table
+from llm.common import delete_paths, stage_scratch, stored, table
 from llm.langid import UNKNOWN, identify
 from llm.linededup import dedup_lines
 from llm.mixing import mix_by_weight
@@ -19,6 +21,25 @@ LEAST_SCORE = 0.35
 ORACLE_SQL = None  # a trained field, MinHash and tokenizers are beyond SQL; the tests hold the stages against brute force
 
 
+_left: list[str] = []  # tables that the stage before has worked with
+
+
+def _stage(work):
+    """A stage begins when the result of the one before is written: what that one stored can go."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_paths(spark, _left)
+        _left.clear()
+        with stage_scratch() as made:
+            out = work(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter, or whose words fit no learned
     language, go. Null ids are kept if their text is. The field is learned from the documents
@@ -29,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand elsewhere before; ``n_chars`` follows the text. A
     document that loses all its lines goes, since its first copy has them all."""
@@ -37,11 +59,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.filter(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     return keep_one(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, each as often as it is taken. The one document of a source at which its quota
     ends is taken in part by the mix; here it counts once more from half on, since texts stay whole."""
@@ -51,6 +75,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
     return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))

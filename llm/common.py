@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[list[str]] = []  # tables of the stage that ``stage_scratch`` watches
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: later jobs start from files
     that every executor reaches, so nothing upstream runs twice or is lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def delete_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more: what was made from it is stored too."""
+    delete_paths(df.sparkSession, [df.scratch])
+
+
+@contextmanager
+def stage_scratch() -> Iterator[list[str]]:
+    """Names of the tables that are stored meanwhile, for whoever knows when they are done with."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
 
 
 def text_key(text: Column) -> Column:
@@ -78,8 +108,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
         )).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges")
         after = shape(now)
+        discard(last)
         if after == before:
             break
         before = after

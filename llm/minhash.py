@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BLOCK = 128
 BLOOM_BITS = 26
@@ -158,6 +158,7 @@ def bloom(df: DataFrame, value: Column) -> tuple[int, np.ndarray]:
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")
     )
     got = words.toArrow()
+    discard(rows)
     out = np.zeros(bits // 64, dtype=np.int64)
     out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return bits, out.view(np.uint64)
@@ -288,12 +289,12 @@ def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: flo
 def similar(
     rows: DataFrame, source: Callable, shingle: Callable, threshold: float, recall: float, band_rows: int, extra: str = "",
     degrees: bool = True,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of different items with Jaccard similarity of at least ``threshold``.
 
     ``source(batch) -> (keys, contents, more)`` names the items of an Arrow batch of ``rows``, with
     arrays of further columns (declared in ``extra``); ``shingle(contents) -> (hashes, counts)`` gives
-    their shingles. Returns the links and the items. Links are ``k, deg, other``: rows without ``other``
+    their shingles. Returns the links and, with ``extra``, the items. Links are ``k, deg, other``: rows without ``other``
     (only with ``degrees``) add ``deg`` links to item ``k``; rows with it are links that connect the components. Items
     (``k`` and the further columns) are those with shingles; the others have no links.
     """
@@ -329,7 +330,10 @@ def similar(
         F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y")
     ).filter("c > 1")
     buckets = buckets.groupBy("c", "x", "y").agg(F.min("bk").alias("bk"))
+    items = stored(signed.drop("bands"), "items") if extra else None
+    discard(signed)
     members = stored(met.join(buckets.select("bk", "c"), "bk"), "members")
+    discard(met)
     lists = members.groupBy("k").agg(F.sort_array(F.collect_list("bk")).alias("bs"))
     wanted = spark.sparkContext.broadcast(bloom(lists, key_long(F.col("k"))))
 
@@ -357,4 +361,6 @@ def similar(
         return [np.unique(part) for part in np.split(hashes, np.cumsum(count)[:-1])]
 
     found = cells.mapInArrow(lambda it: _verify(it, sets_of, threshold, degrees), "k binary, deg long, other binary")
-    return stored(found, "links"), signed.drop("bands")
+    links = stored(found, "links")
+    discard(members)
+    return links, items

@@ -100,13 +100,16 @@ def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         kinds, number, count = np.unique(pair[at], return_inverse=True, return_counts=True)
-        weight = np.zeros(len(seq) + 1, dtype=np.int64)
         # more frequent pairs win; among equals the one with the larger number
         rank = np.empty(len(kinds), dtype=np.int64)
         rank[np.lexsort((kinds, count))] = np.arange(1, len(kinds) + 1)
+        weight = np.zeros(len(seq) + 1, dtype=np.int64)  # by place + 1, with a 0 at either end
         weight[at + 1] = np.where(count[number] >= LEAST_COUNT, rank[number], 0)
-        here = weight[at + 1]
-        win = (here > 0) & (here > weight[at]) & (here >= np.append(weight[2:], 0)[at])
+        here, before, after = weight[at + 1], weight[at], np.append(weight[2:], 0)[at]
+        # a run of one id holds the same pair again and again: every other one counts
+        run = np.arange(len(weight)) - np.maximum.accumulate(np.where(np.diff(weight, prepend=-1) != 0, np.arange(len(weight)), 0))
+        odd = run[at + 1] % 2 == 1
+        win = (here > 0) & ~odd & (here >= before) & (here >= after)
         used = np.bincount(number[win], minlength=len(kinds))
         good = used >= LEAST_COUNT
         win &= good[number]
