@@ -143,7 +143,11 @@ def fit(samples: list[tuple[str, str]], rounds: int = 25, piece: int = 40, seed:
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(transitions), np.zeros_like(transitions)]
     live = used != 0
     for k in range(1, rounds + 1):
-        by_word = np.add.reduceat((w * live[:, None])[compact].sum(axis=1), starts, axis=0)
+        used_w = w * live[:, None]
+        by_place = used_w[compact[:, 0]]
+        for f in range(1, compact.shape[1]):  # one feature kind at a time keeps the driver small
+            by_place += used_w[compact[:, f]]
+        by_word = np.add.reduceat(by_place, starts, axis=0)
         gamma, pairs = forward_backward(by_word[seq], lengths, transitions)
         diff = (one_hot - gamma) * share[:, None]
         grad_word = np.stack([np.bincount(seq, diff[:, c], len(ids)) for c in range(len(labels))], axis=1)
