@@ -116,15 +116,22 @@ def word_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def char_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``n``-byte shingles of each item; a shorter item makes one, an empty one none."""
+    """Hashes of the ``n``-character shingles of each item (UTF-8); a shorter item makes one, an empty one none."""
     line = b"".join(contents)
     data = np.frombuffer(line, dtype=np.uint8)
     spans = spans_for(len(data))
     size = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
+    at = None  # where each character starts, and the end; without it characters are bytes
+    if not line.isascii():
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        size = np.diff(np.searchsorted(at, np.cumsum(size)), prepend=0)
     ends = np.cumsum(size)
     count = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
     start = np.arange(int(count.sum())) + np.repeat(ends - size - (np.cumsum(count) - count), count)
-    return spans.hashed(spans.sums(data), start, np.minimum(start + n, np.repeat(ends, count))), count
+    end = np.minimum(start + n, np.repeat(ends, count))
+    if at is not None:
+        start, end = at[start], at[end]
+    return spans.hashed(spans.sums(data), start, end), count
 
 
 def signatures(shingles: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from llm import minhash
 from llm.common import components
 from llm.iblt import PIECE, fingerprints
 from llm.linededup import CHARS, dedup_lines
-from llm.minhash import choose_bands, word_shingles
+from llm.minhash import char_shingles, choose_bands, word_shingles
 from llm.neardup import jaccard_classes, keep_one, normalised
 
 
@@ -138,6 +138,26 @@ def test_line_dedup(spark):
     assert ordered(got.select("doc_id", "text", "lines_dropped").collect()) == ordered(want)
 
 
+def test_line_dedup_measures_characters(spark):
+    rng = random.Random(31)
+    lines = []  # pairs that differ in one character: far apart by characters, near by bytes where these are several
+    for alphabet in (range(0x430, 0x450), range(0x4E00, 0x5E00), range(97, 123)):
+        for size in (40, 60, 120):
+            line = [chr(rng.choice(alphabet)) for _ in range(size)]
+            lines += ["".join(line), "".join([*line[: size // 2], "§", *line[size // 2 + 1 :]])]
+    sets = lambda of: [{c[i : i + CHARS] for i in range(len(c) - CHARS + 1)} for c in map(of, lines)]
+    root, by_bytes = groups(sets(str))[0], groups(sets(str.encode))[0]
+    assert len(set(by_bytes)) < len(set(root)) < len(lines)
+    got = {r.doc_id: r.lines_dropped for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: int(g in root[:i]) for i, g in enumerate(root)}
+
+
+def test_char_shingles_are_of_code_points():
+    hashes, count = char_shingles([t.encode() for t in ("дом", "", "漢字漢字", "abcd", "é\U0001f600xé\U0001f600")], 3)
+    assert count.tolist() == [1, 0, 2, 2, 3]
+    assert hashes[0] == char_shingles(["дом".encode()], 3)[0][0] and len(set(hashes.tolist())) == 8
+
+
 def pieces(text):
     return set(re.findall(rf"[^\n]{{1,{PIECE}}}", text or ""))
 
