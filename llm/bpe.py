@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,23 @@ from .minhash import _key_longs, bloom, flat_parts, key_long, may_hold, spans_fo
 WINDOW = 16
 MEAN_CHUNK = 512
 LEAST_CHUNK = 64
+#: White space in a row that ``tiktoken`` is not given: its regex gives up above a million characters. What
+#: Python takes for white space holds all that the pattern does.
+LONG_SPACE = 200_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
 
 
 class Coder:
     """Encoder and decoder of a ``tokenizers`` file with byte-level BPE.
 
     The merges are run by ``tiktoken`` where the ids follow the order of the merges, which gives
-    the same ids several times faster (the tests compare all code points); else by ``tokenizers``.
+    the same ids several times faster (the tests compare all code points); else, and for texts
+    with ``LONG_SPACE`` white-space characters in a row, by ``tokenizers``.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,17 +69,29 @@ class Coder:
         ordered = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.path, self._slow = path, None
         if ordered:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-            self.encode = lambda text: fast.encode(text, allowed_special="all")
+            long_space = lambda text: len(text) >= LONG_SPACE and _LONG_SPACE.search(text)
+            self.encode = lambda text: self._library(text) if long_space(text) else fast.encode(text, allowed_special="all")
             self.decode = lambda ids: fast.decode(ids, errors="replace")
         else:
-            slow = Tokenizer.from_file(path)
-            slow.no_truncation()
-            slow.no_padding()
-            self.encode = lambda text: slow.encode(text, add_special_tokens=False).ids
-            self.decode = lambda ids: slow.decode(ids, skip_special_tokens=False)
+            self.encode = self._library
+            self.decode = lambda ids: self._tokenizer().decode(ids, skip_special_tokens=False)
+
+    def _tokenizer(self):
+        """The file's own library, loaded when it is first needed."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.no_truncation()
+            self._slow.no_padding()
+        return self._slow
+
+    def _library(self, text: str) -> list[int]:
+        return self._tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def cuts(contents: list[bytes]) -> list[list[int]]:

@@ -36,6 +36,14 @@ def test_coder_equals_the_library_on_all_code_points(plain):
     assert [coder.encode(t) for t in texts] == [e.ids for e in plain[0].encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_very_long_white_space(spark, plain):
+    texts = ["a b" + " " * 1_100_000 + "c<|endoftext|> d", "\n" * 1_100_000, "x " * 150_000 + "\u3000\t" * 600_000 + "'s"]
+    coder = Coder(BYTE)
+    assert [coder.encode(t) for t in texts] == [plain[0].encode(t, add_special_tokens=False).ids for t in texts]
+    got = encode_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE)
+    assert ordered(got.collect()) == ordered(digest_row(plain[0], i, t) for i, t in enumerate(texts))
+
+
 def test_assembled_ids_are_exact_for_any_known_chunks(plain):
     rng, coder = random.Random(3), Coder(BYTE)
     bits = [" ", "\n", "  ", "'s", "'LL", "ab", "é", "1", "<|endoftext|>", "<|endof", "漢", " ", ".", "!!", "\r\n", "　", " the", " and"]
