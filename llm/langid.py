@@ -6,22 +6,31 @@ of weights. Transition weights between neighbouring labels are learned as well,
 read in its context and text that switches languages is labelled word by word. Posteriors come
 from forward-backward; a text's language is the label with the largest mean posterior.
 
-The field is fitted on a bounded sample of the labelled rows (``SAMPLE_ROWS`` rows for each
-language, ``SAMPLE_CHARS`` characters of each); every text is labelled whole.
+The field is fitted on a bounded sample of the labelled rows (``SAMPLE_ROWS`` different texts for
+each language, ``SAMPLE_CHARS`` characters of each; it grows with the number of languages only and
+lies in the tasks, not in the driver); every text is labelled whole.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, stored
+
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 2000
+ROUNDS = 25
+PIECE = 40
+PART_ROWS = 200
+FIXED = float(1 << 24)
+GRADIENT_ROWS = 1 << 14
 FEATURE_BITS = 18
 NGRAMS = (2, 3, 4, 5)
 CACHED_WORDS = 500_000
@@ -99,17 +108,16 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
     return gamma / gamma.sum(axis=1, keepdims=True), pairs
 
 
-def fit(samples: list[tuple[str, str]], rounds: int = 25, piece: int = 40, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels, feature weights and transition weights from ``(language, text)`` pairs.
+def prepare(rows: list[tuple[str, str]], labels: list[str], piece: int = PIECE, seed: int = 7) -> dict[str, np.ndarray] | None:
+    """What the rounds of a fit read of ``(language, text)`` pairs; None if they have no word.
 
     Sequences of ``piece`` words are cut from the texts; half of them are then joined from two
     halves of different sequences, so that transitions between languages are seen as well.
     """
     rng = np.random.default_rng(seed)
-    labels = sorted({lang for lang, _ in samples})
     at = {lang: i for i, lang in enumerate(labels)}
     runs: list[tuple[list[str], list[int]]] = []
-    for lang, text in sorted(samples):
+    for lang, text in sorted(rows):
         words = words_of(text)
         for i in range(0, len(words), piece):
             part = words[i : i + piece]
@@ -120,48 +128,74 @@ def fit(samples: list[tuple[str, str]], rounds: int = 25, piece: int = 40, seed:
         (wa, la), (wb, lb) = runs[i], runs[j]
         mixed.append((wa[:half] + wb[:half], la[:half] + lb[:half]))
     runs += mixed
-    weights, transitions = np.zeros((1 << FEATURE_BITS, len(labels))), np.zeros((len(labels), len(labels)))
-    if not runs or len(labels) < 2:
-        return labels, weights.astype(np.float32), transitions
+    if not runs:
+        return None
     ids: dict[str, int] = {}
-    seq = np.array([ids.setdefault(w, len(ids)) for words, _ in runs for w in words], dtype=np.int64)
-    gold = np.array([x for _, ls in runs for x in ls], dtype=np.int64)
-    lengths = np.array([len(words) for words, _ in runs], dtype=np.int64)
-    # languages weigh alike, however unevenly they are sampled
-    share = (len(gold) / len(labels) / np.maximum(np.bincount(gold, minlength=len(labels)), 1))[gold]
+    seq = np.array([ids.setdefault(w, len(ids)) for words, _ in runs for w in words], dtype=np.int32)
+    gold = np.array([x for _, ls in runs for x in ls], dtype=np.int32)
+    lengths = np.array([len(words) for words, _ in runs], dtype=np.int32)
     idx, starts = features(list(ids))
-    per_word = np.repeat(np.arange(len(ids)), np.diff(np.append(starts, len(idx))))
-    used, compact = np.unique(idx, return_inverse=True)
-    compact = compact.reshape(idx.shape)
-    w = np.zeros((len(used), len(labels)))
-    one_hot = np.eye(len(labels))[gold]
-    begins = np.cumsum(lengths) - lengths
-    inner = np.ones(len(gold), dtype=bool)
-    inner[begins] = False
+    # feature numbers are odd, 0 is none: every second one is left out
+    return {"seq": seq, "gold": gold, "lengths": lengths, "idx": ((idx + 1) >> 1).astype(np.int32), "starts": starts.astype(np.int32)}
+
+
+def gradient(part: dict[str, np.ndarray], w: np.ndarray, transitions: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Gradient of the log likelihood of one part, feature weights before transition weights, one row
+    after the other, in whole multiples of ``1 / FIXED``: sums of them do not depend on the order."""
+    n, labels = len(part["seq"]), w.shape[1]
+    seq, gold, lengths, idx, starts = (part[k] for k in ("seq", "gold", "lengths", "idx", "starts"))
+    by_place = w[idx[:, 0]]
+    for f in range(1, idx.shape[1]):  # one feature kind at a time keeps the task small
+        by_place += w[idx[:, f]]
+    by_word = np.add.reduceat(by_place, starts, axis=0)
+    gamma, pairs = forward_backward(by_word[seq], lengths.astype(np.int64), transitions)
+    inner = np.ones(n, dtype=bool)
+    inner[np.cumsum(lengths) - lengths] = False
     seen = np.zeros_like(transitions)
     np.add.at(seen, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
+    diff = -gamma
+    diff[np.arange(n), gold] += 1
+    diff *= share[gold][:, None]
+    per_word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    grad = np.zeros_like(w)
+    for c in range(labels):
+        spread = np.bincount(seq, diff[:, c], len(starts))[per_word]
+        for f in range(idx.shape[1]):
+            grad[:, c] += np.bincount(idx[:, f], spread, len(w))
+    grad[0] = 0
+    return np.rint(np.concatenate([grad, seen - pairs]) * FIXED).astype(np.int64)
+
+
+def climb(labels: list[str], counts: np.ndarray, total: Callable, rounds: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The model from ``total(w, transitions, share)``, the sum of the gradients of all parts; ``counts``
+    are the words of each label. Nothing here is larger than the weights."""
+    size = (1 << (FEATURE_BITS - 1)) + 1
+    weights, transitions = np.zeros((1 << FEATURE_BITS, len(labels)), dtype=np.float32), np.zeros((len(labels), len(labels)))
+    if not counts.sum() or len(labels) < 2:
+        return labels, weights, transitions
+    # languages weigh alike, however unevenly they are sampled
+    share = counts.sum() / len(labels) / np.maximum(counts, 1)
+    w = np.zeros((size, len(labels)))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(transitions), np.zeros_like(transitions)]
-    live = used != 0
     for k in range(1, rounds + 1):
-        used_w = w * live[:, None]
-        by_place = used_w[compact[:, 0]]
-        for f in range(1, compact.shape[1]):  # one feature kind at a time keeps the driver small
-            by_place += used_w[compact[:, f]]
-        by_word = np.add.reduceat(by_place, starts, axis=0)
-        gamma, pairs = forward_backward(by_word[seq], lengths, transitions)
-        diff = (one_hot - gamma) * share[:, None]
-        grad_word = np.stack([np.bincount(seq, diff[:, c], len(ids)) for c in range(len(labels))], axis=1)
-        spread = grad_word[per_word]
-        grad = np.zeros_like(w)
-        for c in range(len(labels)):
-            for f in range(compact.shape[1]):
-                grad[:, c] += np.bincount(compact[:, f], spread[:, c], len(used))
-        for x, g, m, v, rate in ((w, grad - 0.05 * w, *moments[:2], 0.05), (transitions, seen - pairs - 0.05 * transitions, *moments[2:], 0.05)):
+        summed = total(w, transitions, share)
+        for x, g, m, v, rate in ((w, summed[:size] / FIXED, *moments[:2], 0.05), (transitions, summed[size:] / FIXED, *moments[2:], 0.05)):
+            g -= 0.05 * x
             m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
+            g *= g
+            g -= v
+            v += 0.01 * g
             x += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
-    weights[used] = w * live[:, None]
-    return labels, weights.astype(np.float32), transitions
+    weights[1::2] = w[1:]
+    return labels, weights, transitions
+
+
+def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS, piece: int = PIECE, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels, feature weights and transition weights from ``(language, text)`` pairs, in this process."""
+    labels = sorted({lang for lang, _ in samples})
+    part = prepare(samples, labels, piece, seed)
+    counts = np.bincount(part["gold"] if part else [], minlength=len(labels))
+    return climb(labels, counts, lambda *now: gradient(part, *now), rounds)
 
 
 def label_texts(texts: list[str | None], model, cache: dict[str, int], table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,17 +274,76 @@ def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], n_out: i
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], names=[*keep, *names])
 
 
-def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
-    """Fit the field on ``sample_rows`` rows for each language, picked by hash; rows without a
-    language or text are not learned from."""
+def sample(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``lang, text, h``: beginnings of ``sample_rows`` different texts of each language, picked by hash;
+    rows without a language or a word to learn from are passed over."""
     text, lang = F.col(text_col), F.col(lang_col)
-    rows = train.filter(lang.isNotNull() & text.isNotNull()).select(
-        lang.cast("string").alias("lang"), F.substring(text, 1, sample_chars).alias("text"), F.xxhash64(text).alias("h")
-    )
-    # the limit on the rank is applied by each map task before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = rows.withColumn("r", rank).filter(F.col("r") <= sample_rows).select("lang", "text").collect()
-    return fit([(r["lang"], r["text"]) for r in picked])
+    begin = F.substring(text, 1, sample_chars)
+    rows = train.filter(lang.isNotNull() & begin.rlike(r"[\p{L}]")).select(lang.cast("string").alias("lang"), begin.alias("text"))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    # hashes without copies first, combined by each map task, so neither copies nor texts meet in a task;
+    # those picked are ``sample_rows`` longs a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = rows.select("lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= sample_rows).select("lang", "h")
+    return rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text", "h")
+
+
+def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, rounds: int = ROUNDS):
+    """Fit the field on the ``sample``. It stays in the tasks: parts of ``PART_ROWS`` texts are prepared and
+    stored once, each round sums their gradients in Spark, and the driver holds the weights only."""
+    sc = train.sparkSession.sparkContext
+    picked = stored(sample(train, text_col, lang_col, sample_rows, sample_chars), "language-sample")
+    sizes = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    labels = sorted(sizes)
+
+    def parts(batches):
+        rows: list[tuple[str, str]] = []
+
+        def packed(rows):
+            part = prepare(rows, labels)
+            if part:
+                counts = np.bincount(part["gold"], minlength=len(labels))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([pickle.dumps(part)], pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["part", "counts"]
+                )
+
+        for batch in batches:
+            rows += zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            while len(rows) > 2 * PART_ROWS:
+                yield packed(rows[:PART_ROWS])
+                rows = rows[PART_ROWS:]
+        if rows and (last := packed(rows)):
+            yield last
+
+    # dealt out by hash, so that a part has texts of all languages
+    dealt = picked.repartition(max(1, round(sum(sizes.values()) / PART_ROWS)), "h").sortWithinPartitions("h", "lang", "text")
+    prepared = stored(dealt.select("lang", "text").mapInArrow(parts, "part binary, counts array<long>"), "language-parts")
+    discard(picked)
+    counts = np.zeros(len(labels), dtype=np.int64)
+    for r in prepared.select(F.posexplode("counts")).groupBy("pos").sum("col").collect():
+        counts[r[0]] = r[1]
+    rows = prepared.select("part").rdd
+
+    def total(w, transitions, share):
+        now = sc.broadcast((w, transitions, share))
+
+        def of_task(found):
+            out = None
+            for r in found:
+                g = gradient(pickle.loads(r[0]), *now.value)
+                out = g if out is None else np.add(out, g, out=out)
+            for at in range(0, 0 if out is None else len(out), GRADIENT_ROWS):
+                yield at, out[at : at + GRADIENT_ROWS]
+
+        sums = rows.mapPartitions(of_task).reduceByKey(np.add)
+        got = sums.collect()
+        sums._jrdd.rdd().cleanShuffleDependencies(True)  # else the shuffles of all rounds stay on disk
+        now.destroy()
+        return np.concatenate([g for _, g in sorted(got, key=lambda x: x[0])])
+
+    model = climb(labels, counts, total, rounds)
+    discard(prepared)
+    return model
 
 
 def identify(

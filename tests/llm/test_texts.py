@@ -11,7 +11,8 @@ import pytest
 from fixtures import documents, frame, ordered
 from pyspark.sql import functions as F
 
-from llm.langid import features, fit, forward_backward, identify, label_texts
+from llm import langid
+from llm.langid import features, fit, forward_backward, identify, label_texts, learn, sample
 from llm.licences import evaluate, family, scan_licences, to_postfix
 from llm.mixing import mix, mix_by_weight, route, share_out
 
@@ -80,6 +81,30 @@ def test_identify_held_out_texts(spark):
     assert ordered(kept.select("doc_id", "lang_pred", "text").collect()) == ordered((r[0], by_id[r[0]].lang_pred, r[1]) for r in rows)
 
 
+def test_sample_passes_over_copies_and_empty_texts(spark):
+    rng = random.Random(8)
+    texts = [speech(rng, "en", 12) for _ in range(6)]
+    rows = [(t, "en") for t in texts + [texts[0]] * 30 + ["", " 1 2 ", "--"] * 30] + [("eau", "fr"), (None, "fr"), ("word", None)]
+    got = [(r.lang, r.text) for r in sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", sample_rows=5).collect()]
+    en = [t for lang, t in got if lang == "en"]
+    assert len(en) == len(set(en)) == 5 and set(en) <= set(texts) and sorted(t for lang, t in got if lang == "fr") == ["eau"]
+
+
+@pytest.mark.parametrize("part_rows", [200, 10])
+def test_fit_in_tasks(spark, monkeypatch, part_rows):
+    """One part gives the weights of a fit in one process, several give a field that labels as well."""
+    rng = random.Random(9)
+    rows = [(speech(rng, lang, 60), lang) for lang in SOUNDS for _ in range(40)]
+    monkeypatch.setattr(langid, "PART_ROWS", part_rows)
+    labels, weights, transitions = learn(spark.createDataFrame(rows, "text string, lang string").repartition(4), "text", "lang", rounds=6)
+    want = fit([(lang, t) for t, lang in rows], rounds=6)
+    assert labels == want[0] == ["en", "fr"] and np.abs(weights).max() > 0.1
+    if part_rows == 200:
+        assert np.allclose(weights, want[1], atol=1e-4) and np.allclose(transitions, want[2], atol=1e-4)
+    gamma, _ = label_texts([speech(rng, "en", 40), speech(rng, "fr", 40)], (labels, weights, transitions), {}, [np.empty((0, 2), dtype=np.float32)])
+    assert (gamma.argmax(axis=1) == np.repeat([0, 1], 40)).mean() > 0.9
+
+
 def test_identify_without_anything_to_learn_from(spark):
     rows = [(i, "some words", None, "s", 0, "", "", 0, 0.0, "") for i in range(3)]
     assert {(r.lang_pred, r.score) for r in identify(frame(spark, rows), F.lit(False)).collect()} == {("und", 0.0)}
