@@ -15,8 +15,8 @@ from llm.linededup import dedup_lines
 from llm.mixing import mix_by_weight
 from llm.neardup import keep_one
 
-#: a text whose words follow no learned language: four languages at random score 0.25
-LEAST_SCORE = 0.35
+#: a text follows no learned language if more than this share of its words is in doubt (``llm.langid``)
+MOST_DOUBT = 0.5
 
 ORACLE_SQL = None  # a trained field, MinHash and tokenizers are beyond SQL; the tests hold the stages against brute force
 
@@ -42,12 +42,12 @@ def _stage(work):
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter, or whose words fit no learned
-    language, go. Null ids are kept if their text is. The field is learned from the documents
+    language, go; a text of several languages stays, whatever their number. Null ids are kept if their text is. The field is learned from the documents
     themselves, as the query ``op9_language_id`` does. The text is labelled in its row, so nothing is
     joined back."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    found = identify(docs, held_out, keep_columns=True)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identify(docs, held_out, keep_columns=True, doubt=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("doubt") <= MOST_DOUBT)).select(*docs.columns)
 
 
 @_stage

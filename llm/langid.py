@@ -36,6 +36,8 @@ NGRAMS = (2, 3, 4, 5)
 CACHED_WORDS = 500_000
 GROUP_CHARS = 3_000_000
 UNKNOWN = "und"
+#: a word is in doubt if its best posterior lies less than this share of the way from chance (one in as many as there are labels) to certainty
+LEAST_ABOVE_CHANCE = 0.15
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -244,15 +246,16 @@ def _groups(texts: list[str | None]) -> Iterator[list[int]]:
         yield group
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], n_out: int) -> Iterator[pa.RecordBatch]:
-    """The columns ``keep`` and the first ``n_out`` results."""
+def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], results: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``keep`` and those of the results."""
     labels = model[0]
     cache: dict[str, int] = {}
     rows = [np.empty((0, len(labels)), dtype=np.float32)]
     for batch in batches:
         texts = batch.column("text").to_pylist()
         pred, score, by_lang = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
-        counts = np.zeros(len(texts), dtype=np.int64)
+        counts, doubt = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        least = (1 + LEAST_ABOVE_CHANCE * (len(labels) - 1)) / max(len(labels), 1)
         for group in _groups(texts):
             gamma, lengths = label_texts([texts[i] for i in group], model, cache, rows)
             counts[group] = lengths
@@ -262,16 +265,20 @@ def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], n_out: i
                 mean = np.add.reduceat(gamma, starts, axis=0) / lengths[some][:, None]
                 best = mean.argmax(axis=1)  # of equal ones the first: labels are sorted
                 hits = np.add.reduceat(np.eye(len(labels), dtype=np.int32)[gamma.argmax(axis=1)], starts, axis=0)
-                for j, k, m, h in zip(some, best, mean, hits, strict=True):
+                unsure = np.add.reduceat((gamma.max(axis=1) < least - 1e-9).astype(np.float64), starts) / lengths[some]
+                for j, k, m, h, u in zip(some, best, mean, hits, unsure, strict=True):
                     i = group[j]
+                    doubt[i] = u
                     pred[i], score[i] = labels[k], min(1.0, float(m[k]))
                     by_lang[i] = ",".join(f"{labels[x]}:{h[x]}" for x in np.flatnonzero(h))
             if len(cache) > CACHED_WORDS:
                 cache.clear()
                 rows[:] = [rows[0][:0]]
-        out = [pa.array(pred, pa.string()), pa.array(score), pa.array(counts), pa.array(by_lang, pa.string())][:n_out]
-        names = ["lang_pred", "score", "n_words", "words_by_lang"][:n_out]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], names=[*keep, *names])
+        out = {
+            "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "n_words": pa.array(counts),
+            "words_by_lang": pa.array(by_lang, pa.string()), "doubt": pa.array(doubt),
+        }
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(out[c] for c in results)], names=[*keep, *results])
 
 
 def sample(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -347,10 +354,13 @@ def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAM
 
 
 def identify(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False,
+    doubt: bool = False,
 ) -> DataFrame:
     """Language of every row of ``docs``: ``id, held_out, lang_pred, score, n_words, words_by_lang``,
-    or with ``keep_columns`` all its columns, ``lang_pred`` and ``score`` (replaced where they exist).
+    or with ``keep_columns`` all its columns, ``lang_pred`` and ``score`` (replaced where they exist);
+    with ``doubt`` as well also ``doubt``, the share of the text's words whose best posterior is near chance
+    (``LEAST_ABOVE_CHANCE``). With a single label there is nothing to doubt.
 
     The field is learned from rows where ``held_out`` is false and the language is known; rows
     where it is null are neither learned from nor held out. A text that is null or has no letter
@@ -363,11 +373,12 @@ def identify(
     model = learn(docs.filter(~held_out), text_col, lang_col)
     shared = spark.sparkContext.broadcast(model)
     if keep_columns:
-        whole = F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")]).alias("row")
+        added = ["lang_pred", "score"] + ["doubt"] * doubt
+        whole = F.struct(*[c for c in docs.columns if c not in added]).alias("row")
         rows = docs.select(whole, F.col(text_col).alias("text"))
-        schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-        return rows.mapInArrow(lambda it: _predict(it, shared.value, ["row"], 2), schema).select("row.*", "lang_pred", "score")
+        schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", doubt double" * doubt
+        return rows.mapInArrow(lambda it: _predict(it, shared.value, ["row"], added), schema).select("row.*", *added)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
     )
-    return rows.mapInArrow(lambda it: _predict(it, shared.value, ["id", "held_out"], 4), _OUT).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda it: _predict(it, shared.value, ["id", "held_out"], ["lang_pred", "score", "n_words", "words_by_lang"]), _OUT).withColumnRenamed("id", id_col)

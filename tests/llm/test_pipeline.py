@@ -4,10 +4,12 @@ import collections
 import random
 import re
 
+import numpy as np
 from fixtures import passage, ordered
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from llm import langid
 from llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,6 +50,24 @@ def test_stages(spark):
     assert ordered((r.doc_id,) for r in ids.select("doc_id").collect()) == ordered((r.doc_id,) for r in mixed.select("doc_id").collect())
 
 
+def test_text_in_several_languages_stays_and_one_in_none_goes(spark, monkeypatch):
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop"}
+    rng = random.Random(22)
+    say = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(i, say(lang, 60), lang, "s", 0) for i, lang in enumerate(list(letters) * 20)]
+    rows.append((500, " ".join(say(lang, 15) for lang in letters), None, "s", 0))  # in equal parts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()} == {r[0] for r in rows}
+    # words without a known feature, read with weights and transitions of zero, are at chance for any number of labels
+    for n in (2, 3, 20):
+        labels = [f"l{i}" for i in range(n)]
+        blank = labels, np.zeros((1 << langid.FEATURE_BITS, n), dtype=np.float32), np.zeros((n, n))
+        sure = labels, np.tile(np.eye(n, dtype=np.float32)[0] * 9, (1 << langid.FEATURE_BITS, 1)), np.zeros((n, n))
+        for model, left in ((blank, set()), (sure, {r[0] for r in rows})):
+            monkeypatch.setattr(langid, "learn", lambda *a, model=model: model)
+            assert {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()} == left
+
+
 def test_registered():
     names = [q for q in entry.queries() if re.match(r"op\d+_", q)]
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
