@@ -36,6 +36,14 @@ def test_coder_equals_the_library_on_all_code_points(plain):
     assert [coder.encode(t) for t in texts] == [e.ids for e in plain[0].encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_coder_equals_the_library_on_the_other_code_points(plain):
+    coder = Coder(BYTE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    del points[::7]
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in points]
+    assert all(coder.encode(t) == e.ids for t, e in zip(texts, plain[0].encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+
 def test_very_long_white_space(spark, plain):
     texts = ["a b" + " " * 1_100_000 + "c<|endoftext|> d", "\n" * 1_100_000, "x " * 150_000 + "\u3000\t" * 600_000 + "'s"]
     coder = Coder(BYTE)
