@@ -208,3 +208,71 @@ def concurrency_extremes(spark, sf_dir):
         "jobId", F.floor(F.col("startTime") / 86400).alias("s"), (F.floor(F.col("startTime") / 86400) + F.col("elapsedTime")).alias("e")
     )
     return concurrency_summary(concurrency(rows, ["jobId"], "s", "e", 90), ["jobId"])
+
+
+ONE_GROUP = f"""
+{TASKS}, span AS (
+  SELECT 1 AS jobId, startTime, startTime + elapsedTime * 60 AS finishTime FROM tasks
+  UNION ALL SELECT 1, CAST(floor(epoch(ts)) AS BIGINT), CAST(floor(epoch(ts)) AS BIGINT) + event_id % 400 FROM events
+)"""
+
+
+def one_group(spark, sf_dir):
+    """Line items and events as the intervals of one group."""
+    events = table(spark, sf_dir, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("startTime"), "event_id")
+    events = events.select("startTime", (F.col("startTime") + F.col("event_id") % 400).alias("finishTime"))
+    items = tasks(spark, sf_dir).select("startTime", (F.col("startTime") + F.col("elapsedTime") * 60).alias("finishTime"))
+    return items.unionByName(events).withColumn("jobId", F.lit(1))
+
+
+@query("critical_path_one_group", f"WITH {ONE_GROUP}, {PATH} SELECT startTime, finishTime FROM path")
+def path_of_one_group(spark, sf_dir):
+    return critical_path(one_group(spark, sf_dir), ["jobId"], "startTime", "finishTime", rows_per_slice=300).drop("jobId")
+
+
+@query(
+    "scheduling_delay_one_group",
+    f"""
+WITH {ONE_GROUP}, {PATH}, busy AS (SELECT CAST(sum(finishTime - startTime) AS BIGINT) AS busy FROM path)
+SELECT (SELECT max(finishTime) - min(startTime) + 1100 FROM span) - busy AS delay FROM busy""",
+)
+def delay_of_one_group(spark, sf_dir):
+    rows = one_group(spark, sf_dir)
+    wall = rows.groupBy("jobId").agg((F.min("startTime") - 100).alias("_s"), (F.max("finishTime") + 1000).alias("_e"))
+    out = scheduling_delay(wall, rows, ["jobId"], "_s", "_e", "startTime", "finishTime", name="delay", rows_per_slice=300)
+    return out.select(F.col("delay").cast("bigint").alias("delay"))
+
+
+@query(
+    "wait_time_one_job",
+    f"""
+WITH {TASKS}, v AS (SELECT * FROM tasks WHERE startTime > 0 AND finishTime > 0 AND elapsedTime > 0),
+m AS (SELECT finishTime, elapsedTime, row_number() OVER (ORDER BY finishTime) AS rn, count(*) OVER () AS n FROM v WHERE type = 'MAP'),
+mm AS (SELECT max(finishTime) AS mf, max(elapsedTime) AS me, max(CASE WHEN rn = CAST(ceil(n * 70 / 100.0) AS BIGINT) AND rn < n THEN finishTime END) AS kth FROM m),
+r AS (SELECT max(finishTime) AS rf, max(elapsedTime) AS re FROM v WHERE type = 'REDUCE')
+SELECT CAST(mf - 780000000 - me + rf - kth - re AS BIGINT) AS "waitTime" FROM mm, r""",
+)
+def wait_of_one_job(spark, sf_dir):
+    """All attempts belong to one job, whose finish seconds are cut into slices."""
+    jobs = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(
+        F.lit(1).alias("jobId"), F.lit(780000000).cast("bigint").alias("submitTime"), F.lit(5).alias("mapsTotal")
+    )
+    rows = tasks(spark, sf_dir).withColumn("jobId", F.lit(1))
+    return wait_time(jobs, rows, rows_per_slice=200).select(F.col("waitTime").cast("bigint").alias("waitTime"))
+
+
+@query(
+    "concurrency_one_group",
+    f"""
+WITH {TASKS}, t AS (SELECT startTime // 86400 AS s, startTime // 86400 + elapsedTime AS e FROM tasks),
+g AS (SELECT min(s) AS lo, max(e) + 1 AS hi FROM t),
+b AS (SELECT lo + i * 5 AS bs, least(lo + (i + 1) * 5, hi) AS be FROM g, LATERAL (SELECT unnest(range(CAST(ceil((hi - lo) / 5) AS BIGINT))) AS i))
+SELECT bs AS bucket_start, be AS bucket_end, count(s) AS task_count
+FROM b LEFT JOIN t ON ((s >= bs AND s < be) OR (e > bs AND e <= be) OR (s < bs AND e > be)) GROUP BY 1, 2""",
+)
+def concurrency_of_one_group(spark, sf_dir):
+    """Days as the unit of time, five of them to a bucket; the changes of one group are cut into slices."""
+    rows = tasks(spark, sf_dir).select(
+        F.lit(1).alias("jobId"), F.floor(F.col("startTime") / 86400).alias("s"), (F.floor(F.col("startTime") / 86400) + F.col("elapsedTime")).alias("e")
+    )
+    return concurrency(rows, ["jobId"], "s", "e", 5, rows_per_slice=50).drop("jobId")

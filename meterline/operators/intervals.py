@@ -1,27 +1,33 @@
 """Interval analytics: merged paths, scheduling delay, stragglers, wait time, concurrency.
 
 Endpoints are whole epoch seconds, so groups are first collapsed to one row per
-distinct second (map-side combined); what is then windowed per group is bounded
-by the time the group spans, not by its row count.
+distinct second (map-side combined). What is then worked through in order is cut into
+slices where a group is long (``slices.prefix_scan``), so no group is one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .slices import ROWS_PER_SLICE, WIDTH, running_total, same_keys, slice_groups
+from .slices import (
+    ROWS_PER_SLICE, WIDTH, drop_slices, highest, prefix_scan, running_total, same_keys, slice_groups, total, with_next,
+)
 
 
 def critical_path(
-    df: DataFrame, group: Sequence[str], start: str, end: str, min_rows: int = 1
+    df: DataFrame, group: Sequence[str], start: str, end: str, min_rows: int = 1, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Merge overlapping or touching intervals of each group.
 
     A group with fewer than ``min_rows`` rows, or with any endpoint NULL or <= 0,
     has no path.
+
+    Two scans along the starts: how far the intervals before reach (a running maximum), and how
+    many intervals up to here open a new stretch (a running sum). Both carry over the borders
+    of slices, so a stretch may span any number of them.
     """
     unusable = F.coalesce((F.col(start) <= 0) | (F.col(end) <= 0), F.lit(True))
     seconds = df.groupBy(*group, start).agg(
@@ -29,32 +35,31 @@ def critical_path(
         F.count(F.lit(1)).alias("_n"),
         F.max(unusable.cast("int")).alias("_bad"),
     )
-    whole = Window.partitionBy(*group)
-    ordered = whole.orderBy(start)
-    reach = F.max("_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    islands = (
-        seconds.withColumns(
-            {
-                "_rows": F.sum("_n").over(whole),
-                "_void": F.max("_bad").over(whole),
-                "_opens": F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)),
-            }
-        )
-        .filter((F.col("_rows") >= min_rows) & (F.col("_void") == 0))
-        .withColumn("_island", F.sum("_opens").over(ordered))
-    )
+    sliced = slice_groups(seconds, group, start, rows_per_slice)
+    reached = prefix_scan(
+        sliced, group, start,
+        {
+            "_reach": highest(F.col("_end"), "before"),
+            "_rows": total(F.col("_n"), "whole"),
+            "_void": highest(F.col("_bad"), "whole"),
+        },
+    ).filter((F.col("_rows") >= min_rows) & (F.col("_void") == 0))
+    opens = F.coalesce((F.col(start) > F.col("_reach")).cast("int"), F.lit(1))
+    islands = prefix_scan(reached, group, start, {"_island": total(opens)})
     return (
-        islands.groupBy(*group, "_island")
+        drop_slices(islands)
+        .groupBy(*group, "_island")
         .agg(F.min(start).alias(start), F.max("_end").alias(end))
         .drop("_island")
     )
 
 
 def path_length(
-    df: DataFrame, group: Sequence[str], start: str, end: str, min_rows: int = 1, name: str = "busy"
+    df: DataFrame, group: Sequence[str], start: str, end: str, min_rows: int = 1, name: str = "busy",
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Total length of the merged intervals per group."""
-    path = critical_path(df, group, start, end, min_rows)
+    path = critical_path(df, group, start, end, min_rows, rows_per_slice)
     return path.groupBy(*group).agg(F.sum(F.col(end) - F.col(start)).alias(name))
 
 
@@ -69,6 +74,7 @@ def scheduling_delay(
     min_rows: int = 1,
     skip_open: bool = True,
     name: str = "scheduling_delay",
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Wall time of the parent not covered by its children.
 
@@ -80,7 +86,7 @@ def scheduling_delay(
     if skip_open:
         usable = children.filter(F.col(c_start).isNotNull() & F.col(c_end).isNotNull())
     names = [f"_g{i}" for i in range(len(group))]
-    busy = path_length(usable, group, c_start, c_end, min_rows, "_busy")
+    busy = path_length(usable, group, c_start, c_end, min_rows, "_busy", rows_per_slice)
     busy = busy.select(*[F.col(g).alias(n) for g, n in zip(group, names)], "_busy")
     wall = F.col(p_end) - F.col(p_start)
     delay = F.when((wall > 0) & (F.col("_busy") > 0), wall - F.col("_busy")).otherwise(F.lit(0))
@@ -169,6 +175,7 @@ def wait_time(
     reduce_start_pct: int = 70,
     job: str = "jobId",
     name: str = "waitTime",
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Time map and reduce attempts spent waiting, added to the jobs.
 
@@ -180,9 +187,10 @@ def wait_time(
     per_second = valid.groupBy(F.col(job).alias("_job"), F.col("type"), F.col("finishTime")).agg(
         F.count(F.lit(1)).alias("_n"), F.max("elapsedTime").alias("_elapsed")
     )
-    of_type = Window.partitionBy("_job", "type")
-    seen = of_type.orderBy("finishTime").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = per_second.withColumns({"_seen": F.sum("_n").over(seen), "_all": F.sum("_n").over(of_type)})
+    ranked = prefix_scan(
+        per_second, ["_job", "type"], "finishTime", {"_seen": total(F.col("_n")), "_all": total(F.col("_n"), "whole")},
+        rows_per_slice=rows_per_slice,
+    )
     k = F.ceil(F.col("_all") * F.lit(reduce_start_pct) / F.lit(100))
     is_map, is_reduce = F.col("type") == "MAP", F.col("type") == "REDUCE"
     per_job = ranked.groupBy("_job").agg(
@@ -218,6 +226,7 @@ def concurrency(
     lo: str | None = None,
     hi: str | None = None,
     by: Mapping[str, Column] | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """How many intervals of each group overlap each time bucket.
 
@@ -240,31 +249,31 @@ def concurrency(
     low = F.col(lo) if lo else F.col("_min")
     high = (F.col(hi) if hi else F.col("_max")) + 1
     width = even_step(low, high) if step == "even" else F.lit(int(step)).cast("bigint")
-    rows = rows.withColumns({"_lo": low, "_hi": high, "_step": width})
-    rows = rows.filter(F.col("_hi") > F.col("_lo")).withColumn(
-        "_last", (F.ceil((F.col("_hi") - F.col("_lo")) / F.col("_step")) - 1).cast("bigint")
+    rows = rows.withColumns({"_first_s": low, "_end_s": high, "_step_s": width})
+    rows = rows.filter(F.col("_end_s") > F.col("_first_s")).withColumn(
+        "_last_bucket", (F.ceil((F.col("_end_s") - F.col("_first_s")) / F.col("_step_s")) - 1).cast("bigint")
     )
 
     s, e = F.col(start), F.col(end)
     counted = (s != 0) & (e != 0)
     point = s == e
-    overlaps = F.when(point, (s >= F.col("_lo")) & (s <= F.col("_hi"))).otherwise(
-        (s < F.col("_hi")) & (e > F.col("_lo")) & (e > s)
+    overlaps = F.when(point, (s >= F.col("_first_s")) & (s <= F.col("_end_s"))).otherwise(
+        (s < F.col("_end_s")) & (e > F.col("_first_s")) & (e > s)
     )
-    first = F.floor((s - F.col("_lo")) / F.col("_step"))
-    on_edge = point & ((s - F.col("_lo")) % F.col("_step") == 0)
+    first = F.floor((s - F.col("_first_s")) / F.col("_step_s"))
+    on_edge = point & ((s - F.col("_first_s")) % F.col("_step_s") == 0)
     first = F.when(on_edge, first - 1).otherwise(first)
-    last = F.when(point, F.floor((s - F.col("_lo")) / F.col("_step"))).otherwise(
-        F.floor((e - 1 - F.col("_lo")) / F.col("_step"))
+    last = F.when(point, F.floor((s - F.col("_first_s")) / F.col("_step_s"))).otherwise(
+        F.floor((e - 1 - F.col("_first_s")) / F.col("_step_s"))
     )
     begin = F.greatest(first, F.lit(0)).cast("bigint")
     # a point exactly at the clipped end belongs to the last bucket
-    begin = F.least(begin, F.col("_last"))
-    stop = F.least(last, F.col("_last")).cast("bigint")
+    begin = F.least(begin, F.col("_last_bucket"))
+    stop = F.least(last, F.col("_last_bucket")).cast("bigint")
     live = F.coalesce(counted & overlaps, F.lit(False))
 
     one = {n: F.when(c & live, F.lit(1)).otherwise(F.lit(0)).alias(n) for n, c in by.items()}
-    frame = [*group, "_lo", "_hi", "_step", "_last"]
+    frame = [*group, "_first_s", "_end_s", "_step_s", "_last_bucket"]
     tagged = rows.select(*frame, begin.alias("_begin"), stop.alias("_stop"), live.alias("_live"), *one.values())
     edges = F.when(
         F.col("_live"),
@@ -278,26 +287,25 @@ def concurrency(
         .groupBy(*frame, F.col("_edge.b").alias("bucket"))
         .agg(*[F.sum(F.col(n) * F.col("_edge.sign")).alias(n) for n in by])
     )
-    ordered = Window.partitionBy(*frame).orderBy("bucket")
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = changes.withColumns(
+    sliced = with_next(slice_groups(changes, frame, "bucket", rows_per_slice), frame, "bucket", "bucket")
+    scans = {n: total(F.col(n)) for n in by} | {"_before": total(F.lit(1), "before")}
+    levels = drop_slices(prefix_scan(sliced, frame, "bucket", scans)).withColumns(
         {
-            **{n: F.sum(n).over(running) for n in by},
-            "_next": F.coalesce(F.lead("bucket").over(ordered), F.col("_last") + 1),
-            "_from": F.when(F.row_number().over(ordered) == 1, F.lit(0)).otherwise(F.col("bucket")),
+            "_next": F.coalesce(F.col("_next"), F.col("_last_bucket") + 1),
+            "_from": F.when(F.col("_before").isNull(), F.lit(0)).otherwise(F.col("bucket")),
         }
-    ).filter(F.col("bucket") <= F.col("_last"))
+    ).filter(F.col("bucket") <= F.col("_last_bucket"))
     # a level holds until the next change; before the first change it is 0
     out = levels.withColumnRenamed("bucket", "_changed").select(
         "*", F.explode(F.sequence(F.col("_from"), F.col("_next") - 1)).alias("bucket")
     )
     before = F.col("bucket") < F.col("_changed")
     out = out.withColumns({n: F.when(before, F.lit(0)).otherwise(F.col(n)) for n in by})
-    b_start = F.col("_lo") + F.col("bucket") * F.col("_step")
+    b_start = F.col("_first_s") + F.col("bucket") * F.col("_step_s")
     return out.select(
         *group,
         b_start.alias("bucket_start"),
-        F.least(b_start + F.col("_step"), F.col("_hi")).alias("bucket_end"),
+        F.least(b_start + F.col("_step_s"), F.col("_end_s")).alias("bucket_end"),
         *by,
     )
 

@@ -61,11 +61,20 @@ def rename_map_keys(df: DataFrame, col: str, rule: Callable[[Column], Column] =
 
 def last_wins_map(entries: Column) -> Column:
     """Map of an array of ``(k, v)`` structs; of entries with one key the last counts, and entries
-    without a key are left out (Spark's own constructors raise on both)."""
+    without a key are left out (Spark's own constructors raise on both).
+
+    Only where a key does repeat is the last entry of each looked up."""
+
+    def settled(named: Column) -> Column:
+        keys = F.transform(named, lambda e: e["k"])
+        once = F.array_distinct(keys)
+        last = F.transform(once, lambda k: F.try_element_at(F.filter(named, lambda e: e["k"] == k), F.lit(-1))["v"])
+        plain = F.map_from_arrays(keys, F.transform(named, lambda e: e["v"]))
+        return F.when(F.size(once) == F.size(keys), plain).otherwise(F.map_from_arrays(once, last))
+
+    # an array of one element, so that the entries are worked out once
     named = F.filter(entries, lambda e: e["k"].isNotNull())
-    keys = F.array_distinct(F.transform(named, lambda e: e["k"]))
-    last = F.transform(keys, lambda k: F.try_element_at(F.filter(named, lambda e: e["k"] == k), F.lit(-1))["v"])
-    return F.map_from_arrays(keys, last)
+    return F.get(F.transform(F.filter(F.array(named), lambda n: n.isNotNull()), settled), F.lit(0))
 
 
 def drop_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:

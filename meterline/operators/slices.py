@@ -25,7 +25,8 @@ the count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -253,6 +254,89 @@ def carry_forward(
     return out.drop(*extra, *[f"_own{i}" for i in range(len(cols))], *[f"_carry{i}" for i in range(len(cols))])
 
 
+@dataclass(frozen=True)
+class Scan:
+    """An associative step along the rows of a group: ``aggregate`` over some rows, ``combine`` of two results.
+
+    ``reach`` says which rows count: ``"upto"`` those up to the current one, ``"before"`` those before
+    it (NULL on the first), ``"whole"`` all of the group. NULL values play no part.
+    """
+
+    value: Column
+    aggregate: Callable[[Column | str], Column]
+    combine: Callable[[Column, Column], Column]
+    reach: str = "upto"
+
+
+def total(value: Column, reach: str = "upto") -> Scan:
+    return Scan(value, F.sum, lambda a, b: a + b, reach)
+
+
+def highest(value: Column, reach: str = "upto") -> Scan:
+    return Scan(value, F.max, lambda a, b: F.greatest(a, b), reach)
+
+
+def prefix_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    scans: Mapping[str, Scan],
+    tiebreak: Sequence[str] = (),
+    descending: bool = False,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Add a column for each scan, in groups of any size.
+
+    Inside a slice a scan is a window; what the slices before it come to travels in the edge table,
+    one aggregate per slice, and is combined with the window's result. Nothing depends on how the
+    rows of a group are cut, since the steps are associative.
+    """
+    values = {f"_value{i}": s.value for i, s in enumerate(scans.values())}
+    sliced, extra = _slice_once(df.withColumns(values), keys, order, rows_per_slice, descending, tiebreak)
+    ordered = _window(keys).orderBy(*_order(order, tiebreak, descending))
+    frames = {
+        "upto": ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow),
+        "before": ordered.rowsBetween(Window.unboundedPreceding, -1),
+        "whole": _window(keys),
+    }
+    edges = _edge_table(sliced, keys, [s.aggregate(v).alias(f"_part{i}") for i, (v, s) in enumerate(zip(values, scans.values()))])
+    slices, names = _before(keys)
+    spans = {"whole": Window.partitionBy(*names)}
+    for i, s in enumerate(scans.values()):
+        span = spans.get(s.reach, slices.rowsBetween(Window.unboundedPreceding, -1))
+        edges = edges.withColumn(f"_carry{i}", s.aggregate(f"_part{i}").over(span))
+    edges = edges.drop(*[f"_part{i}" for i in range(len(scans))])
+    own = {name: s.aggregate(v).over(frames[s.reach]) for v, (name, s) in zip(values, scans.items())}
+    out = _join_edges(sliced.withColumns(own), edges, keys, names)
+    both = {}
+    for i, (name, s) in enumerate(scans.items()):
+        carry, here = F.col(f"_carry{i}"), F.col(name)
+        if s.reach == "whole":  # a sliced group's total has the slice's own rows in it
+            both[name] = F.coalesce(carry, here)
+        else:
+            both[name] = F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(s.combine(carry, here))
+    return out.withColumns(both).drop(*values, *[f"_carry{i}" for i in range(len(scans))], *extra)
+
+
+def with_next(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    col: str,
+    tiebreak: Sequence[str] = (),
+    rows_per_slice: int = ROWS_PER_SLICE,
+    name: str = "_next",
+) -> DataFrame:
+    """Add ``col`` of the next row of each key (NULL on the last)."""
+    sliced, extra = _slice_once(df, keys, order, rows_per_slice, tiebreak=tiebreak)
+    local = F.lead(F.struct(col)).over(_window(keys).orderBy(*_order(order, tiebreak)))
+    edges = _edge_table(sliced, keys, [F.min_by(F.struct(col), F.struct(order, *tiebreak)).alias("_first")])
+    slices, names = _before(keys)
+    edges = edges.withColumn("_ahead", F.lead("_first").over(slices)).drop("_first")
+    out = _join_edges(sliced.withColumn(name, local), edges, keys, names)
+    return out.withColumn(name, F.coalesce(name, "_ahead")[col]).drop("_ahead", *extra)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

@@ -18,6 +18,39 @@ FLAT_PLUGINS = ["mysql", "mongod", "postgres", "tpcc", "jmeter", "jvm"]
 FOLDER_NAMES = {"elasticsearch": "elasticsearchagent"}
 
 
+def pack(sizes: dict[str, int], bins: int, most: int) -> list[list[str]]:
+    """Files dealt out by first fit, largest first, into about ``bins`` bins of at most ``most`` bytes.
+
+    A bin takes as much as ``bins`` of them need, a little more until so few are enough, but never more than
+    ``most``: then there are as many as it takes. A file larger than that has a bin of its own.
+    """
+    room = min(most, max([1, -(-sum(sizes.values()) // bins), *sizes.values()]))
+    while True:
+        packed: list[list[str]] = []
+        left: list[int] = []
+        for path in sorted(sizes, key=lambda p: (-sizes[p], p)):
+            at = next((i for i, free in enumerate(left) if sizes[path] <= free), len(packed))
+            if at == len(packed):
+                packed.append([])
+                left.append(room)
+            packed[at].append(path)
+            left[at] -= sizes[path]
+        if len(packed) <= bins or room >= most:
+            return packed
+        room = min(most, room + room // 20 + 1)
+
+
+def packed_rows(spark: SparkSession, src: str, bins: Sequence[Sequence[str]], cols: Sequence[str]) -> DataFrame:
+    """Rows of an ORC table's files, each bin read by one task, in place: nothing is shuffled."""
+    schema = spark.read.orc(src).schema
+    reader = spark.read.schema(schema).option("basePath", src)
+    parts = [reader.orc(list(paths)).select(*cols).coalesce(1) for paths in bins]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def compact_day(
     spark: SparkSession,
     src: str,
@@ -27,21 +60,26 @@ def compact_day(
     day: int,
     files: int = 10,
     max_file_bytes: int = 4 * 1024**3,
+    per_job: int = 200,
 ) -> str:
     """One day of the partitioned ingest layout into few files under ``out/Y/M/D``.
 
-    The partition filter prunes to one folder. Fails if the target exists. ``files`` is
-    how many files a day usually gets; a day too large for that gets as many as keep each
-    below ``max_file_bytes``, so no task writes an unbounded share.
+    The day's files are listed with their sizes and packed into bins; a task reads the files of a bin
+    and writes one, so rows move nowhere else. Fails if the target exists. ``files`` is how many
+    files a day usually gets; a day too large for that gets as many as keep each below
+    ``max_file_bytes`` (a file larger than that already stays one), ``per_job`` of them in a job.
     """
     folder = f"{src.rstrip('/')}/year={year}/month={month}/day={day}"
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(folder)
-    day_bytes = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    count = max(files, -(-day_bytes // max_file_bytes))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(folder).select("path", "length")
+    sizes = {r["path"]: r["length"] for r in listed.collect()}  # one row for each file of the day
+    bins = pack(sizes, files, max_file_bytes)
     target = f"{out.rstrip('/')}/{year}/{month}/{day}"
-    part = (F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day)
-    rows = spark.read.orc(src).filter(part).select("data", "year", "month", "day")
-    rows.repartition(int(count)).write.orc(target)
+    cols = ["data", "year", "month", "day"]
+    if not bins:
+        spark.read.orc(src).select(*cols).limit(0).write.orc(target)
+    for at in range(0, len(bins), per_job):
+        rows = packed_rows(spark, src, bins[at : at + per_job], cols)
+        rows.write.mode("errorifexists" if at == 0 else "append").orc(target)
     return target
 
 

@@ -137,7 +137,7 @@ def shape_load_samples(raw: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- exposition format
 
-_LABEL = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
+_LABEL = r'[A-Za-z_][A-Za-z0-9_]*="(?:[^"\\]|\\.)*"'
 
 
 def parse_exposition(
@@ -163,13 +163,18 @@ def parse_exposition(
     samples = filled.filter(~v.startswith("#") & (F.trim(v) != ""))
     labelled = v.contains("{")
     body = F.when(labelled, F.regexp_extract(v, r"\{(.*)\}", 1)).otherwise(F.lit(""))
-    keys = F.regexp_extract_all(body, F.lit(_LABEL), 1)
-    vals = F.regexp_extract_all(body, F.lit(_LABEL), 2)
+    # one pass over the body; a name holds no quote, so the first one ends it
+    pairs = F.transform(
+        F.regexp_extract_all(body, F.lit(_LABEL), F.lit(0)),
+        lambda p: F.struct(
+            F.substring_index(p, '="', 1).alias("k"), F.substring(p, F.instr(p, '"') + 1, F.length(p) - F.instr(p, '"') - 1).alias("v")
+        ),
+    )
     text = F.when(labelled, F.regexp_extract(v, r"\}\s+(\S+)", 1)).otherwise(F.regexp_extract(v, r"^\S+\s+(\S+)", 1))
     return samples.withColumns(
         {
             "metric": F.regexp_extract(v, r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1),
-            "labels": last_wins_map(F.zip_with(keys, vals, lambda k, x: F.struct(k.alias("k"), x.alias("v")))),
+            "labels": last_wins_map(pairs),
             "type": F.nullif(F.col("type"), F.lit("")),
             "value_int": F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")),
             "_number": text.try_cast("double"),

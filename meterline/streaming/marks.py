@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.versions import Versions
+
+IDS = "id STRING"
 MARK_SCHEMA = "name STRING, mark BIGINT, last_id STRING, written_at TIMESTAMP"
 # States after which a workflow is analysed.
 TERMINAL_STATES = ["SUCCEEDED", "KILLED", "FAILED"]
@@ -85,3 +88,43 @@ def advance_lifecycle(
             ),
         }
     ).drop("_uk", "_us")
+
+
+def _marks(spark: SparkSession, path: str, name: str) -> Versions:
+    return Versions(spark, f"{path.rstrip('/')}/{name}")
+
+
+def advance_mark_set(processed: DataFrame, mark_col: str, id_col: str, path: str, name: str, keep: int = 2) -> None:
+    """Move a job's mark to the newest value of ``processed``; call it after the write has succeeded.
+
+    The mark holds the ids that were processed at its value, so rows tied there are told apart one by
+    one. The ids are a table of their own, however many; the mark is replaced in one step, and all but the
+    last ``keep`` marks are removed. Rows older than the mark do not move it back.
+    """
+    spark = processed.sparkSession
+    versions = _marks(spark, path, name)
+    number, state = versions.latest()
+    top = processed.agg(F.max(mark_col).cast("bigint")).first()[0]
+    if top is None or top < state.get("mark", top):
+        return
+    ids = processed.filter(F.col(mark_col) == top).select(F.col(id_col).cast("string").alias("id"))
+    if top == state.get("mark"):
+        ids = ids.unionByName(spark.read.schema(IDS).parquet(state["ids"]))
+    folder = versions.new_folder("ids")
+    ids.dropna().distinct().write.parquet(folder)
+    versions.commit(number, {"mark": top, "ids": folder})
+    versions.prune(keep, lambda s: {s["ids"]})
+
+
+def read_after(df: DataFrame, mark_col: str, id_col: str, path: str, name: str, default: int | None = None) -> DataFrame:
+    """Rows past the mark, and those at it whose id has not been processed.
+
+    Only rows at the mark are joined with its ids. Without a mark yet ``default`` stands in (such as the
+    current time); with neither, all rows. Rows without an id at the mark are read again.
+    """
+    _, state = _marks(df.sparkSession, path, name).latest()
+    if not state:
+        return df if default is None else df.filter(F.col(mark_col) >= default)
+    done = df.sparkSession.read.schema(IDS).parquet(state["ids"]).withColumnRenamed("id", "_done")
+    tied = df.filter(F.col(mark_col) == state["mark"]).join(done, F.col(id_col).cast("string") == F.col("_done"), "left_anti")
+    return df.filter(F.col(mark_col) > state["mark"]).unionByName(tied)
