@@ -355,11 +355,11 @@ def learn(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAM
 
 def identify(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False,
-    doubt: bool = False,
+    doubt: bool = False, as_row: bool = False,
 ) -> DataFrame:
     """Language of every row of ``docs``: ``id, held_out, lang_pred, score, n_words, words_by_lang``,
-    or with ``keep_columns`` all its columns, ``lang_pred`` and ``score`` (replaced where they exist);
-    with ``doubt`` as well also ``doubt``, the share of the text's words whose best posterior is near chance
+    or with ``keep_columns`` all its columns, ``lang_pred`` and ``score`` (replaced where they exist; with
+    ``as_row`` all columns stay as they are, in the struct ``row``); with ``doubt`` as well also ``doubt``, the share of the text's words whose best posterior is near chance
     (``LEAST_ABOVE_CHANCE``). With a single label there is nothing to doubt.
 
     The field is learned from rows where ``held_out`` is false and the language is known; rows
@@ -374,10 +374,10 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     if keep_columns:
         added = ["lang_pred", "score"] + ["doubt"] * doubt
-        whole = F.struct(*[c for c in docs.columns if c not in added]).alias("row")
+        whole = F.struct(*[c for c in docs.columns if as_row or c not in added]).alias("row")
         rows = docs.select(whole, F.col(text_col).alias("text"))
         schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", doubt double" * doubt
-        return rows.mapInArrow(lambda it: _predict(it, shared.value, ["row"], added), schema).select("row.*", *added)
+        return rows.mapInArrow(lambda it: _predict(it, shared.value, ["row"], added), schema).select("row" if as_row else "row.*", *added)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
     )

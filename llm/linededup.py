@@ -79,8 +79,8 @@ def dropped_lines(
     return gone.groupBy("id", "d").agg(F.collect_set("n").alias("numbers"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All rows of ``docs`` with repeated lines taken out of the text, and ``lines_dropped``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "lines_dropped", **options) -> DataFrame:
+    """All rows of ``docs`` with repeated lines taken out of the text, and how many (``count_col``, replaced where it exists).
 
     Lines (between line feeds) that are alike after folding A-Z and white space, or whose sets of
     character shingles have a Jaccard similarity of at least the threshold, are linked; of each
@@ -101,5 +101,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
     built = flat.mapInArrow(_rebuild, kinds)
-    back = [F.col(f"c{others.index(c)}").alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns]
-    return built.select(*back, F.coalesce(F.size("numbers"), F.lit(0)).alias("lines_dropped"))
+    back = [F.col(f"c{others.index(c)}").alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns if c != count_col]
+    return built.select(*back, F.coalesce(F.size("numbers"), F.lit(0)).alias(count_col))

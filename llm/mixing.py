@@ -178,25 +178,18 @@ def mix_by_weight(
     ids and ties are handled as ``mix`` says; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    names = docs.columns
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     source = F.col(source_col).cast("string")
+    new = ["size", "source_size", "target", "taken"]
+    names = [c for c in docs.columns if c not in new and (keep_text or c != text_col)]
     # a letter before the name keeps a null source apart from every text
-    new = ("size", "source_size", "target", "taken", "__source", "__sources", "__size")
-    sized = stored(
-        docs.select(
-            *[c for c in names if c not in new and (keep_text or c != text_col)], words.alias("__size"),
-            F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("__source"),
-        ),
-        "sized",
-    )
-    per = sized.groupBy("__source").agg(F.sum("__size").alias("n")).collect()
-    per = sorted(((r["__source"], int(r["n"])) for r in per), key=lambda x: (x[0] == "n", x[0].encode("utf-8")))
+    key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
+    sized = stored(docs.select(F.struct(*names).alias("doc"), F.col(id_col).alias("id"), words.alias("size"), key.alias("key")), "sized")
+    per = sized.groupBy("key").agg(F.sum("size").alias("n")).collect()
+    per = sorted(((r["key"], int(r["n"])) for r in per), key=lambda x: (x[0] == "n", x[0].encode("utf-8")))
     weight = [weights[i % len(weights)] for i in range(len(per))]
     targets = share_out(share * sum(n for _, n in per), weight, [max_repeats * n for _, n in per])
     quotas = {s: round(t) for (s, _), t in zip(per, targets, strict=True)}
-    mixed = mix(sized.withColumn("__sources", F.array("__source")), "__sources", "__size", id_col, quotas, max_repeats, seed)
-    table = spark.createDataFrame(
-        [(s, n, t) for (s, n), t in zip(per, targets, strict=True)], "__source string, source_size long, target double"
-    )
-    return mixed.join(table, "__source").withColumnRenamed("__size", "size").drop("__source", "__sources")
+    mixed = mix(sized.withColumn("sources", F.array("key")), "sources", "size", "id", quotas, max_repeats, seed)
+    table = spark.createDataFrame([(s, n, t) for (s, n), t in zip(per, targets, strict=True)], "key string, source_size long, target double")
+    return mixed.join(table, "key").select("doc.*", *new)

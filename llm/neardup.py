@@ -70,9 +70,24 @@ def jaccard_classes(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one left of each class, columns as they were. Rows that repeat id and
     text count as one, save for texts without a word, which all stay."""
-    kept = jaccard_classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("k").alias("__kept")).distinct()
-    keyed = docs.withColumn("__k", text_key(F.col(text_col)))
+    kept = jaccard_classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("k").alias("kept_k")).distinct()
     worded = F.coalesce(F.col(text_col).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
-    same = (F.col("__k") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    found = keyed.filter(worded).join(kept, same).dropDuplicates(["__k", "__id"])
-    return found.select(*docs.columns).unionByName(docs.filter(~worded))
+    keyed = docs.filter(worded).select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"))
+    found = keyed.join(kept, (F.col("k") == F.col("kept_k")) & F.col("id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["k", "id"])
+    return found.select("row.*").unionByName(docs.filter(~worded))
+
+
+def keep_one_of_whole(docs: DataFrame, whole: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose whole texts, in ``whole``, are near copies of another's that is still there.
+
+    For texts that were shortened on the way: what is left of a near copy need not resemble its
+    original any more. Only the whole texts of the documents at hand are compared, and the one with the
+    smallest id of each class stays; ids that are null or not in ``whole`` stay, and one that has several
+    whole texts stays if one of them does.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
+    at_hand = whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    classes = jaccard_classes(at_hand, "id", "text").groupBy("id").agg(F.max("kept").alias("kept"))
+    gone = classes.filter("NOT kept").select(F.col("id").alias("gone_id"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    return keyed.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 from fixtures import passage, ordered
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -70,5 +71,57 @@ def test_text_in_several_languages_stays_and_one_in_none_goes(spark, monkeypatch
 
 def test_registered():
     names = [q for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in pipeline.STAGES] and 4 <= len(pipeline.STAGES) <= 5 and pipeline.ORACLE_SQL is None
+
+
+CLASHING = ["size", "source_size", "target", "taken", "score", "lang_pred", "doubt", "lines_dropped", "dropped", "row", "__times", "__copy", "__k", "__source"]
+
+
+def test_columns_with_the_stages_own_names_pass_through(spark):
+    docs = corpus(spark)
+    wide = docs.select(*docs.columns, *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    plain = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        wide, plain = (stored(stage(spark, df, ""), name.replace(" ", "-")) for df in (wide, plain))
+        assert wide.columns == [*COLUMNS, *CLASHING]
+        rows = wide.collect()
+        assert ordered((r.doc_id, r.text) for r in rows) == ordered((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHING)
+    assert pipeline.encoding(spark, wide, "").count() == plain.count()
+
+
+def test_near_copies_go_though_line_dedup_left_a_remnant(spark, tmp_path):
+    rng = random.Random(31)
+    base = [[passage(rng, 12) for _ in range(20)] for _ in range(10)]
+    rows = [(i, "\n".join(lines), "en", "s0", 0) for i, lines in enumerate(base)]
+    # near copies, one line of twenty changed, and documents that share a few lines only
+    rows += [(100 + i, "\n".join([*lines[:9], passage(rng, 12), *lines[10:]]), "en", "s1", 0) for i, lines in enumerate(base)]
+    rows += [(200 + i, "\n".join([*lines[:4], *(passage(rng, 12) for _ in range(16))]), "en", "s2", 0) for i, lines in enumerate(base)]
+    rows += [rows[0], (None, "a text without an id", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lines = stored(pipeline.line_dedup(spark, docs, str(tmp_path)), "line-dedup")
+    assert {r.doc_id for r in lines.collect()} >= {r[0] for r in rows}
+    left = pipeline.near_duplicates(spark, lines, str(tmp_path))
+    assert left.columns == COLUMNS
+    assert {r.doc_id for r in left.collect()} == {None, *range(10), *range(200, 210)}
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = corpus(spark)
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        empty = stored(stage(spark, empty, ""), "empty")
+        assert empty.columns == COLUMNS and empty.count() == 0
+    assert pipeline.encoding(spark, empty, "").count() == 0
+    twice = docs.unionByName(docs)
+    for name, stage in pipeline.STAGES[:3]:
+        twice = stored(stage(spark, twice, ""), "twice")
+    assert sorted(r.doc_id for r in twice.collect()) == list(range(60))
+
+
+def test_two_runs_do_not_disturb_each_other(spark, tmp_path):
+    corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    first, second = pipeline.run(spark, str(tmp_path)), pipeline.run(spark, str(tmp_path))
+    assert ordered(first.collect()) == ordered(second.collect())
