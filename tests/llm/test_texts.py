@@ -152,11 +152,31 @@ def test_expressions(text, postfix, labels, permissive):
     out = to_postfix(text)
     assert out == (postfix.split(" ") if postfix else None)
     if out:
-        assert evaluate(out) == (labels, permissive)
+        assert evaluate(out) == (labels, permissive, [])
 
 
 def test_families():
-    assert [family(x) for x in ("mit", "gpl-3.0-or-later", "gplus", "cc-by-4.0", "mitnfa")] == ["mit", "gpl", "gplus", "cc-by", "mitnfa"]
+    known = ("mit", "gpl-3.0-or-later", "cc-by-sa-4.0", "0bsd", "bsd-3-clause-clear", "apache-2.0+", "unlicense")
+    assert [family(x) for x in known] == ["mit", "gpl", "cc-by", "bsd", "bsd", "apache", "unlicense"]
+    assert [family(x) for x in ("gplus", "gpl-9.0", "see", "license", "licenseref-own", "", "mit-")] == [None] * 7
+
+
+@pytest.mark.parametrize(
+    "text, labels, unknown",
+    [
+        ("SPDX-License-Identifier: see LICENSE", "", ["see"]),
+        ("SPDX-License-Identifier:\nThis file is part of X", "", []),
+        ("SPDX-License-Identifier:\r\n mit", "", []),
+        ("spdx-license-identifier \t:\t MIT\n or gpl-2.0", "mit", []),
+        ("License-Expression: LicenseRef-own AND BSD-3-Clause", "bsd", ["licenseref-own"]),
+        ("SPDX-License-Identifier: gpl-2.0 with own-exception", "gpl", ["own-exception"]),
+        ("SPDX-License-Identifier: gpl-2.0 with gcc-exception-3.1", "gpl", []),
+    ],
+)
+def test_tags_give_listed_licences_only(spark, text, labels, unknown):
+    row = scan_licences(frame(spark, [(1, text, None, None, 0, "", "", 0, 0.0, "")])).first()
+    assert (row.labels, row.unknown, bool(row.expressions)) == (labels, unknown, bool(labels))
+    assert row.permissive is None if not labels else row.permissive == (labels in ("mit",))
 
 
 def test_shares_stop_at_limits():
