@@ -99,9 +99,10 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Averages of the words' values in each window, times ``SCALE``."""
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return (total[end] - total[begin]) * SCALE / np.maximum(end - begin, LEAST_WORDS)
+    """Averages of the words' values in each window, times ``SCALE``; what a window gives depends on its words only."""
+    edges = np.stack([begin, end], axis=1).ravel()
+    total = np.where(begin < end, np.add.reduceat(np.append(values, 0.0), edges)[::2], 0.0)
+    return total * SCALE / np.maximum(end - begin, LEAST_WORDS)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -109,22 +110,22 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _by_owner(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` for each of ``n`` owners."""
-    return np.stack([np.bincount(owner, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
+def _by_owner(owner: np.ndarray, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[:, rows]`` for each of ``n`` owners, one component after the other."""
+    return np.stack([np.bincount(owner, weights=v[rows], minlength=n) for v in values])
 
 
 class Model:
     """Subword table (0 for subwords never learned), softmax weights and bias."""
 
     def __init__(self) -> None:
-        self.table = np.zeros((1 << TABLE_BITS, SIZE))
+        self.table = np.zeros((SIZE, 1 << TABLE_BITS))
         self.weights = np.random.default_rng(13).uniform(-1, 1, (SIZE, 2))
         self.bias = np.zeros(2)
 
     def by_subword(self) -> np.ndarray:
         """By how much each subword speaks for label 1: its vector through the difference of the weights."""
-        return self.table @ (self.weights[:, 1] - self.weights[:, 0])
+        return (self.weights[:, 1] - self.weights[:, 0]) @ self.table
 
 
 def margins(words: list[str], by_subword: np.ndarray) -> np.ndarray:
@@ -171,21 +172,21 @@ class Fit:
         """Of the cross entropy of each text's worst window, by table, weights and bias."""
         best = self.worst(model)
         begin, size = self.begin[best], (self.end - self.begin)[best]
-        n = np.maximum(size, LEAST_WORDS)[:, None] / SCALE
+        n = np.maximum(size, LEAST_WORDS) / SCALE
         owner = np.repeat(np.arange(len(best)), size)
         words, place = np.unique(self.numbers[_spread(begin, size)], return_inverse=True)
         rows = self.rows[_spread(self.starts[words], self.sizes[words])]
         word = np.repeat(np.arange(len(words)), self.sizes[words])
-        counts = self.counts[words][:, None]
-        emb = _by_owner(word, model.table[rows], len(words)) / counts
-        mean = _by_owner(owner, emb[place], len(best)) / n
-        logits = mean @ model.weights + model.bias
+        counts = self.counts[words]
+        emb = _by_owner(word, rows, model.table, len(words)) / counts
+        mean = _by_owner(owner, place, emb, len(best)) / n
+        logits = mean.T @ model.weights + model.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(best)), self.labels] -= 1
         p *= self.share[:, None]
-        by_word = _by_owner(place, ((p @ model.weights.T) / n)[owner], len(words)) / counts
-        return [_by_owner(rows, by_word[word], len(model.table)), mean.T @ p, p.sum(axis=0)]
+        by_word = _by_owner(place, owner, (model.weights @ p.T) / n, len(words)) / counts
+        return [_by_owner(rows, word, by_word, model.table.shape[1]), mean @ p, p.sum(axis=0)]
 
 
 def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -218,8 +219,15 @@ def sample(docs: DataFrame, labels: DataFrame, use: Column, id_col: str, text_co
     rows = hashed.distinct().join(marks, "id").groupBy("h").agg(F.max("label").alias("label"))
     rows = stored(rows, "labelled")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    picked = rows.withColumn("r", rank).filter(F.col("r") <= sample_rows).select("h", "label")  # at most 2 * sample_rows rows
+    # counts by the first bits of the hash tell how far down the order the sample goes; only rows up to there
+    # are ranked: ``sample_rows`` a label and what the last of these buckets has besides
+    bucket = F.shiftrightunsigned("h", 48)
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = rows.groupBy("label", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = wanted.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample_rows).select("label", "bucket")
+    near = rows.withColumn("bucket", bucket).join(F.broadcast(wanted), ["label", "bucket"])  # at most 2 * sample_rows buckets
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("bucket", "h"))
+    picked = near.withColumn("r", rank).filter(F.col("r") <= sample_rows).select("h", "label")  # at most 2 * sample_rows rows
     whole = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), "h")
     return whole.groupBy("h", "label").agg(F.min("text").alias("text")).select("h", "label", "text"), sizes
 
