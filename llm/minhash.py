@@ -243,41 +243,83 @@ _LINKS = pa.schema([("k", pa.binary()), ("deg", pa.int64()), ("other", pa.binary
 _CELL = ("bk", "i", "j", "block", "k", "bs", "content")
 
 
-def _verify_cell(rows: list[tuple], sets: list[np.ndarray], threshold: float, links: _Links) -> None:
+def _open_pairs(rows: list[tuple], links: _Links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of the cell's two blocks, and which pairs of them are to be compared here: those that meet in no
+    bucket before this one and, where only components are asked for, are not connected yet."""
     bk, i, j = rows[0][:3]
     block = np.array([r[3] for r in rows])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        return
-    sizes = np.array([len(s) for s in sets])
-    if len(rows) == 2 and i == j:
-        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
-    else:
-        both = _common(sets, left, right)
-    near = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+    pairs = np.ones((len(left), len(right)), dtype=bool)
     if i == j:
-        near = np.triu(near, 1)
+        pairs = np.triu(pairs, 1)
+    before = [[b for b in r[5] if b < bk] for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(b) for b in before])
+    if len(owner) and pairs.any():
+        values, number = np.unique(np.array([b for bs in before for b in bs]), return_inverse=True)
+        member = np.zeros((len(rows), len(values)), dtype=np.float32)
+        member[owner, number] = 1
+        pairs &= member[left] @ member[right].T == 0
+    if links.degrees is None and pairs.any():
+        known: dict[bytes, int] = {}
+        root = np.array([known.setdefault(links.find(r[4]), len(known)) for r in rows])
+        pairs &= root[left][:, None] != root[right][None, :]
+    return left, right, pairs
+
+
+def _verify_cell(rows: list[tuple], sets: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float, links: _Links) -> None:
+    """Compare the open pairs; ``sets`` are given for the rows that have one."""
+    left, right, open_ = pairs
+    use = np.zeros(len(rows), dtype=bool)
+    use[left[open_.any(axis=1)]] = True
+    use[right[open_.any(axis=0)]] = True
+    keep_left, keep_right = use[left], use[right]
+    left, right, open_ = left[keep_left], right[keep_right], open_[keep_left][:, keep_right]
+    place = np.cumsum(use) - 1
+    held = [sets[i] for i in np.flatnonzero(use)]
+    sizes = np.array([len(s) for s in sets])
+    both = _common(held, place[left], place[right])
+    near = open_ & (both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9)
     for x, y in zip(*(p.tolist() for p in np.nonzero(near)), strict=True):
-        a, b = rows[left[x]], rows[right[y]]
-        if min(set(a[5]) & set(b[5])) == bk:
-            links.link(a[4], b[4])
+        links.link(rows[left[x]][4], rows[right[y]][4])
+
+
+_NO_SET = np.empty(0, dtype=np.uint64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: float, degrees: bool) -> Iterator[pa.RecordBatch]:
     """Cells arrive sorted; they are worked through in parts of bounded size, and the last one of a
-    part waits for the rest of its rows."""
+    part waits for the rest of its rows. Only rows with a pair to compare are shingled."""
     held: list[tuple] = []
     links = _Links(degrees)
 
     def work(rows: list[tuple]) -> None:
-        sets: list = [None] * len(rows)
-        for a, b in flat_parts([r[6] for r in rows]):
-            sets[a:b] = sets_of([r[6] for r in rows[a:b]])
         begin = 0
+        waiting, size = [], 0
         for at in range(1, len(rows) + 1):
             if at == len(rows) or rows[at][:3] != rows[begin][:3]:
-                _verify_cell(rows[begin:at], sets[begin:at], threshold, links)
+                cell = rows[begin:at]
+                pairs = _open_pairs(cell, links)
+                if pairs[2].any():
+                    waiting.append((cell, pairs))
+                    size += sum(len(r[6]) for r in cell)
                 begin = at
+                if size > FLAT_BYTES:
+                    compare(waiting)
+                    waiting, size = [], 0
+        compare(waiting)
+
+    def compare(cells: list[tuple]) -> None:
+        todo = []
+        for n, (_, (left, right, open_)) in enumerate(cells):
+            some = np.union1d(left[open_.any(axis=1)], right[open_.any(axis=0)])
+            todo += [(n, r) for r in some.tolist()]
+        contents = [cells[n][0][r][6] for n, r in todo]
+        sets = [[_NO_SET] * len(cell) for cell, _ in cells]
+        for a, b in flat_parts(contents):
+            for (n, r), found in zip(todo[a:b], sets_of(contents[a:b]), strict=True):
+                sets[n][r] = found
+        for (cell, pairs), own in zip(cells, sets, strict=True):
+            _verify_cell(cell, own, pairs, threshold, links)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -311,17 +353,28 @@ def similar(
     def sign(batches):
         for batch in batches:
             keys, contents, more = source(batch)
-            for a, b in flat_parts(contents):
-                hashes, count = shingle(contents[a:b])
-                found = signatures(hashes, count, bands, band_rows)
-                some = np.flatnonzero(count > 0)
-                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), found.reshape(-1))
-                further = [x.slice(a, b - a).take(pa.array(some)) for x in more.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in some], pa.binary()), lists, *further], names=["k", "bands", *more])
+            # each different item of a batch is signed once; its other rows have no bands
+            seen: dict[bytes, int] = {}
+            first = [i for i, k in enumerate(keys) if seen.setdefault(k, i) == i]
+            own = [contents[i] for i in first]
+            found, some = [np.empty((0, bands), dtype=np.int64)], []
+            for a, b in flat_parts(own):
+                hashes, count = shingle(own[a:b])
+                found.append(signatures(hashes, count, bands, band_rows))
+                some += [first[a + i] for i in np.flatnonzero(count > 0)]
+            flat = np.concatenate(found).reshape(-1)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
+            signed_keys = set(map(keys.__getitem__, some))
+            again = [i for i, k in enumerate(keys) if seen[k] != i and k in signed_keys]
+            for at, of in ((some, lists), (again, pa.nulls(len(again), pa.list_(pa.int64())))):
+                if at:
+                    take = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), of, *[x.take(take) for x in more.values()]], names=["k", "bands", *more])
 
     signed = stored(rows.mapInArrow(sign, "k binary, bands array<long>" + (f", {extra}" if extra else "")), "signatures")
     twice = signed.select(F.explode("bands").alias("bk")).groupBy("bk").count().filter("count > 1")
     held = spark.sparkContext.broadcast(bloom(twice, F.col("bk")))
+    once = signed.filter("bands IS NOT NULL").select("k", "bands")
 
     def survivors(batches):
         for batch in batches:
@@ -332,7 +385,7 @@ def similar(
             keys = batch.column("k").take(pa.array(ok // bands))
             yield pa.RecordBatch.from_arrays([keys, pa.array(flat[ok])], names=["k", "bk"])
 
-    met = stored(signed.mapInArrow(survivors, "k binary, bk long").distinct(), "met")
+    met = stored(once.mapInArrow(survivors, "k binary, bk long").distinct(), "met")
     buckets = met.groupBy("bk").agg(
         F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y")
     ).filter("c > 1")
