@@ -7,7 +7,8 @@ read in its context and text that switches languages is labelled word by word. P
 from forward-backward; a text's language is the label with the largest mean posterior.
 
 The field is fitted on a bounded sample of the labelled rows (``SAMPLE_ROWS`` different texts for
-each language, ``SAMPLE_CHARS`` characters of each; it grows with the number of languages only and
+each language; of a text longer than ``SAMPLE_CHARS`` characters ``SAMPLE_PIECES`` pieces spread evenly over
+all of it; it grows with the number of languages only and
 lies in the tasks, not in the driver); every text is labelled whole.
 """
 
@@ -26,6 +27,7 @@ from .common import discard, stored
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 2000
+SAMPLE_PIECES = 4
 ROUNDS = 25
 PIECE = 40
 PART_ROWS = 200
@@ -82,9 +84,10 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     return np.add.reduceat(weights[idx].sum(axis=1), starts, axis=0)
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of every position of many sequences that lie one after the other in ``e``,
-    and the expected transition counts. All sequences advance together, longest first."""
+    and the expected transition counts (zeros without ``counts``: only the fit needs them). All
+    sequences advance together, longest first."""
     n, labels = e.shape
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
@@ -103,6 +106,8 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
         ahead = b[rows] * beta[rows]
         now = ahead @ step.T
         beta[rows - 1] = now / now.sum(axis=1, keepdims=True)
+        if not counts:
+            continue
         a = alpha[rows - 1]
         scale = 1 / np.einsum("ni,ij,nj->n", a, step, ahead, optimize=True)
         pairs += step * ((a * scale[:, None]).T @ ahead)
@@ -229,7 +234,7 @@ def label_texts(texts: list[str | None], model, cache: dict[str, int], table: li
     some = lengths[lengths > 0]
     if not len(some) or not len(transitions):
         return np.empty((0, transitions.shape[0])), lengths
-    return forward_backward(table[0][np.array(numbers, dtype=np.int64)].astype(np.float64), some, transitions)[0], lengths
+    return forward_backward(table[0][np.array(numbers, dtype=np.int64)].astype(np.float64), some, transitions, counts=False)[0], lengths
 
 
 def _groups(texts: list[str | None]) -> Iterator[list[int]]:
@@ -282,12 +287,16 @@ def _predict(batches: Iterator[pa.RecordBatch], model, keep: list[str], results:
 
 
 def sample(train: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``lang, text, h``: beginnings of ``sample_rows`` different texts of each language, picked by hash;
-    rows without a language or a word to learn from are passed over."""
+    """``lang, text, h``: ``sample_rows`` different texts of each language, picked by hash; of a text longer than
+    ``sample_chars`` pieces that are spread evenly over it, from its beginning to its end, without the words their
+    borders cut. Rows without a language or a letter to learn from are passed over."""
     text, lang = F.col(text_col), F.col(lang_col)
-    begin = F.substring(text, 1, sample_chars)
-    rows = train.filter(lang.isNotNull() & begin.rlike(r"[\p{L}]")).select(lang.cast("string").alias("lang"), begin.alias("text"))
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    size = sample_chars // SAMPLE_PIECES
+    places = [(F.floor((F.length(text) - size) * i / (SAMPLE_PIECES - 1)) + 1).cast("int") for i in range(SAMPLE_PIECES)]
+    pieces = [F.regexp_replace(F.substring(text, at, F.lit(size)), r"^\S*\s+|\s+\S*$", "") for at in places]
+    taken = F.when(F.length(text) > sample_chars, F.concat_ws(" ", *pieces)).otherwise(text)
+    rows = train.filter(lang.isNotNull() & text.rlike(r"[\p{L}]")).select(lang.cast("string").alias("lang"), text.alias("text"), taken.alias("taken"))
+    rows = rows.select("lang", F.col("taken").alias("text"), F.xxhash64("text").alias("h"))
     # hashes without copies first, combined by each map task, so neither copies nor texts meet in a task;
     # those picked are ``sample_rows`` longs a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
