@@ -18,7 +18,7 @@ labelled texts corrects the bias afterwards. Every text is scored whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,11 +137,13 @@ def margins(words: list[str], by_subword: np.ndarray) -> np.ndarray:
 class Fit:
     """Texts as numbers of their words, words as rows of the table that enough of the texts' words have."""
 
-    def __init__(self, texts: list[list[str]], labels: np.ndarray):
+    def __init__(self, texts: Iterable[list[str]], labels: np.ndarray):
         known: dict[str, int] = {}
-        self.numbers = np.array([known.setdefault(w, len(known)) for words in texts for w in words], dtype=np.int32)
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        once = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(known) + self.numbers) % max(len(known), 1)
+        # a text's words are numbered and let go
+        parts = [np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int32) for words in texts]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        self.numbers = np.concatenate([*parts, np.empty(0, np.int32)])
+        once = np.unique(np.repeat(np.arange(len(parts)), lengths) * len(known) + self.numbers) % max(len(known), 1)
         in_texts = np.bincount(once, minlength=len(known))
         words, size = list(known), 1 << TABLE_BITS
         seen, rows, self.counts = np.zeros(size), [], []
@@ -157,7 +159,7 @@ class Fit:
         self.counts = np.concatenate(self.counts or [np.empty(0, np.int64)])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.begin, self.end, self.text = windows(lengths)
-        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+        self.first = np.searchsorted(self.text, np.arange(len(parts)))
         self.labels = labels
         self.share = 0.5 / np.bincount(labels, minlength=2)[labels]  # both labels weigh the same
 
@@ -189,12 +191,14 @@ class Fit:
         return [_by_owner(rows, word, by_word, model.table.shape[1]), mean @ p, p.sum(axis=0)]
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
+def fit(texts: Iterable[list[str]], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Adam over all texts each round, table, weights and bias together; the table is held small by ``DECAY``."""
     model = Model()
-    if len(set(labels.tolist())) < 2 or not any(texts):
+    if len(set(labels.tolist())) < 2:
         return model
     work = Fit(texts, labels)
+    if not len(work.numbers):
+        return model
     params = (model.table, model.weights, model.bias)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for turn in range(1, rounds + 1):
@@ -253,9 +257,9 @@ def learn(
     picked, sizes = sample(docs, labels, use, id_col, text_col, label_col, sample_rows)
     words = stored(picked.mapInArrow(_clips, "h long, label int, words string"), "toxic-sample")
     # at most 2 * sample_rows texts of SAMPLE_WINDOWS * WINDOW words
-    rows = sorted(zip(*(words.toArrow().column(c).to_pylist() for c in ("h", "label", "words")), strict=True))
+    got = words.toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     discard(words)
-    model = fit([r[2].split() for r in rows], np.array([r[1] for r in rows], dtype=np.int64), rounds)
+    model = fit((w.as_py().split() for w in got.column("words")), got.column("label").to_numpy().astype(np.int64), rounds)
     # the fit takes both labels as equally frequent; without any label nothing speaks for 1
     return model, float(np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5))) if sizes else -5.0
 
