@@ -21,6 +21,7 @@ from .common import sorted_runs, stored
 BLOCK_ROWS = 256
 GROUP_ROWS = 16384
 QUERY_ROWS = 1024
+GROWTH = 8
 _OUT = "query_id long, query_copy long, vec_id long, score long"
 
 
@@ -51,6 +52,7 @@ def _score_cells(batches: Iterator[pa.RecordBatch], k: int, block_rows: int) ->
         is_query = np.array(run.column("is_query").to_pylist(), dtype=bool)
         ids = np.array(run.column("id").to_pylist(), dtype=np.int64)
         copy = np.array(run.column("copy").to_pylist(), dtype=np.int64)
+        floor = np.array(run.column("floor").to_pylist(), dtype=np.int64)
         dim = run.column("dim")[0].as_py()
         flat = np.array(run.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), dim)
         # sums stay exact in doubles below 2^53; beyond, whole numbers are used
@@ -74,8 +76,11 @@ def _score_cells(batches: Iterator[pa.RecordBatch], k: int, block_rows: int) ->
         out_q, out_c, out_d, out_s = [], [], [], []
         order = np.argsort(-bounds, axis=1, kind="stable")
         best = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))] * len(queries)
-        alive = np.arange(len(queries))
+        least = floor[queries]
+        alive = np.flatnonzero((bounds[np.arange(len(queries)), order[:, 0]] >= least).astype(bool))
         for step in range(len(blocks)):  # every query visits the best block it has not seen
+            if not len(alive):
+                break
             which = order[alive, step]
             go = []
             for b in np.unique(which):
@@ -88,6 +93,7 @@ def _score_cells(batches: Iterator[pa.RecordBatch], k: int, block_rows: int) ->
                     for j, n in enumerate(part):
                         s, doc_ids = scores[j], ids[rows]
                         other = doc_ids != ids[queries[n]]
+                        other &= s >= least[n]
                         s, doc_ids = s[other], doc_ids[other]
                         have = best[n]
                         if len(have[0]) == k:
@@ -103,10 +109,8 @@ def _score_cells(batches: Iterator[pa.RecordBatch], k: int, block_rows: int) ->
             if step + 1 < len(blocks):
                 ahead = bounds[alive, order[alive, step + 1]]
                 # equal bounds are still visited: a tie goes to the smaller id
-                keep = [len(best[n][0]) < k or ahead[j] >= best[n][0][-1] for j, n in enumerate(alive)]
+                keep = [ahead[j] >= (least[n] if len(best[n][0]) < k else best[n][0][-1]) for j, n in enumerate(alive)]
                 alive = alive[np.array(keep, dtype=bool)]
-                if not len(alive):
-                    break
         for n, (s, doc_ids) in enumerate(best):
             out_q += [ids[queries[n]]] * len(s)
             out_c += [copy[queries[n]]] * len(s)
@@ -132,7 +136,7 @@ def top_k(
     one. Empty inputs give an empty result.
 
     The table is cut into groups of about ``group_rows`` consecutive rows by id and the queries
-    into groups of about ``query_rows``; a task scores one group against one query group, and
+    into groups of about ``query_rows``; a task scores one group against one query group, round by round, and
     the few rows that each leaves are ranked per query. Returns ``query_id, rank, vec_id, score``.
     """
     spark = vectors.sparkSession
@@ -153,16 +157,36 @@ def top_k(
         "grouped",
     )
     asked = asked.withColumn("qg", F.pmod(F.xxhash64("copy"), F.lit(q_groups)).cast("int"))
+    # the round of a group by its hash: the last one has most of them, the first about one
+    rounds, part = 0, d_groups
+    while part > 1:
+        rounds, part = rounds + 1, part / GROWTH
+    share = F.pmod(F.xxhash64("dg"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    number = F.lit(rounds)
+    for r in range(rounds - 1, -1, -1):
+        number = F.when(share < GROWTH ** (r - rounds), F.lit(r)).otherwise(number)
+    docs = docs.withColumn("round", number)
     every = F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("qg")
-    groups = docs.select("dim", "dg").distinct().select("dim", "dg", every)
-    cells = docs.select("dim", "dg", every, F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("copy"), "id", "v")
-    cells = cells.unionByName(
-        asked.join(groups, ["dim", "qg"]).select("dim", "dg", "qg", F.lit(True).alias("is_query"), "copy", "id", "v")
-    )
     parts = max(spark.sparkContext.defaultParallelism, min(d_groups * q_groups, 20000))
-    cells = cells.repartition(parts, "dim", "dg", "qg").sortWithinPartitions("dim", "dg", "qg")
-    found = cells.mapInArrow(lambda it: _score_cells(it, k, block_rows), _OUT)
-    # the limit on the rank is applied before the shuffle as well
+    nothing = F.lit(-(1 << 63)).cast("long")
     order = Window.partitionBy("query_copy").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = None
+    for r in range(rounds + 1):
+        now = docs.filter(F.col("round") == r)
+        knows = asked.withColumn("floor", nothing)
+        if best is not None:  # the k-th score so far, where there are k
+            floors = best.filter(F.col("rank") == k).select(F.col("query_copy").alias("copy"), F.col("score").alias("kth"))
+            knows = asked.join(floors, "copy", "left").withColumn("floor", F.coalesce("kth", nothing)).drop("kth")
+        groups = now.select("dim", "dg").distinct().select("dim", "dg", every)
+        cells = now.select("dim", "dg", every, F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("copy"), nothing.alias("floor"), "id", "v")
+        cells = cells.unionByName(
+            knows.join(groups, ["dim", "qg"]).select("dim", "dg", "qg", F.lit(True).alias("is_query"), "copy", "floor", "id", "v")
+        )
+        cells = cells.repartition(parts, "dim", "dg", "qg").sortWithinPartitions("dim", "dg", "qg")
+        found = cells.mapInArrow(lambda it: _score_cells(it, k, block_rows), _OUT)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        # the limit on the rank is applied before the shuffle as well
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = ranked if r == rounds else stored(ranked, "best")
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from fixtures import ordered
 
+from llm import topk
 from llm.topk import quantised, top_k
 from llm.warc import assemble, captures_of, read_archives, records, write_archives
 from meterline.session import scratch_path
@@ -102,6 +103,27 @@ def test_top_k(spark, block, group, asked):
     assert ordered(got) == ordered(brute(plain, [p for p in plain if p[0] % 20 == 0], 5))
 
 
+def test_rows_sent_do_not_grow_with_the_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(2000)]
+    usable = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").cache()
+    queries, sent = usable.filter("id % 100 = 0"), []
+    real = topk._score_cells
+
+    def counted(batches, k, block_rows):
+        for batch in real(batches, k, block_rows):
+            total.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(topk, "_score_cells", counted)
+    for group in (2000, 25):  # one group; some eighty
+        total = spark.sparkContext.accumulator(0)
+        got = [tuple(r) for r in top_k(usable, queries, 5, 10, group, 1024).collect()]
+        assert ordered(got) == ordered(brute([(r.id, r.v) for r in usable.collect()], [(r.id, r.v) for r in queries.collect()], 5))
+        sent.append(total.value)
+    assert sent[0] == 20 * 5 and sent[1] < 20 * 5 * 30  # not 80 times as many
+
+
 def test_top_k_of_nothing(spark):
     empty = quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert top_k(empty, empty).collect() == []
