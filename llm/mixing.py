@@ -26,18 +26,20 @@ BITS = 12  # of a bucket level
 
 def share_out(total: float, weights: list[float], limits: list[float]) -> list[float]:
     """``total`` by weight, none above its limit; the excess is shared again by weight."""
-    out, open_, rest = [0.0] * len(weights), list(range(len(weights))), float(total)
-    while open_ and rest > 0:
-        unit = rest / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit > limits[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * unit
+    out, rest, weight = [0.0] * len(weights), float(total), sum(weights)
+    # whoever reaches its limit at the smallest share does so first
+    order = sorted(range(len(weights)), key=lambda i: limits[i] / weights[i])
+    for place, i in enumerate(order):
+        if rest <= 0:
             break
-        for i in full:
-            out[i] = float(limits[i])
-            rest -= limits[i]
-        open_ = [i for i in open_ if i not in full]
+        unit = rest / weight
+        if weights[i] * unit <= limits[i]:
+            for j in order[place:]:
+                out[j] = weights[j] * unit
+            break
+        out[i] = float(limits[i])
+        rest -= limits[i]
+        weight -= weights[i]
     return out
 
 
@@ -85,7 +87,13 @@ class Flow:
 
 
 def route(sizes: dict[tuple, int], quotas: dict, max_repeats: int = 2) -> dict[tuple, int]:
-    """Words to take of each pattern (a tuple of sources), repeats counted."""
+    """Words to take of each pattern (a tuple of sources), repeats counted.
+
+    Where no pattern has a choice of sources there is one way only, which needs no search."""
+    if all(sum(s in quotas for s in pattern) <= 1 for pattern in sizes):
+        single = {p: next((s for s in p if s in quotas), None) for p in sizes}
+        if len({s for s in single.values() if s is not None}) == sum(s is not None for s in single.values()):
+            return {p: 0 if s is None else min(int(quotas[s]), sizes[p] * max_repeats) for p, s in single.items()}
     flow = Flow()
     flow.out.update({"s": [], "t": []})
     into = {}

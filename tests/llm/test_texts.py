@@ -184,6 +184,19 @@ def test_shares_stop_at_limits():
     assert share_out(100, [1, 1], [5, 6]) == [5.0, 6.0] and share_out(0, [1], [0]) == [0.0] and share_out(5, [], []) == []
 
 
+def test_many_sources_without_overlaps_need_no_search():
+    sizes = {(f"s{i}",): 10 + i % 7 for i in range(10_000)}
+    weights, limits = [3 - i % 3 for i in range(10_000)], [2 * n for n in sizes.values()]
+    targets = share_out(1.5 * sum(sizes.values()), weights, limits)
+    assert sum(targets) == pytest.approx(1.5 * sum(sizes.values())) and all(0 <= t <= n for t, n in zip(targets, limits, strict=True))
+    quotas = {p[0]: round(t) for p, t in zip(sizes, targets, strict=True)}
+    assert route(sizes, quotas) == {p: quotas[p[0]] for p in sizes}
+    few = {(f"s{i}",): 10 + i for i in range(6)}
+    wanted = {"s0": 99, "s1": 3, "s2": 20, "s3": 0, "s4": 14, "gone": 5}
+    flow_only = route(few | {("s0", "s1"): 0}, wanted)  # an empty pattern with a choice makes it search
+    assert route(few, wanted) == {p: n for p, n in flow_only.items() if len(p) == 1}
+
+
 def best_cost(sizes, quotas, repeats):
     """Least repetition cost of meeting as much of the quotas as can be met, by trying all splits."""
     best = None
