@@ -87,8 +87,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     Each step is a minimum per node (combined before the shuffle) and a join back to the
-    edges, so a node with very many neighbours is never gathered; tables between steps are
-    written to the shared folder. Returns ``node, root`` for every node that has an edge,
+    edges. The edges of a node pass through one task of that join, one after the other and without
+    being held; a component of very many nodes ends as a star, so the last steps have such a node.
+    Tables between steps are written to the shared folder. Returns ``node, root`` for every node that has an edge,
     ``root`` being the smallest node of its component.
     """
 
