@@ -243,10 +243,18 @@ _LINKS = pa.schema([("k", pa.binary()), ("deg", pa.int64()), ("other", pa.binary
 _CELL = ("bk", "i", "j", "block", "k", "bs", "content")
 
 
+_TWO = np.arange(2)
+_TWO_OPEN, _TWO_MET = np.array([[False, True], [False, False]]), np.zeros((2, 2), dtype=bool)
+
+
 def _open_pairs(rows: list[tuple], links: _Links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members of the cell's two blocks, and which pairs of them are to be compared here: those that meet in no
     bucket before this one and, where only components are asked for, are not connected yet."""
     bk, i, j = rows[0][:3]
+    if len(rows) == 2 and i == j:  # most cells
+        a, b = rows
+        open_ = not any(x < bk for x in set(a[5]).intersection(b[5])) and (links.degrees is not None or links.find(a[4]) != links.find(b[4]))
+        return _TWO, _TWO, _TWO_OPEN if open_ else _TWO_MET
     block = np.array([r[3] for r in rows])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     pairs = np.ones((len(left), len(right)), dtype=bool)
@@ -269,6 +277,11 @@ def _open_pairs(rows: list[tuple], links: _Links) -> tuple[np.ndarray, np.ndarra
 def _verify_cell(rows: list[tuple], sets: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float, links: _Links) -> None:
     """Compare the open pairs; ``sets`` are given for the rows that have one."""
     left, right, open_ = pairs
+    if open_ is _TWO_OPEN:
+        common = len(set(sets[0].tolist()).intersection(sets[1].tolist()))
+        if common >= threshold * (len(sets[0]) + len(sets[1]) - common) - 1e-9:
+            links.link(rows[0][4], rows[1][4])
+        return
     use = np.zeros(len(rows), dtype=bool)
     use[left[open_.any(axis=1)]] = True
     use[right[open_.any(axis=0)]] = True
@@ -299,7 +312,7 @@ def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: flo
             if at == len(rows) or rows[at][:3] != rows[begin][:3]:
                 cell = rows[begin:at]
                 pairs = _open_pairs(cell, links)
-                if pairs[2].any():
+                if pairs[2] is _TWO_OPEN or pairs[2].any():
                     waiting.append((cell, pairs))
                     size += sum(len(r[6]) for r in cell)
                 begin = at
@@ -311,8 +324,8 @@ def _verify(batches: Iterator[pa.RecordBatch], sets_of: Callable, threshold: flo
     def compare(cells: list[tuple]) -> None:
         todo = []
         for n, (_, (left, right, open_)) in enumerate(cells):
-            some = np.union1d(left[open_.any(axis=1)], right[open_.any(axis=0)])
-            todo += [(n, r) for r in some.tolist()]
+            some = [0, 1] if open_ is _TWO_OPEN else np.union1d(left[open_.any(axis=1)], right[open_.any(axis=0)]).tolist()
+            todo += [(n, r) for r in some]
         contents = [cells[n][0][r][6] for n, r in todo]
         sets = [[_NO_SET] * len(cell) for cell, _ in cells]
         for a, b in flat_parts(contents):
