@@ -328,13 +328,18 @@ SELECT l_orderkey, l_linenumber, CAST(100 AS INTEGER) AS size, row_number() OVER
 FROM lineitem""",
 )
 def record_sort(spark, sf_dir):
+    """The sorted records, each with the place it has."""
+    done = places(spark, sorted_records(spark, sf_dir))
+    return done.select("l_orderkey", "l_linenumber", (F.length("key") + F.length("payload")).alias("size"), "place")
+
+
+def sorted_records(spark, sf_dir):
     """The line items as records of 100 bytes (a 10-byte key and a payload), totally sorted."""
     name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.substring(F.md5(name), 1, 10).alias("key"), F.rpad(name, 90, "X").alias("payload")
     )
-    done = places(spark, global_sort(rows, ["key", "l_orderkey", "l_linenumber"]))
-    return done.select("l_orderkey", "l_linenumber", (F.length("key") + F.length("payload")).alias("size"), "place")
+    return global_sort(rows, ["key", "l_orderkey", "l_linenumber"])
 
 
 @query(
