@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Window
@@ -20,20 +22,41 @@ from .common import SAMPLES, query, table
 
 
 def _log_writer(folder: str):
-    """Writes the lines of one file, from task to shared folder; a repeated task writes the same."""
+    """Writes the lines of the files, which come file by file and in order, from task to shared folder;
+    a repeated task writes the same."""
 
-    def write(rows):
-        name = rows.column("file")[0].as_py()
-        lines = [v for _, v in sorted(zip(rows.column("at").to_pylist(), rows.column("value").to_pylist(), strict=True))]
+    def write(batches):
         fs, path = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/", 1)[0] else (pafs.LocalFileSystem(), folder)
-        fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{name}") as out:
-            out.write("".join(f"{v}\n" for v in lines).encode())
-        return pa.table({"n": pa.array([len(lines)], pa.int64())})
+        made, name, out, n = set(), None, None, 0
+        for batch in batches:
+            files, values = batch.column("file").to_pylist(), batch.column("value").to_pylist()
+            n += len(files)
+            at = 0
+            while at < len(files):
+                if files[at] != name:
+                    if out is not None:
+                        out.close()
+                    name = files[at]
+                    into = f"{path}/{name}".rpartition("/")[0]
+                    if into not in made:
+                        fs.create_dir(into, recursive=True)
+                        made.add(into)
+                    out = fs.open_output_stream(f"{path}/{name}")
+                end = bisect_right(files, name, at)
+                out.write("".join(f"{v}\n" for v in values[at:end]).encode())
+                at = end
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return write
 
 
+def _write_logs(lines, folder: str) -> None:
+    """A file (``file``, ``at``, ``value``) is written by one task, as the sort lets its lines pass."""
+    lines.repartition("file").sortWithinPartitions("file", "at").mapInArrow(_log_writer(folder), "n bigint").agg(F.sum("n")).collect()
+
+
 @query(
     "appended_files",
     """
@@ -54,7 +77,7 @@ def appended(spark, sf_dir):
     for look in looks:
         # what was there stays as it is: a file's lines are in the order in which its parts came
         now = rows.filter(look).withColumn("at", F.col("part") * (1 << 40) + F.col("at")).select("file", "at", "value")
-        now.groupBy("file").applyInArrow(_log_writer(landing), "n bigint").agg(F.sum("n")).collect()
+        _write_logs(now, landing)
         lines = follow_appended(spark, landing, "log.*", part_bytes=4096)
         writer = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
         start(writer, "available_now").awaitTermination()
@@ -194,11 +217,13 @@ def history_files(spark, sf_dir):
     """A history file per customer in the folder of each of two days, found by the first job's finish."""
     base = scratch_path(spark, "history")
     day = history_day(1704067200)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("job_"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("job"))
+    # the history server begins a folder every 1000 jobs
+    serial = F.lpad(F.floor(F.col("c_custkey") / 1000).cast("string"), 9, "0")
+    rows = table(spark, sf_dir, "customer").select(serial.alias("serial"), F.concat(F.lit("job_"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("job"))
     for d in (0, 1, 2):  # the third day's files are not the job's
-        folder = f"{base}/done/{day.year:04d}/{day.month:02d}/{day.day + d:02d}/000000"
-        lines = rows.select(F.concat("job", F.lit(".jhist")).alias("file"), F.lit(0).cast("bigint").alias("at"), F.lit("Avro-Json").alias("value"))
-        lines.groupBy("file").applyInArrow(_log_writer(folder), "n bigint").agg(F.sum("n")).collect()
+        folder = f"{base}/done/{day.year:04d}/{day.month:02d}/{day.day + d:02d}"
+        lines = rows.select(F.concat("serial", F.lit("/"), "job", F.lit(".jhist")).alias("file"), F.lit(0).cast("bigint").alias("at"), F.lit("Avro-Json").alias("value"))
+        _write_logs(lines, folder)
     found = find_history(spark, base, day, finished_after="2024-01-01T00:00:00")
     job = F.regexp_extract("path", r"job_(\d+)\.jhist", 1).cast("bigint")
     return found.groupBy(job.alias("c_custkey")).agg(F.count(F.lit(1)).alias("files"))

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+import sys
+from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import EVENT_TYPES
 from ..schemas import HISTORY_EVENT
 
+LISTED_ROWS = 10_000
+
+# ship the functions below with the job, so that executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_job_history(spark: SparkSession, paths) -> DataFrame:
     """Event lines of job-history files: ``job_file``, ``type`` and the payload ``event``.
@@ -56,16 +68,52 @@ def find_history(
     the next (a job that ends near midnight lands there), in order of time.
 
     ``finished_after`` (ISO timestamp) keeps files modified at or after the job's finish. Days
-    without a folder are passed over.
+    without a folder are passed over. Folders are listed in tasks, through ``pyarrow.fs``: a day's
+    folder in one, each folder in it (the history server begins one every 1000 jobs) in one, so the
+    driver holds no list of files.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{job_id}*jhist").option("recursiveFileLookup", "true")
-    folders = [f"{base.rstrip('/')}/done/{day + timedelta(days=i):%Y/%m/%d}" for i in range(days)]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [f for f in folders if hadoop(f).getFileSystem(conf).exists(hadoop(f))]
-    if not there:
-        return spark.createDataFrame([], "path STRING, modificationTime TIMESTAMP")
-    found = reader.load(there).select("path", "modificationTime")
+    where = [(f"{base.rstrip('/')}/done/{day + timedelta(days=i):%Y/%m/%d}",) for i in range(days)]
+    schema = "path STRING, folder BOOLEAN, millis BIGINT"
+    pattern = fnmatch.translate(f"*{job_id}*jhist")
+    top = spark.createDataFrame(where, "path STRING").mapInArrow(_lister(pattern, False), schema)
+    below = top.filter("folder").select("path").repartition("path").mapInArrow(_lister(pattern, True), schema)
+    found = top.unionByName(below).filter(~F.col("folder"))
+    found = found.select("path", F.timestamp_millis("millis").alias("modificationTime"))
     if finished_after:
         found = found.filter(F.col("modificationTime") >= F.lit(finished_after).cast("timestamp"))
     return found.orderBy("modificationTime", "path")
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path or URI, the path as that names it, and what it lacks of the URI."""
+    if path.startswith("file:") or not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return pafs.LocalFileSystem(), re.sub(r"^file:(//[^/]*)?", "", path), "file:"
+    fs, own = pafs.FileSystem.from_uri(path)
+    return fs, own, path[: -len(own)]
+
+
+def _lister(pattern: str, recursive: bool):
+    """Lists folders: files whose names match, and without ``recursive`` also the folders in them.
+    Hidden files and folders (``.``, ``_``) are passed over, as Spark's readers do."""
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from listed(path)
+
+    def listed(path: str) -> Iterator[pa.RecordBatch]:
+        fs, own, prefix = _opened(path)
+        infos = fs.get_file_info(pafs.FileSelector(own, allow_not_found=True, recursive=recursive))
+        for at in range(0, len(infos), LISTED_ROWS):
+            paths, kinds, times = [], [], []
+            for info in infos[at : at + LISTED_ROWS]:
+                folder = info.type == pafs.FileType.Directory
+                below = info.path[len(own) :].strip("/").split("/")
+                if any(name[:1] in "._" for name in below) or (recursive if folder else not re.match(pattern, info.base_name)):
+                    continue
+                paths.append(prefix + info.path)
+                kinds.append(folder)
+                times.append((info.mtime_ns or 0) // 1_000_000)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.bool_()), pa.array(times, pa.int64())], names=["path", "folder", "millis"])
+
+    return folders

@@ -51,6 +51,18 @@ LINES = [
 ]
 
 
+def test_history_files_are_listed_in_tasks(spark, tmp_path):
+    """The driver keeps no list of the files: none is in the plan, whatever their number."""
+    day = tmp_path / "done" / "2018" / "09" / "14"
+    for name in ("000000/job_1.jhist", "000001/job_2.jhist", "000001/deep/job_3.jhist", "job_4.jhist", ".hidden/job_5.jhist", "000001/_job_6.jhist", "000001/job_7.xml"):
+        (day / name).parent.mkdir(parents=True, exist_ok=True)
+        (day / name).write_text("Avro-Json\n")
+    found = find_history(spark, str(tmp_path), date(2018, 9, 14))
+    assert found.inputFiles() == []
+    assert sorted(r.path for r in found.collect()) == sorted(f"file:{day}/{n}" for n in ("000000/job_1.jhist", "000001/deep/job_3.jhist", "000001/job_2.jhist", "job_4.jhist"))
+    assert [r.path.rpartition("/")[2] for r in find_history(spark, f"file://{tmp_path}", date(2018, 9, 13), "job_2").collect()] == ["job_2.jhist"]
+
+
 @pytest.fixture
 def landed(tmp_path):
     folder = tmp_path / "done" / "2018" / "09" / "14" / "000017"
