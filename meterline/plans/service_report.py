@@ -142,18 +142,21 @@ def api_report(
         "requests", "responses", "redirect", "total_time", "success", "errors", "total_req_clength", "total_res_clength",
     ),
     rows_per_slice: int = ROWS_PER_SLICE,
+    tiebreak: Sequence[str] = (),
+    poll: Sequence[str] | None = None,
 ) -> DataFrame:
     """API call statistics: nothing for a server's first poll, the totals of a path that is new in a
     later one, deltas else; idle paths are left out, and a poll in which any counter fell (the server
     restarted) is dropped as a whole. ``keys`` begin with the server. Counters the table lacks are
-    skipped.
+    skipped. ``poll`` names the columns that identify a poll, by default the server and the time;
+    where paths are polled one by one and times may coincide, it must name more.
     """
     cols = [c for c in cols if c in df.columns]
     server = keys[0]
     begin = df.groupBy(F.col(server).alias("_server")).agg(F.min(time).alias("_begin"))
     out = counter_delta(
-        df, keys, time, cols, reset="drop_batch", first="passthrough", poll=[keys[0], time], suffix="",
-        rows_per_slice=rows_per_slice,
+        df, keys, time, cols, reset="drop_batch", first="passthrough", poll=poll or [server, time], tiebreak=tiebreak,
+        suffix="", rows_per_slice=rows_per_slice,
     )
     later = out.join(begin, F.col(server).eqNullSafe(F.col("_server"))).filter(F.col(time) > F.col("_begin"))
     return later.filter(F.col(cols[0]) != 0).drop("_server", "_begin")

@@ -43,3 +43,20 @@ def test_query_equals_sql(spark, name):
     order = [names.index(c) for c in sorted(names)]
     assert sorted(names) == sorted(df.columns)
     assert got == sorted(repr([r[i] for i in order]) for r in cur.fetchall())
+
+
+def test_api_calls_of_one_host_at_one_time(spark, tmp_path):
+    """Two series of a host share a time and one of them falls: the other's row stays, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(
+        "CREATE TABLE events AS SELECT * FROM (VALUES (0, 0, 0, 5.0), (1, 1, 0, 9.0), (2, 1, 10, 4.0), (3, 2, 0, 3.0), (4, 2, 10, 6.0), (5, 2, 1, 7.0)) AS t(event_id, m, user_id, value)"
+    )
+    con.execute(
+        f"COPY (SELECT CAST(event_id AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + to_minutes(m) AS ts, CAST(user_id AS BIGINT) AS user_id, 'view' AS event_type, CAST(value AS DOUBLE) AS value, '' AS props FROM events) TO '{tmp_path}/events.parquet'"
+    )
+    con.execute("DROP TABLE events")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(entry.oracle_sql()["api_call_report"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["api_call_report"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) == [(1, 400), (2, 400), (4, 200)]
