@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -22,68 +23,92 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELAPSED = "elapsed_s"
 _WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+NO_TIME = np.iinfo("int64").min  # what NumPy makes of a missing time
 
 
-def _exact(values: pd.Series, kind: T.DataType) -> pd.Series:
+def _values(column: pd.Series) -> list:
+    """The column as Python values, which are exact for whole numbers and decimals; None where one is missing."""
+    values = column.tolist()
+    return [None if v is None or v is pd.NA or v != v else v for v in values]
+
+
+def _column(values: list, kind: T.DataType):
     """Counter values without a detour by doubles: whole numbers, decimals, or floats."""
-    if isinstance(kind, _WHOLE):
-        return values.astype("Int64")
     if isinstance(kind, T.DecimalType):
-        return values.astype(object).where(values.notna(), pd.NA)
-    return values.astype("Float64")
+        return np.array([*values, None], dtype=object)[:-1]
+    mask = np.array([v is None for v in values], dtype=bool)
+    plain = [0 if v is None else v for v in values]
+    if isinstance(kind, _WHOLE):
+        return pd.arrays.IntegerArray(np.array(plain, dtype="int64"), mask)
+    return pd.arrays.FloatingArray(np.array(plain, dtype="float64"), mask)
+
+
+def _in_order(rows: pd.DataFrame, times: list[int], tiebreak: list[str]) -> list[int]:
+    """The places of the rows in order of time, missing values last."""
+    ties = [_values(rows[t]) for t in tiebreak]
+    ranks = [(t == NO_TIME, t, *[(v[i] is None, 0 if v[i] is None else v[i]) for v in ties]) for i, t in enumerate(times)]
+    return sorted(range(len(times)), key=ranks.__getitem__)
 
 
 def _series_deltas(
-    rows: pd.DataFrame, last: tuple | None, time: str, cols: list[str], wanted: list[str], kinds: dict[str, T.DataType],
-    reset: str, first: str, gate: str | None, max_gap_s: float | None, suffix: str,
+    rows: pd.DataFrame, last: tuple | None, time: str, tiebreak: list[str], cols: list[str], wanted: list[str],
+    kinds: dict[str, T.DataType], reset: str, first: str, gate: str | None, max_gap_s: float | None, suffix: str,
 ) -> tuple[pd.DataFrame, tuple | None]:
-    """Deltas of one series' time-ordered new rows, and the row to remember."""
-    stale = pd.Series(False, index=rows.index)
-    if last is not None:
-        stale = rows[time] < pd.Timestamp(last[0], unit="us")
-    fresh = rows[~stale]
-    now = {name: _exact(fresh[name], kinds[name]) for name in wanted}
-    prev = pd.DataFrame({time: fresh[time].shift(1), **{name: now[name].shift(1) for name in wanted}})
-    if last is not None and len(fresh):
-        prev.loc[fresh.index[0], time] = pd.Timestamp(last[0], unit="us")
-        for name, value in zip(wanted, last[1:]):
-            prev.loc[fresh.index[0], name] = pd.NA if value is None else value
-    gap = (fresh[time].dt.floor("s") - pd.to_datetime(prev[time]).dt.floor("s")).dt.total_seconds()
-    rows[ELAPSED] = gap.reindex(rows.index).astype("Int64")
-    has_prev = prev[time].notna()
-    restarted = pd.Series(False, index=rows.index)
-    for c in cols:
-        cur, diff = now[c], now[c] - prev[c]
-        negative = (diff < 0).fillna(False).astype(bool)
-        restarted.loc[fresh.index] |= negative
-        if reset == "zero":
-            diff = diff.mask(negative, 0)
-        elif reset == "current":
-            diff = diff.mask(negative, cur)
-        elif reset == "null":
-            diff = diff.mask(negative)
-        if gate:
-            grew = (now[gate] - prev[gate] > 0).fillna(False).astype(bool)
-            diff = diff.where(grew, 0)
-        if max_gap_s is not None:
-            # whole seconds on both ends, as in the batch operator
-            diff = diff.mask((gap > max_gap_s).fillna(False), 0)
-        if first == "zero":
-            diff = diff.where(has_prev, 0)
-        elif first == "passthrough":
-            diff = diff.where(has_prev, cur)
-        else:
-            diff = diff.where(has_prev)
-        rows[f"{c}{suffix}"] = diff.reindex(rows.index)
-    rows[RESTARTED] = restarted
-    out = rows
-    if first == "drop":
-        out = rows[has_prev.reindex(rows.index, fill_value=True)]
-    if len(fresh):
-        newest = fresh.iloc[-1]
-        values = [None if pd.isna(v := now[w].iloc[-1]) else v for w in wanted]
-        last = (newest[time].value // 1000, *values)
-    return out, last
+    """Deltas of one series' new rows in order of time, and the row to remember.
+
+    A stream has many series with a few new rows each, so rows are taken one by one: column
+    operations cost far more per call than these rows do.
+    """
+    times = rows[time].to_numpy("datetime64[us]").astype("int64").tolist()
+    if len(times) > 1:
+        order = _in_order(rows, times, tiebreak)
+        if order != list(range(len(times))):
+            rows, times = rows.take(order), [times[i] for i in order]
+    now = {w: _values(rows[w]) for w in wanted}
+    deltas = {c: [] for c in cols}
+    restarted, gaps, kept = [], [], []
+    oldest, prev = (None, None) if last is None else (last[0], last)
+    for i, t in enumerate(times):
+        if oldest is not None and t != NO_TIME and t < oldest:
+            for c in cols:
+                deltas[c].append(None)
+            restarted.append(False)
+            gaps.append(None)
+            kept.append(True)
+            continue
+        cur = (t, *[now[w][i] for w in wanted])
+        has_prev = prev is not None and prev[0] != NO_TIME
+        gap = t // 1_000_000 - prev[0] // 1_000_000 if has_prev and t != NO_TIME else None
+        grew = gate is None or (prev is not None and _less(prev[wanted.index(gate) + 1], cur[wanted.index(gate) + 1]))
+        fell = False
+        for at, c in enumerate(cols, 1):
+            value, before = cur[at], None if prev is None else prev[at]
+            diff = None if value is None or before is None else value - before
+            if diff is not None and diff < 0:
+                fell = True
+                diff = {"zero": 0, "current": value, "null": None}.get(reset, diff)
+            if not grew or (max_gap_s is not None and gap is not None and gap > max_gap_s):
+                diff = 0
+            if not has_prev:
+                diff = {"zero": 0, "passthrough": value}.get(first)
+            deltas[c].append(diff)
+        restarted.append(fell)
+        gaps.append(gap)
+        kept.append(has_prev or first != "drop")
+        prev = cur
+    out = rows.assign(
+        **{f"{c}{suffix}": _column(deltas[c], kinds[c]) for c in cols},
+        **{RESTARTED: np.array(restarted, dtype=bool), ELAPSED: _column(gaps, T.LongType())},
+    )
+    if not all(kept):
+        out = out[kept]
+    if prev is not None and prev[0] == NO_TIME:
+        prev = (NO_TIME // 1000, *prev[1:])
+    return out, prev
+
+
+def _less(a, b) -> bool:
+    return a is not None and b is not None and a < b
 
 
 def stream_counter_delta(
@@ -113,7 +138,6 @@ def stream_counter_delta(
     check_policies(reset, first)
     keys, cols = list(keys), list(cols)
     wanted = list(dict.fromkeys([*cols, *([gate] if gate else [])]))
-    order = [time, *tiebreak]
     kinds = {f.name: f.dataType for f in stream.schema.fields}
     whole = {w: isinstance(kinds[w], _WHOLE) for w in wanted}
     out_schema = T.StructType(
@@ -133,12 +157,10 @@ def stream_counter_delta(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
+        rows = list(chunks)
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows, ignore_index=True)
         last = state.get if state.exists else None
-        out, last = _series_deltas(rows, last, time, cols, wanted, kinds, reset, first, gate, max_gap_s, suffix)
-        for c in cols:
-            if whole[c]:
-                out[f"{c}{suffix}"] = out[f"{c}{suffix}"].astype("Int64")
+        out, last = _series_deltas(rows, last, time, list(tiebreak), cols, wanted, kinds, reset, first, gate, max_gap_s, suffix)
         if last is not None:
             us, *values = last
             exact = lambda w, v: int(v) if whole[w] else v if isinstance(kinds[w], T.DecimalType) else float(v)
