@@ -9,7 +9,7 @@ or what lies just before the position is no longer what was read there.
 Files are reached through ``pyarrow.fs``, from a path or URI that driver and executors share (local
 mount, ``file:``, ``hdfs:``, ``s3:``, ``gs:``). The driver lists the folder and reads at most two short
 pieces of each file that changed since the last look; the content is read in tasks, long
-appends in parts of ``part_bytes``.
+appends in parts of ``part_bytes``, several of them in a task where they are small.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FORMAT = "appended_lines"
 SCHEMA = "path STRING, at BIGINT, value STRING"
 PART_BYTES = 32 << 20
+#: how many tasks share an append of small parts
+TASKS = 64
 #: how much of a file's first line, and of the bytes before a position, tells files apart
 MARK_BYTES = 1024
 BLOCK = 1 << 20
+LINE = 4096
 ROWS = 10_000
 
 
@@ -76,6 +79,31 @@ class Part(InputPartition):
     begin: int
     end: int
 
+    @property
+    def parts(self) -> list[Part]:
+        return [self] if self.begin < self.end else []
+
+
+@dataclass
+class Parts(InputPartition):
+    """The parts that one task reads, one after the other."""
+
+    parts: list[Part]
+
+
+def _dealt(parts: list[Part]) -> list[Parts]:
+    """Small parts share tasks: as many as ``TASKS``, or one for each ``PART_BYTES`` if that is more."""
+    sizes = [p.end - p.begin for p in parts]
+    enough = min(PART_BYTES, -(-sum(sizes) // TASKS))
+    out, held = [], enough
+    for part, size in zip(parts, sizes, strict=True):
+        if held >= enough:
+            out.append(Parts([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += size
+    return out
+
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
@@ -114,7 +142,7 @@ class TailReader(DataSourceStreamReader):
         for path, (to, line, before) in sorted(end.items()):
             begin = self._goes_on_at(fs, path, start.get(path), to, line, before)
             parts += [Part(path, begin, at, min(at + self.part_bytes, to)) for at in range(begin, to, self.part_bytes)]
-        return parts or [Part("", 0, 0, 0)]
+        return _dealt(parts) or [Parts([])]
 
     @staticmethod
     def _goes_on_at(fs: pafs.FileSystem, path: str, old: list | None, to: int, line: int, before: int) -> int:
@@ -128,12 +156,11 @@ class TailReader(DataSourceStreamReader):
         except FileNotFoundError:
             return to
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if partition.begin >= partition.end:
-            return
+    def read(self, partition: Part | Parts) -> Iterator[pa.RecordBatch]:
         fs, _ = _opened(self.folder)
-        with fs.open_input_file(partition.path) as file:
-            yield from _lines(file, partition)
+        for part in partition.parts:
+            with fs.open_input_file(part.path) as file:
+                yield from _lines(file, part)
 
     def commit(self, end: dict) -> None:
         pass
@@ -149,8 +176,11 @@ def _lines(file, part: Part) -> Iterator[pa.RecordBatch]:
     else:
         skip = False
     place = at  # where ``rest`` begins
+    # the last line of a short part ends soon behind it; more is read at a time where it does not
+    step = min(BLOCK, part.end - at + LINE)
     while place < part.end:
-        got = file.read_at(BLOCK, at)
+        got = file.read_at(step, at)
+        step = min(BLOCK, 2 * step)
         if not got:
             break
         at += len(got)

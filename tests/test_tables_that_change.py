@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from meterline.sinks.versions import Versions
 from meterline.streaming.ingest import start
 from meterline.streaming.marks import advance_mark_set, read_after
 from meterline.streaming.ordered import stream_ordered_delta
-from meterline.streaming.tail import Part, TailReader, follow_appended
+from meterline.streaming.tail import LINE, TASKS, Part, TailReader, _lines, follow_appended
 
 from helpers import at, plan, rows
 
@@ -34,6 +35,22 @@ def run_tail(spark, tmp_path):
     return sorted((os.path.basename(r.path), r.value) for r in back.collect())
 
 
+def test_small_parts_share_tasks_and_read_little(tmp_path):
+    """Each part is read to its own end and not a block beyond, and thousands of parts are no thousands of tasks."""
+    text = "".join(f"{i}\n" for i in range(40_000)).encode()
+    (tmp_path / "a.log").write_bytes(text)
+    reader = TailReader({"path": str(tmp_path), "part_bytes": "64"})
+    tasks = reader.partitions({}, reader.latestOffset())
+    assert len(tasks) <= TASKS + 1
+    got = [v for t in tasks for b in reader.read(t) for v in b.column("value").to_pylist()]
+    assert got == [str(i) for i in range(40_000)]
+    with open(tmp_path / "a.log", "rb") as raw:
+        asked = []
+        file = SimpleNamespace(read_at=lambda n, at: (asked.append(n), raw.seek(at), raw.read(n))[2])
+        assert len([b for b in _lines(file, Part("a.log", 0, 0, 64))]) == 1
+        assert sum(asked) <= 64 + LINE
+
+
 def test_each_appended_line_is_read_once(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
