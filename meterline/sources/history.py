@@ -36,12 +36,13 @@ def read_job_history(spark: SparkSession, paths) -> DataFrame:
 
 def parse_job_history(lines: DataFrame) -> DataFrame:
     """The same for lines that are already a table (``job_file``, ``value``)."""
+    # what is exploded is parsed once: a filter on it would else be pushed below and parse again
     outer = lines.filter(F.col("value").startswith("{")).select(
-        "job_file", F.from_json("value", "type STRING, event MAP<STRING, STRING>").alias("o")
+        "job_file", F.explode(F.array(F.from_json("value", "type STRING, event MAP<STRING, STRING>"))).alias("o")
     )
     known = outer.filter(F.col("o.type").isin(EVENT_TYPES))
     payload = F.from_json(F.get(F.map_values("o.event"), F.lit(0)), HISTORY_EVENT)
-    return known.select("job_file", F.col("o.type").alias("type"), payload.alias("event"))
+    return known.select("job_file", F.col("o.type").alias("type"), F.explode(F.array(payload)).alias("event"))
 
 
 def history_day(finish_s: int, zone: str = "UTC") -> date:

@@ -17,7 +17,7 @@ from meterline.plans.workflow_report import workflow_report, workflow_tables
 from meterline.sources.history import find_history, history_paths, read_job_history
 from meterline.sources.tables import read_docs
 
-from helpers import rows
+from helpers import plan, rows
 
 
 def counters(**kv):
@@ -63,6 +63,12 @@ def test_history_files_are_listed_in_tasks(spark, tmp_path):
     assert [r.path.rpartition("/")[2] for r in find_history(spark, f"file://{tmp_path}", date(2018, 9, 13), "job_2").collect()] == ["job_2.jhist"]
 
 
+def test_history_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "job_1.jhist").write_text("\n".join(LINES))
+    folded = fold_events(read_job_history(spark, str(tmp_path)))["attempts"]
+    assert plan(folded).count("from_json(") == 2  # the line, and the payload in it
+
+
 @pytest.fixture
 def landed(tmp_path):
     folder = tmp_path / "done" / "2018" / "09" / "14" / "000017"
