@@ -18,7 +18,10 @@ what stands before it (``decode_range``).
 
 from __future__ import annotations
 
+import json
+import re
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,15 @@ from pyspark.sql import functions as F
 BLOCK_IDS = 1 << 20
 LEAST_COUNT = 4
 LEAST_GAIN = 0.005
-CACHED_PIECES = 500_000
+CACHED_WORDS = 500_000
+# what ``Pieces`` splits itself; other files are left to the library piece by piece
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+# Basic Latin, Latin-1 and Extended-A and -B, Cyrillic, punctuation
+COMMON_BLOCKS = range(0x21, 0x7F), range(0xA1, 0x250), range(0x400, 0x460), range(0x2010, 0x2060)
 
 _BLOCK = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("first", pa.int32()),
@@ -41,12 +52,24 @@ _BLOCK_SQL = (
 )
 
 
+class _Words(dict):
+    """Packed ids by word; a word that is not known yet is encoded by ``coded``."""
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.coded(word)
+        return ids
+
+
 class Pieces:
-    """Encoder of the ``tokenizers`` library that meets each blank-separated piece once.
+    """Encoder of the ``tokenizers`` library that meets each word once.
 
     Exact where the file's pre-tokenizer drops white space and no added token holds any: blanks
     separate pieces that neither normalisation nor merges can join, which is checked on loading.
-    Pieces met before are kept for the life of the worker process, up to ``CACHED_PIECES``.
+    Where the file splits words by ``SPLIT``, pieces of common characters are cut into words here and only new words
+    go to the library's model: what is common is asked of the library on loading, character by character
+    (``_common``). Pieces with any other character or an added token go to the library as they are. Words
+    met before are kept, up to ``CACHED_WORDS``. The library is called
+    for one word or piece at a time: its batches start threads and hold all their encodings.
     """
 
     def __init__(self, path: str):
@@ -62,66 +85,142 @@ class Pieces:
         apart = all(self._ids(t) == sum((self._ids(p) for p in t.replace("\n", " ").split(" ")), []) for t in probe)
         if not apart or any(c.isspace() for t in added for c in t):
             raise ValueError(f"{path}: pieces between blanks are not encoded independently")
+        self.known, self.model = _Words(), self.coder.model
+        common, letters, self.image = self._common(path)
+        self.known.coded = self._word
+        self.odd = re.compile("|".join([f"[^ \\n{common}]", *map(re.escape, added)])) if common else re.compile("")
+        self.added, self.latin = added, bytes(c for c in range(256) if common and not self.odd.match(chr(c)))
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ \\n0-9{letters}]+").findall if common else None
+
+    @classmethod
+    def kept(cls, path: str) -> Pieces:
+        """The encoder of this worker process."""
         # functions travel by value, so what outlives a task is kept with the interpreter
-        self.known: dict[str, bytes] = sys.__dict__.setdefault("_token_pieces", {}).setdefault(path, {})
+        held = sys.__dict__.setdefault("_token_pieces", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _common(self, path: str) -> tuple[str, str, dict[int, str]]:
+        """Common characters and the letters among the lower-case ones, both for a regex, and the byte-level image
+        of these. A character is common if the library lower-cases it as Python does and changes nothing else, and
+        joins it to letters or to punctuation; all of them are if blanks are left out of account."""
+        from tokenizers import pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [(spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")]
+        if steps != [NORMAL, SPLIT]:
+            return "", "", {}
+        normal, cut = self.coder.normalizer.normalize_str, self.coder.pre_tokenizer.pre_tokenize_str
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters, others = set(), set("0123456789")
+        asked = [chr(c) for block in COMMON_BLOCKS for c in block]
+        for c in asked:
+            if c.lower() == c and normal(f"a{c}a") == f"a{c}a" and not unicodedata.combining(c) and c not in others:
+                if len(cut(f"a{c}a")) == 1:
+                    letters.add(c)
+                elif len(cut(f"!{c}!")) == 1:
+                    others.add(c)
+        small = letters | others
+        common = [c for c in asked if c in small or c.lower() in letters and normal(f"a{c}a") == f"a{c.lower()}a"]
+        image = {ord(c): "".join(p for p, _ in mapped(c)) for c in small}
+        return "".join(map(re.escape, common)), "".join(map(re.escape, sorted(letters))), image
 
     def _ids(self, text: str) -> list[int]:
         return self.coder.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.translate(self.image)
+        return np.array([t.id for t in self.model.tokenize(word)], dtype=self.dtype).tobytes()
+
+    def _is_common(self, text: str) -> bool:
+        if self.latin and not any(map(text.__contains__, self.added)):
+            try:
+                return not text.encode("latin-1").translate(None, self.latin)
+            except UnicodeEncodeError:
+                pass
+        return not self.odd.search(text)
+
+    def _packed(self, text: str) -> bytes:
+        look = self.known.__getitem__
+        if self._is_common(text):
+            return b"".join(map(look, self.words(text.lower())))
+        out = []
+        for piece in text.replace("\n", " ").split(" "):
+            if self.odd.search(piece):
+                # no word holds what makes a piece odd, so both are told apart in one table
+                if piece not in self.known:
+                    self.known[piece] = np.array(self._ids(piece), dtype=self.dtype).tobytes()
+                out.append(look(piece))
+            else:
+                out += map(look, self.words(piece.lower()))
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in ``dtype``."""
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for piece, e in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, s)) for s in split]
+        return [self._packed(t) for t in texts]
 
 
 def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (pairs) of a sequence of ids below ``first``.
 
-    A round counts all pairs in hash buckets, counts exactly those in buckets that are large
-    enough, and replaces at once every frequent pair where it stands apart from a more frequent
-    one. Pairs that are then replaced fewer than ``LEAST_COUNT`` times wait.
+    A round counts pairs in hash buckets. Of a bucket that is large enough one pair is counted exactly, the
+    others wait for the next round, whose buckets differ. Every frequent pair is then replaced at
+    once where it stands apart from a more frequent one. Pairs that are then replaced fewer than ``LEAST_COUNT`` times wait.
+    A pair of old symbols never becomes more frequent, so rare ones are not looked at again.
     """
-    seq, rules, new = ids.astype(np.uint32), [], first
-    bins = 1 << max(16, int(len(seq)).bit_length())
-    shift = np.uint64(64 - bins.bit_length() + 1)
-    while len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-        often = np.bincount(bucket, minlength=bins)[bucket] >= LEAST_COUNT
-        at = np.flatnonzero(often)
-        if not len(at):
-            break
-        kinds, number, count = np.unique(pair[at], return_inverse=True, return_counts=True)
+    seq, rules, new, turn = ids.astype(np.uint32), [], first, 0x9E3779B97F4A7C15
+    at = np.arange(len(seq) - 1)  # places of the pairs that may be frequent
+    while len(at):
+        bins = 1 << max(12, int(len(at)).bit_length())
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        bucket = ((pair * np.uint64(turn)) >> np.uint64(65 - bins.bit_length())).astype(np.int64)
+        turn = turn * 0xD6E8FEB86659FD93 % (1 << 64)
+        many = (np.bincount(bucket, minlength=bins) >= LEAST_COUNT)[bucket]
+        at, pair, bucket = at[many], pair[many], bucket[many]
+        counted = np.zeros(bins, dtype=np.uint64)
+        counted[bucket] = pair
+        own = counted[bucket] == pair
+        count = np.bincount(bucket[own], minlength=bins)
+        often = np.flatnonzero(count >= LEAST_COUNT)
+        kinds = counted[often]
+        order = np.lexsort((kinds, count[often]))
+        kinds = kinds[order]
         # more frequent pairs win; among equals the one with the larger number
-        rank = np.empty(len(kinds), dtype=np.int64)
-        rank[np.lexsort((kinds, count))] = np.arange(1, len(kinds) + 1)
-        weight = np.zeros(len(seq) + 1, dtype=np.int64)  # by place + 1, with a 0 at either end
-        weight[at + 1] = np.where(count[number] >= LEAST_COUNT, rank[number], 0)
-        here, before, after = weight[at + 1], weight[at], np.append(weight[2:], 0)[at]
-        # a run of one id holds the same pair again and again: every other one counts
-        run = np.arange(len(weight)) - np.maximum.accumulate(np.where(np.diff(weight, prepend=-1) != 0, np.arange(len(weight)), 0))
-        odd = run[at + 1] % 2 == 1
-        win = (here > 0) & ~odd & (here >= before) & (here >= after)
-        used = np.bincount(number[win], minlength=len(kinds))
-        good = used >= LEAST_COUNT
-        win &= good[number]
+        rank = np.zeros(bins, dtype=np.int32)
+        rank[often[order]] = np.arange(1, len(kinds) + 1)
+        here = np.where(own, rank[bucket], 0)
+        left, here, at = at[~own | (here > 0)], here[here > 0], at[here > 0]
+        weight = np.zeros(len(seq) + 2, dtype=np.int32)  # by place + 1, with zeros at either end
+        weight[at + 1] = here
+        before = weight[at]
+        win = (here >= before) & (here >= weight[at + 2])
+        again = here == before
+        if again.any():
+            # a run of one id holds the same pair again and again: every other one counts
+            number = np.arange(len(at))
+            win &= (number - np.maximum.accumulate(np.where(again, 0, number))) % 2 == 0
+        good = np.bincount(here[win], minlength=len(kinds) + 1)[1:] >= LEAST_COUNT
+        win &= good[here - 1]
         gain = int(win.sum())
         if gain < max(LEAST_COUNT, LEAST_GAIN * len(seq)):
             break
-        fresh = np.cumsum(good) - 1 + new
         spot = at[win]
-        seq[spot] = fresh[number[win]]
+        seq[spot] = (np.cumsum(good) - 1 + new)[here[win] - 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[spot + 1] = False
+        next_ = np.zeros(len(seq), dtype=bool)
+        next_[left] = True
+        next_[spot] = True
+        next_ = next_[keep]
+        place = spot - np.arange(len(spot))  # a replaced pair leaves one symbol
+        next_[np.maximum(place - 1, 0)] = True
         seq = seq[keep]
+        at = np.flatnonzero(next_[:-1])
         rules.append(np.stack([kinds[good] >> np.uint64(32), kinds[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         new += int(good.sum())
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
@@ -144,6 +243,19 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """Ids of a sequence of symbols."""
+    if len(symbols) > len(rules) > 0:
+        # each rule once, then all symbols from that
+        lengths = expansion_lengths(rules, first).astype(np.int64)
+        flat = np.concatenate([np.arange(first, dtype=np.uint32), _expand(np.arange(first, first + len(rules)), rules, first)])
+        size = np.concatenate([np.ones(first, dtype=np.int64), lengths])
+        start = np.cumsum(size) - size
+        each = size[symbols]
+        ends = np.cumsum(each)
+        return flat[np.arange(ends[-1]) + np.repeat(start[symbols] - (ends - each), each)]
+    return _expand(symbols, rules, first)
+
+
+def _expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     seq = symbols.astype(np.uint32)
     while True:
         big = seq >= first
@@ -177,7 +289,7 @@ def decode_range(block: dict, begin: int, end: int) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids: int) -> Iterator[pa.RecordBatch]:
-    coder = Pieces(path)
+    coder = Pieces.kept(path)
     tail = np.array([end_id], dtype=coder.dtype).tobytes()
     ids, packed, held, block, part = [], [], 0, 0, 0
 

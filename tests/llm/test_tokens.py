@@ -128,6 +128,23 @@ def test_pieces_equal_the_library(plain):
     assert got == [e.ids for e in plain[1].encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_words_are_met_once_whatever_stands_around_them(plain):
+    """Pieces with punctuation and capitals do not fill the table, and no batch of encodings is made."""
+    coder = Pieces(WORD)
+    coder.known.clear()
+    coder.coder = None
+    text = "Élan, élan. ÉLAN! (élan)\n\"it's\""
+    assert np.frombuffer(coder.encode([text])[0], dtype=coder.dtype).tolist() == plain[1].encode(text, add_special_tokens=False).ids
+    assert sorted(coder.known) == sorted(["élan", ",", ".", "!", "(", ")", '"', "it", "'s"])
+
+
+def test_common_characters_equal_the_library(plain):
+    coder, sides = Pieces(WORD), ["a", "1", "!", "'", " ", "'s"]
+    texts = [f"{x}{chr(c)}{y}" for c in [*range(1, 0x600), *range(0x2000, 0x2100), 0x1E9E] for x in sides for y in sides]
+    got = [np.frombuffer(b, dtype=coder.dtype).tolist() for b in coder.encode(texts)]
+    assert got == [e.ids for e in plain[1].encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("ids", [[], [5], [7] * 1000, [1, 2] * 300, list(range(50)) * 20, np.random.default_rng(1).integers(0, 9, 5000).tolist()])
 def test_repair_round_trip_and_random_access(ids):
     ids = np.array(ids, dtype=np.uint32)
