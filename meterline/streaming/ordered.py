@@ -1,14 +1,16 @@
 """Counter deltas of samples that arrive out of order, by the rules of the batch operator.
 
-Samples of a series wait in its state until the watermark says that nothing older can come, and are then
+Samples wait in the state until the watermark says that nothing older can come, and are then
 taken in order: what was shuffled within the allowed delay gives the same deltas as the sorted
 table. ``stream_counter_delta`` in ``counters`` answers at once instead and gives a late sample NULL.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -20,7 +22,9 @@ from ..operators.counters import check_policies
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MICROS = "_micros"
+MICROS, GROUP = "_micros", "_group"
+GROUPS = 1024  # units of the state
+CHUNK_ROWS = 10_000  # samples packed into one value
 
 # ship the classes below with the job, so that executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,51 +35,70 @@ def _rank(value) -> tuple:
     return (value is not None, 0 if value is None else value)
 
 
+def _pack(rows: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[i : i + CHUNK_ROWS], 5),) for i in range(0, len(rows), CHUNK_ROWS)]
+
+
 class OrderedDeltas(StatefulProcessor):
-    """Holds samples in list state, the last one taken in value state, and one timer at the oldest held."""
+    """State of a group of series: the samples held, in packed chunks, the last sample taken of each series, packed
+    too, and one timer. So a batch makes a few calls to the store a group, however many series there are."""
 
-    def __init__(self, schema: T.StructType, names: list[str], cols: list[str], wanted: list[str], tiebreak: list[str], reset: str,
+    def __init__(self, names: list[str], keys: list[str], time: str, cols: list[str], wanted: list[str], tiebreak: list[str], reset: str,
                  first: str, gate: str | None, max_gap_s: float | None, expire_after_s: float | None):
-        self.schema, self.names, self.cols, self.wanted, self.tiebreak = schema, names, cols, wanted, tiebreak
+        self.names, self.cols, self.wanted = names, cols, wanted
         self.reset, self.first, self.gate, self.max_gap_s, self.expire_after_s = reset, first, gate, max_gap_s, expire_after_s
-        self.place = {name: i for i, name in enumerate(schema.names)}
+        self.micros = names.index(time)
+        self.key_at, self.wanted_at, self.tie_at = ([names.index(c) for c in some] for some in (keys, wanted, tiebreak))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
-        kinds = {f.name: f.dataType for f in self.schema.fields}
-        last = [T.StructField(MICROS, T.LongType()), *[T.StructField(w, kinds[w]) for w in self.wanted]]
-        self.last = handle.getValueState("last", T.StructType(last))
+        packed = T.StructType([T.StructField("packed", T.BinaryType())])
+        self.held = handle.getListState("held", packed)
+        self.last = handle.getValueState("last", packed)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r) for r in rows]
-        self.held.appendList(new)
+        at, first = self.micros, None
+        # the time travels in microseconds, which are in the column before the group
+        new = ((*r[:at], r[-2], *r[at + 1 : -2]) for r in map(tuple, rows))
+        while chunk := list(islice(new, CHUNK_ROWS)):
+            low = min(r[at] for r in chunk)
+            first = low if first is None else min(first, low)
+            self.held.appendValue(_pack(chunk)[0])
         # a timer that is due already fires in this batch and sees to what is held then
-        self._wake_at(min(r[self.place[MICROS]] for r in new), list(self.handle.listTimers()))
+        if first is not None:
+            self._wake_at(first, list(self.handle.listTimers()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        micros = self.place[MICROS]
+        limit, at = watermark * 1000, self.micros
         ready, rest = [], []
-        for r in self.held.get():
-            (ready if r[micros] <= watermark * 1000 else rest).append(r)
+        for (packed,) in self.held.get():
+            for r in pickle.loads(packed):
+                (ready if r[at] <= limit else rest).append(r)
+        last = pickle.loads(self.last.get()[0]) if self.last.exists() else {}
         if ready:
-            ready.sort(key=lambda r: (r[micros], *[_rank(r[self.place[t]]) for t in self.tiebreak]))
-            yield from self._deltas(ready)
+            ready.sort(key=lambda r: (r[at], *[_rank(r[t]) for t in self.tie_at]))
+            yield from self._deltas(ready, last)
             self.held.clear()
-            if rest:
-                self.held.appendList(rest)
-        # the timer that fired may still be listed, but it is spent
-        left = [t for t in self.handle.listTimers() if t > watermark]
-        if rest:
-            self._wake_at(min(r[micros] for r in rest), left)
-        elif self.expire_after_s is not None and self.last.exists():
-            gone_at = self.last.get()[0] // 1000 + int(self.expire_after_s * 1000)
-            if gone_at <= watermark:
-                self.last.clear()
-            elif gone_at not in left:
-                self.handle.registerTimer(gone_at)
+            for chunk in _pack(rest):
+                self.held.appendValue(chunk)
+        due = min([r[at] for r in rest], default=None)
+        gone = []
+        if self.expire_after_s is not None:
+            expire = int(self.expire_after_s * 1_000_000)
+            # what comes later is newer than the watermark: further from the last sample than that
+            gone = [k for k, v in last.items() if v[0] + expire <= limit]
+            for k in gone:
+                del last[k]
+            due = min([v[0] + expire for v in last.values()] + [due] * (due is not None), default=None)
+        if last and (ready or gone):
+            self.last.update((pickle.dumps(last, 5),))
+        elif gone:
+            self.last.clear()
+        if due is not None:
+            # the timer that fired may still be listed, but it is spent
+            self._wake_at(due, [t for t in self.handle.listTimers() if t > watermark])
 
     def close(self) -> None:
         pass
@@ -87,18 +110,18 @@ class OrderedDeltas(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(due)
 
-    def _deltas(self, rows: list[tuple]) -> Iterator[Row]:
-        prev = self.last.get() if self.last.exists() else None
+    def _deltas(self, rows: list[tuple], last: dict[tuple, tuple]) -> Iterator[Row]:
+        """Answers to samples in order; ``last`` is kept up."""
         answer = Row(*self.names)
         for row in rows:
-            now = (row[self.place[MICROS]], *[row[self.place[w]] for w in self.wanted])
+            series = tuple(["NaN" if (x := row[k]) != x else x for k in self.key_at])
+            prev = last.get(series)
+            now = (row[self.micros], *[row[w] for w in self.wanted_at])
             if prev is not None and self.expire_after_s is not None and now[0] - prev[0] > self.expire_after_s * 1_000_000:
                 prev = None  # silent for so long that its state would be gone, whatever the batches were
             if prev is not None or self.first != "drop":
-                # the sort column is the last of those held and no part of the answer
-                yield answer(*row[:-1], *[self._delta(c, now, prev) for c in self.cols])
-            prev = now
-        self.last.update(prev)
+                yield answer(*row, *[self._delta(c, now, prev) for c in self.cols])
+            last[series] = now
 
     def _delta(self, col: str, now: tuple, prev: tuple | None):
         at = self.wanted.index(col) + 1
@@ -135,6 +158,7 @@ def stream_ordered_delta(
     tiebreak: Sequence[str] = (),
     suffix: str = "_delta",
     expire_after_s: float | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Delta of each counter from the previous sample of its series, samples up to ``delay`` late put in order.
 
@@ -144,6 +168,10 @@ def stream_ordered_delta(
     series that has been silent for so long. Policies are those of ``counter_delta``, except
     ``drop_batch``, which needs whole polls (see ``counters.drop_restarted_polls``).
 
+    Series are dealt by a hash of their keys into ``groups`` groups that are the units of the state: the samples a
+    group holds are rewritten when some of them are due, and are in one worker's memory then. The number must stay as it is
+    while a checkpoint lives; a checkpoint of the form with one state a series cannot be continued.
+
     The state lives in Spark's RocksDB store, which this operator needs: it is set for the session here.
     """
     check_policies(reset, first)
@@ -152,10 +180,20 @@ def stream_ordered_delta(
     stream.sparkSession.conf.set(PROVIDER, ROCKS_DB)
     keys, cols = list(keys), list(cols)
     wanted = list(dict.fromkeys([*cols, *([gate] if gate else [])]))
-    rows = stream.withWatermark(time, delay).withColumn(MICROS, F.unix_micros(time))
     kinds = {f.name: f.dataType for f in stream.schema.fields}
-    # the watermark's metadata belongs to the stream, not to the state's columns
-    plain = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in stream.schema.fields], *[T.StructField(f"{c}{suffix}", kinds[c]) for c in cols]])
-    worker = OrderedDeltas(plain, out.names, cols, wanted, list(tiebreak), reset, first, gate, max_gap_s, expire_after_s)
-    return rows.groupBy(*keys).transformWithState(worker, out, "append", "eventTime")
+    # instants are held as numbers, which mean the same whatever the time zone of a session; the watermark stays with its column
+    instants = [n for n, k in kinds.items() if isinstance(k, T.TimestampType)]
+    rows = stream.withWatermark(time, delay).withColumns({
+        **{n: F.unix_micros(n) for n in instants if n != time},
+        MICROS: F.unix_micros(time), GROUP: F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int"),
+    })
+    out = T.StructType([
+        *[T.StructField(n, T.LongType() if n in instants else k) for n, k in kinds.items()],
+        *[T.StructField(f"_{i}{suffix}", kinds[c]) for i, c in enumerate(cols)],
+    ])
+    worker = OrderedDeltas(out.names, keys, time, cols, wanted, list(tiebreak), reset, first, gate, max_gap_s, expire_after_s)
+    answers = rows.groupBy(GROUP).transformWithState(worker, out, "append", "eventTime")
+    return answers.select(
+        *[F.timestamp_micros(n).alias(n) if n in instants else F.col(n) for n in kinds],
+        *[F.col(f"_{i}{suffix}").alias(f"{c}{suffix}") for i, c in enumerate(cols)],
+    )

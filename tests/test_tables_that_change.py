@@ -151,6 +151,22 @@ def test_a_series_that_is_gone_leaves_no_state(spark, tmp_path):
     assert rows(spark.read.schema(deltas.schema).parquet(out), "id", "c_delta") == [(1, None), (2, None), (3, None), (4, None)]
 
 
+def test_state_is_a_few_values_a_group_whatever_the_number_of_series(spark, tmp_path):
+    """Series of a group share their state; counters beyond 2^53, NULLs and instants come back as they were."""
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    data = [(n * 10 + i, f"s{n}" if n else None, at(i * 7 + n % 5), None if i == n % 7 else (1 << 60) + 3 * i * n, 0.5) for n in range(300) for i in range(5)]
+    for part in (data[::2], data[1::2], [(9999, "last", at(10_000), 1, 0.0)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        deltas = stream_ordered_delta(spark.readStream.schema(SCHEMA).parquet(src), ["k"], "time", ["c"], "100 seconds", tiebreak=["id"], groups=3)
+        query = start(deltas.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", cp), "available_now")
+        query.awaitTermination()
+        # two states, a timer and its index for each group
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 8
+    want = counter_delta(spark.createDataFrame(data, SCHEMA), ["k"], "time", ["c"], tiebreak=["id"])
+    got = spark.read.schema(deltas.schema).parquet(out)
+    assert rows(got, "id", "k", "time", "c", "gate", "c_delta") == rows(want, "id", "k", "time", "c", "gate", "c_delta")
+
+
 # ---- bucketed table
 
 DOC = "id int, a string, b bigint, v bigint"
