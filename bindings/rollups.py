@@ -27,7 +27,7 @@ from meterline.operators.rollups import (
 )
 from meterline.operators.slices import row_number_within
 from meterline.plans.device_report import disk_report
-from meterline.plans.spark_report import spark_report
+from meterline.plans.spark_report import parts_for, spark_report
 
 from .common import SAMPLES, TASKS, query, round2, samples, table, tasks
 
@@ -432,7 +432,8 @@ def app_report(spark, sf_dir):
     keys = stages.select("appId", "appAttemptId", "stageId", "stageAttemptId", F.col("firstTaskLaunchedTime").alias("_t"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stageId"), "l_linenumber", "l_quantity", "l_partkey")
     launch = F.col("_t") + F.col("l_linenumber") * 3
-    work = li.join(keys, "stageId").select(
+    n_tasks = li.count()
+    work = li.repartition(parts_for(spark, n_tasks), "stageId").join(keys, "stageId").select(
         "appId", "appAttemptId", "stageId", "stageAttemptId", launch.alias("launchTime"),
         (launch + F.col("l_quantity").cast("bigint")).alias("endTime"), F.col("l_partkey").alias("resultSize"),
     )
@@ -440,5 +441,5 @@ def app_report(spark, sf_dir):
         F.col("n_nationkey").alias("appId"), F.lit(0).alias("appAttemptId"), F.lit(700000000).alias("startTime"), F.lit(1000000000).alias("endTime")
     )
     executors = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("appId"), F.lit(0).alias("appAttemptId"), F.lit(4).alias("totalCores"))
-    out = spark_report(apps, stages, work, executors)["apps"]
+    out = spark_report(apps, stages, work, executors, n_tasks=n_tasks)["apps"]
     return out.select("appId", "numStages", "resultSize", "taskSchedulingDelay", "maxParallelTasks", "minParallelTasks", "totalCores", "dataProc", "stageSchedulingDelay")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import concurrency, concurrency_summary, scheduling_delay
@@ -11,6 +11,13 @@ from ..operators.rollups import rollup_stages, rollup_tasks, total_cores
 
 STAGE = ["appId", "appAttemptId", "stageId", "stageAttemptId"]
 APP = ["appId", "appAttemptId"]
+PLACE = ["appId", "stageId"]  # what rows are dealt out by: part of the keys of every join and group below
+ROWS_PER_TASK = 500_000
+
+
+def parts_for(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Partitions that hold about ``rows_per_task`` rows each, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
 
 
 def stage_concurrency(stages: DataFrame, tasks: DataFrame, step: int = 5) -> DataFrame:
@@ -23,9 +30,15 @@ def stage_concurrency(stages: DataFrame, tasks: DataFrame, step: int = 5) -> Dat
 
 
 def spark_report(
-    apps: DataFrame, stages: DataFrame, tasks: DataFrame, executors: DataFrame, step: int = 5
+    apps: DataFrame, stages: DataFrame, tasks: DataFrame, executors: DataFrame, step: int = 5, n_tasks: int | None = None
 ) -> dict[str, DataFrame]:
-    """Enriched application and stage tables and the concurrency points."""
+    """Enriched application and stage tables and the concurrency points.
+
+    A partition of tasks passes through some ten sorts and hash tables that are held at once, so both tables are dealt
+    out by the number of tasks (``n_tasks``, counted where it is not given), not by the session's number of partitions.
+    """
+    parts = parts_for(tasks.sparkSession, tasks.count() if n_tasks is None else n_tasks)
+    stages, tasks = stages.repartition(parts, *PLACE), tasks.repartition(parts, *PLACE)
     done = stages.filter("status = 'COMPLETE'")
     points = stage_concurrency(stages, tasks, step)
     rows = rollup_tasks(done, tasks, keys=STAGE)

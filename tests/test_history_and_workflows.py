@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import date
 
 import pytest
@@ -219,6 +220,20 @@ def test_spark_report(spark):
     assert (app["idle"].numStages, app["idle"].minParallelTasks, app["idle"].stageSchedulingDelay) == (0, 0, 0)
 
 
+@pytest.mark.parametrize("attempt", ["id % 2", "0"])
+def test_spark_report_deals_tasks_out_by_their_number(spark, attempt):
+    """A task of Spark gets no more rows as the tasks grow in number, whatever the session's number of partitions."""
+    ids = spark.range(2000).selectExpr("id % 3 AS appId", f"{attempt} AS appAttemptId", "id AS stageId", "0 AS stageAttemptId")
+    stages = ids.selectExpr("*", "'COMPLETE' AS status", "10 AS submissionTime", "10 AS firstTaskLaunchedTime", "40 AS completionTime")
+    tasks = ids.selectExpr("*", "12 AS launchTime", "20 + stageId % 7 AS endTime")
+    apps = ids.select("appId", "appAttemptId").distinct().selectExpr("*", "5 AS startTime", "90 AS endTime")
+    executors = apps.selectExpr("appId", "appAttemptId", "2 AS totalCores")
+    out = spark_report(apps, stages, tasks, executors, n_tasks=40 * 500_000 - 1)
+    wide = re.findall(r"hashpartitioning\(([^)]*), (\d+)\), (?:REPARTITION_BY_NUM|ENSURE_REQUIREMENTS)", plan(out["points"]))
+    assert wide and all(n == "40" for keys, n in wide if "stageId" in keys)
+    assert out["stages"].count() == 2000 and {r.numStages for r in out["apps"].collect()} <= {333, 334, 666, 667}
+
+
 def test_rollup_without_metric_column(spark):
     st = spark.createDataFrame([("a", 1, 0)], "appId string, stageId int, stageAttemptId int")
     tk = spark.createDataFrame([("a", 1, 0)], "appId string, stageId int, stageAttemptId int")
