@@ -30,9 +30,10 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: four characters from each five hexadecimal digits."""
-    hexed, out = F.sha1(data), []
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of a hexadecimal SHA-1: four characters from each five digits. ``hexed`` is repeated in the
+    expression, so it should be a column."""
+    out = []
     for group in range(8):
         v = F.conv(F.substring(hexed, 5 * group + 1, 5), 16, 10).cast("int")
         out += [F.substr(F.lit(_BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -69,11 +70,12 @@ def write_archives(
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
-    base = base.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "size": F.octet_length("body")})
+    # hexadecimal up to the shuffles: written out as base32, the SHA-1 would be taken of the body again for each character
+    base = base.withColumns({"hexed": F.sha1(F.col("body").cast("binary")), "size": F.octet_length("body")})
     # payloads once each, copies combined before the shuffle; what is many per payload is narrow
-    payloads = base.groupBy("digest").agg(F.first("body").alias("body"), F.max(F.struct("id", "url")).alias("top"))
-    captures = base.groupBy("id", "url", "digest", "size").agg(F.count(F.lit(1)).alias("copies"))
-    rows = captures.join(payloads, "digest")
+    payloads = base.groupBy("hexed").agg(F.first("body").alias("body"), F.max(F.struct("id", "url")).alias("top"))
+    captures = base.groupBy("id", "url", "hexed", "size").agg(F.count(F.lit(1)).alias("copies"))
+    rows = captures.join(payloads, "hexed").withColumn("digest", base32(F.col("hexed")))
     is_top = F.struct("id", "url").eqNullSafe(F.col("top")) | (F.col("size") < least_revisit)
     kind = F.when(is_top, "response").otherwise("revisit")
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))

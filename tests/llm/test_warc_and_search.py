@@ -8,10 +8,11 @@ import random
 import numpy as np
 import pytest
 from fixtures import ordered
+from pyspark.sql import functions as F
 
 from llm import topk
 from llm.topk import quantised, top_k
-from llm.warc import assemble, captures_of, read_archives, records, write_archives
+from llm.warc import assemble, base32, captures_of, read_archives, records, write_archives
 from meterline.session import scratch_path
 
 PAGES = "page_id long, url string, html string, kind string, record_id string"
@@ -49,6 +50,14 @@ def test_round_trip(spark, least):
     assert bodies == {h or "" for _, _, h, *_ in pages()}
 
 
+def test_digest_is_taken_from_one_hash(spark):
+    """Each of the 32 characters reads the hash from a column; none of them hashes the payload."""
+    rows = spark.createDataFrame([(hashlib.sha1(str(i).encode()).hexdigest(),) for i in range(50)], "h string")
+    assert "sha1" not in str(base32(F.col("h")))
+    got = rows.select(base32(F.col("h"))).collect()
+    assert sorted(r[0] for r in got) == sorted(digest(str(i)) for i in range(50))
+
+
 def test_no_pages(spark):
     path = scratch_path(spark, "warc")
     write_archives(spark.createDataFrame([], PAGES), path)
