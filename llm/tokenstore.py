@@ -34,6 +34,11 @@ BLOCK_IDS = 1 << 20
 LEAST_COUNT = 4
 LEAST_GAIN = 0.005
 CACHED_WORDS = 500_000
+SHORT_TEXT = 200  # characters: below, the arrays cost more than looking up each word
+LONG_WORD = 1000  # characters: ``tiktoken`` may merge a word in time that grows with the square of its length
+CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
+LETTER, DIGIT, OTHER = 1, 2, 3
+WORD_END = "\x01"  # stands for the model's end-of-word suffix; not a common character
 # what ``Pieces`` splits itself; other files are left to the library piece by piece
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = [
@@ -65,10 +70,12 @@ class Pieces:
 
     Exact where the file's pre-tokenizer drops white space and no added token holds any: blanks
     separate pieces that neither normalisation nor merges can join, which is checked on loading.
-    Where the file splits words by ``SPLIT``, pieces of common characters are cut into words here and only new words
-    go to the library's model: what is common is asked of the library on loading, character by character
-    (``_common``). Pieces with any other character or an added token go to the library as they are. Words
-    met before are kept, up to ``CACHED_WORDS``. The library is called
+    Where the file splits words by ``SPLIT``, pieces of common characters are cut into words here: what is common is
+    asked of the library on loading, character by character (``_common``). ``tiktoken`` runs the merges of all words
+    of a text at once where that gives the model's own ids (``_merger``); else, in texts below ``SHORT_TEXT``
+    characters and in those with a word above ``LONG_WORD``, only new words go to the library's model.
+    Pieces with any other character or an added token go to the library as they are. Words and pieces
+    that the library has met are kept, up to ``CACHED_WORDS``. It is called
     for one word or piece at a time: its batches start threads and hold all their encodings.
     """
 
@@ -90,7 +97,11 @@ class Pieces:
         self.known.coded = self._word
         self.odd = re.compile("|".join([f"[^ \\n{common}]", *map(re.escape, added)])) if common else re.compile("")
         self.added, self.latin = added, bytes(c for c in range(256) if common and not self.odd.match(chr(c)))
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ \\n0-9{letters}]+").findall if common else None
+        self.words = re.compile(f"{CONTRACTION.pattern}|[{letters}]+|[0-9]|[^ \\n0-9{letters}]+").findall if common else None
+        self.merger = self._merger(path) if common else None
+        self.kinds = np.zeros(COMMON_BLOCKS[-1].stop, dtype=np.uint8)  # by code point; blanks stay 0
+        for kind, chars in ((OTHER, self.image), (LETTER, map(ord, letters)), (DIGIT, range(48, 58))):
+            self.kinds[list(chars)] = kind
 
     @classmethod
     def kept(cls, path: str) -> Pieces:
@@ -125,7 +136,45 @@ class Pieces:
         small = letters | others
         common = [c for c in asked if c in small or c.lower() in letters and normal(f"a{c}a") == f"a{c.lower()}a"]
         image = {ord(c): "".join(p for p, _ in mapped(c)) for c in small}
-        return "".join(map(re.escape, common)), "".join(map(re.escape, sorted(letters))), image
+        return "".join(map(re.escape, common)), "".join(sorted(letters)), image
+
+    def _merger(self, path: str):
+        """The model's merges as a ``tiktoken`` encoding of words with ``WORD_END`` behind each, or None.
+
+        ``tiktoken`` joins two neighbours if they make a token, the lowest id first, and takes a word that is a token
+        whole. The model joins by rules. Both agree where the ids of joined tokens follow the rules, one rule a token,
+        and every token's own text comes to that token: whenever two neighbours make a token, they then are what its text
+        alone comes to before its last rule. Bytes with the suffix have the smallest ids but for single bytes, so they are joined first."""
+        import tiktoken
+        from tokenizers import models
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        vocab, end = spec["vocab"], spec.get("end_of_word_suffix")
+        others = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        if spec["type"] != "BPE" or not end or any(spec.get(k) for k in others):
+            return None
+        rules = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
+        # bytes stand for themselves where they are visible, the others from code point 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        to_byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+        single = {vocab.get(c) for c in to_byte} == set(range(256)) and {vocab.get(c + end) for c in to_byte} == set(range(256, 512))
+        joined = [a.removesuffix(end) + b for a, b in rules] == [a + b for a, b in rules]
+        if not (single and joined and len(vocab) == 512 + len(rules) and all(vocab.get(a + b) == 512 + i for i, (a, b) in enumerate(rules))):
+            return None
+        inner = models.BPE(vocab=vocab, merges=rules)
+        for token, i in vocab.items():
+            alone = self.model.tokenize(token.removesuffix(end)) if token.endswith(end) else inner.tokenize(token)
+            if [t.id for t in alone] != [i]:
+                return None
+        ranks = {}
+        for token, i in vocab.items():
+            own = bytes(map(to_byte.__getitem__, token.removesuffix(end)))
+            if WORD_END.encode() not in own:
+                ranks[own + WORD_END.encode() * token.endswith(end)] = i
+        ranks[WORD_END.encode()] = vocab[next(c for c, b in to_byte.items() if b == ord(WORD_END))]
+        never = {2 * WORD_END: len(vocab)}  # an encoding without special tokens looks for the empty one
+        return tiktoken.Encoding("words", pat_str=f"[^ \\n{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens=never)
 
     def _ids(self, text: str) -> list[int]:
         return self.coder.encode(text, add_special_tokens=False).ids
@@ -143,20 +192,41 @@ class Pieces:
                 pass
         return not self.odd.search(text)
 
+    def _joined(self, text: str) -> bytes:
+        """Packed ids of a text of common characters."""
+        text = text.lower()
+        if self.merger is None or len(text) < SHORT_TEXT:
+            return b"".join(map(self.known.__getitem__, self.words(text)))
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        kind = np.append(self.kinds[codes], 0)
+        end = (kind[:-1] != 0) & ((kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT))
+        if "'" in text:
+            # others take an apostrophe along; behind anything else it may begin a word of its own
+            for m in CONTRACTION.finditer(text):
+                if not m.start() or kind[m.start() - 1] != OTHER:
+                    end[m.start()], end[m.end() - 1] = False, True
+        at = np.flatnonzero(end) + 1
+        if not len(at):
+            return b""
+        if np.diff(at, prepend=0).max() > LONG_WORD:
+            return b"".join(map(self.known.__getitem__, self.words(text)))
+        line = np.insert(codes, at, ord(WORD_END)).tobytes().decode("utf-32-le")
+        return self.merger.encode_to_numpy(line, disallowed_special=()).astype(self.dtype).tobytes()
+
     def _packed(self, text: str) -> bytes:
-        look = self.known.__getitem__
         if self._is_common(text):
-            return b"".join(map(look, self.words(text.lower())))
-        out = []
+            return self._joined(text)
+        out, common = [], []
         for piece in text.replace("\n", " ").split(" "):
             if self.odd.search(piece):
                 # no word holds what makes a piece odd, so both are told apart in one table
                 if piece not in self.known:
                     self.known[piece] = np.array(self._ids(piece), dtype=self.dtype).tobytes()
-                out.append(look(piece))
+                out += self._joined(" ".join(common)), self.known[piece]
+                common = []
             else:
-                out += map(look, self.words(piece.lower()))
-        return b"".join(out)
+                common.append(piece)
+        return b"".join([*out, self._joined(" ".join(common))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in ``dtype``."""
