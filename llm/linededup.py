@@ -36,7 +36,7 @@ def _source(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], dict]:
     found = [_lines(t) for t in batch.column("text").to_pylist()]
     contents = [c for lines in found for _, c in lines]
     rows = pa.array([row for row, lines in enumerate(found) for _ in lines], pa.int64())
-    more = {"id": batch.column("id").take(rows), "d": batch.column("d").take(rows), "n": pa.array([n for lines in found for n, _ in lines], pa.int32())}
+    more = {c: batch.column(c).take(rows) for c in batch.schema.names if c != "text"} | {"n": pa.array([n for lines in found for n, _ in lines], pa.int32())}
     return [hashlib.md5(c).digest() for c in contents], contents, more
 
 
@@ -71,8 +71,9 @@ def dropped_lines(
     # the first line of each text of a line, then of each component: both combined before the shuffle
     place = F.struct(F.col("id").isNull(), "id", "d", "n")
     each = places.groupBy("k").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
-    each = each.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    each = stored(each.filter("times > 1 OR root IS NOT NULL"), "each")
+    # most lines stand alone, and go no further
+    each = each.join(roots, "k", "left").filter("times > 1 OR root IS NOT NULL")
+    each = stored(each.withColumn("root", F.coalesce("root", "k")), "each")
     first = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("times").alias("times")).filter("times > 1")
     fate = each.join(first.select("root", F.col("first").alias("kept")), "root").select("k", "kept")
     gone = places.join(fate, "k").filter(place != F.col("kept"))
@@ -94,7 +95,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("__id"), text_key(F.col(text_col)).alias("__d"),
         F.col(text_col).alias("text"),
     )
-    joined = keyed.join(drops, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__d") == F.col("d")), "left")
+    # the drops are the small side: texts need not be sorted
+    joined = keyed.join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__d") == F.col("d")), "left")
     others = [c for c in docs.columns if c != text_col]
     flat = joined.select(
         *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(others)], "text", "numbers"

@@ -4,7 +4,7 @@ Items are texts with a 16-byte key. A source function turns Arrow batches into
 ``(keys, contents)``; it runs once for the signatures and once to fetch the contents of items
 that share a band with another. The steps:
 
-1. signatures, cut into bands; only band hashes are shuffled to find those that occur twice;
+1. signatures, cut into bands; packed band hashes are shuffled to find those that two items share;
 2. the surviving (item, band) rows; buckets with the same members are kept once;
 3. buckets are cut into blocks of ``BLOCK`` members, and a task verifies two blocks of a bucket
    on the full sets. It emits each member's number of links and a spanning forest of them, so a
@@ -31,6 +31,11 @@ from .common import discard, stored
 BLOCK = 128
 BLOOM_BITS = 26
 FLAT_BYTES = 1 << 20
+#: Items are shingled in parts of this size together: the arrays of a part stay in a core's cache.
+PART_BYTES = 1 << 16
+#: Band hashes of a group that one task looks through at once, about; and those a task packs at once.
+GROUP_HASHES = 1 << 19
+PACKED_HASHES = 1 << 20
 HELD_KEYS = 200_000
 _P = 0x9E3779B97F4A7C15
 
@@ -44,7 +49,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h * np.uint64(_P)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -79,10 +85,10 @@ def spans_for(size: int) -> Spans:
 
 
 def flat_parts(contents: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of items of about ``FLAT_BYTES`` together."""
+    """Ranges of items of about ``PART_BYTES`` together."""
     begin = held = 0
     for i, c in enumerate(contents):
-        if held and held + len(c) > FLAT_BYTES:
+        if held and held + len(c) > PART_BYTES:
             yield begin, i
             begin, held = i, 0
         held += len(c) + 1
@@ -127,11 +133,33 @@ def char_shingles(contents: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray
         size = np.diff(np.searchsorted(at, np.cumsum(size)), prepend=0)
     ends = np.cumsum(size)
     count = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
-    start = np.arange(int(count.sum())) + np.repeat(ends - size - (np.cumsum(count) - count), count)
-    end = np.minimum(start + n, np.repeat(ends, count))
+    sums, down = spans.sums(data), spans.down[: len(data)]
     if at is not None:
-        start, end = at[start], at[end]
-    return spans.hashed(spans.sums(data), start, end), count
+        sums, down = sums[at], down[at[:-1]]
+    # one of each character; those that would reach into the next item are left out
+    h = np.zeros(len(down), dtype=np.uint64)
+    if len(h) >= n:
+        np.subtract(sums[n:], sums[:-n], out=h[: len(h) - n + 1])
+    h *= down
+    begin, end = (ends - size)[size > 0], ends[size > 0]
+    inside = np.ones(len(h), dtype=bool)
+    inside[np.maximum(end[:, None] - np.arange(1, n), 0)] = False
+    short = end - begin < n
+    begin, end = begin[short], end[short]
+    h[begin] = (sums[end] - sums[begin]) * down[begin]
+    inside[begin] = True
+    return mix(h[inside]), count
+
+
+def distinct(hashes: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Each item's different hashes in order; ``hashes`` is sorted in place, item by item."""
+    ends = np.cumsum(count)
+    for part in np.split(hashes, ends[:-1]):
+        part.sort()
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[(ends - count)[count > 0]] = True
+    return np.split(hashes[new], np.append(0, np.cumsum(new))[ends[:-1]])
 
 
 def signatures(shingles: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -189,6 +217,69 @@ def _key_longs(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2)[:, 0].astype(np.int64)
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary column of longs, cut before each of ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    """All longs of a binary column without nulls, one row after the other."""
+    if not len(column):
+        return np.empty(0, dtype=np.int64)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(np.int64) if data else np.empty(0, dtype=np.int64)
+
+
+def _by_hash(h: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in unsigned order with their tags, each at most twice; one with different tags keeps two of these."""
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    h, tag = h[order], tag[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])
+    h, tag = h[new], tag[new]
+    two = np.ones(len(h), dtype=bool)
+    two[2:] = h[2:] != h[:-2]
+    return h[two], tag[two]
+
+
+def shared_bands(signed: DataFrame, bands: int) -> DataFrame:
+    """``h``: band hashes that belong to two different items of ``signed`` (``k``, ``bands`` packed), each once.
+
+    Hashes travel packed, by their leading bits, in groups of about ``GROUP_HASHES``. A task sends each hash at most
+    twice of ``PACKED_HASHES``, so a group stays small however many items share one. Items are told apart by 64 bits of their keys."""
+    bits = (signed.count() * bands // GROUP_HASHES).bit_length()
+    borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, dtype=np.uint64)
+
+    def packed(h: list[np.ndarray], tag: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, tags = _by_hash(np.concatenate(h), np.concatenate(tag))
+        ends = np.append(np.searchsorted(hashes, borders), len(hashes))
+        some = np.flatnonzero(np.diff(ends, prepend=0))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _packed(hashes, ends[some]), _packed(tags, ends[some])], names=["g", "h", "tag"])
+
+    def pack(batches):
+        h, tag, held = [], [], 0
+        for batch in batches:
+            h.append(_longs(batch.column("bands")).copy())
+            tag.append(np.repeat(_longs(batch.column("k"))[::2], bands))
+            held += len(h[-1])
+            if held > PACKED_HASHES:
+                yield packed(h, tag)
+                h, tag, held = [], [], 0
+        if held:
+            yield packed(h, tag)
+
+    def meet(group: pa.Table) -> pa.Table:
+        parts = [[_longs(c) for c in group.column(name).chunks] for name in ("h", "tag")]
+        h, _ = _by_hash(*map(np.concatenate, parts))
+        return pa.table({"h": h[1:][h[1:] == h[:-1]].view(np.int64)})
+
+    own = signed.filter("bands IS NOT NULL").select("k", "bands")
+    return own.mapInArrow(pack, "g int, h binary, tag binary").groupBy("g").applyInArrow(meet, "h long")
+
+
 class _Links:
     """What the cells of a task have found: degrees, and links that join what was apart."""
 
@@ -278,7 +369,9 @@ def _verify_cell(rows: list[tuple], sets: list[np.ndarray], pairs: tuple[np.ndar
     """Compare the open pairs; ``sets`` are given for the rows that have one."""
     left, right, open_ = pairs
     if open_ is _TWO_OPEN:
-        common = len(set(sets[0].tolist()).intersection(sets[1].tolist()))
+        both = np.concatenate(sets)
+        both.sort()
+        common = np.count_nonzero(both[1:] == both[:-1])
         if common >= threshold * (len(sets[0]) + len(sets[1]) - common) - 1e-9:
             links.link(rows[0][4], rows[1][4])
         return
@@ -355,7 +448,7 @@ def similar(
     """Pairs of different items with Jaccard similarity of at least ``threshold``.
 
     ``source(batch) -> (keys, contents, more)`` names the items of an Arrow batch of ``rows``, with
-    arrays of further columns (declared in ``extra``); ``shingle(contents) -> (hashes, counts)`` gives
+    arrays of further columns (declared in ``extra``, unused for batches of ``text`` alone); ``shingle(contents) -> (hashes, counts)`` gives
     their shingles. Returns the links and, with ``extra``, the items. Links are ``k, deg, other``: rows without ``other``
     (only with ``degrees``) add ``deg`` links to item ``k``; rows with it are links that connect the components. Items
     (``k`` and the further columns) are those with shingles; the others have no links.
@@ -376,24 +469,23 @@ def similar(
                 found.append(signatures(hashes, count, bands, band_rows))
                 some += [first[a + i] for i in np.flatnonzero(count > 0)]
             flat = np.concatenate(found).reshape(-1)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, bands, dtype=np.int32), flat)
+            lists = _packed(flat, np.arange(bands, len(flat) + 1, bands))
             signed_keys = set(map(keys.__getitem__, some))
             again = [i for i, k in enumerate(keys) if seen[k] != i and k in signed_keys]
-            for at, of in ((some, lists), (again, pa.nulls(len(again), pa.list_(pa.int64())))):
+            for at, of in ((some, lists), (again, pa.nulls(len(again), pa.binary()))):
                 if at:
                     take = pa.array(at, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), of, *[x.take(take) for x in more.values()]], names=["k", "bands", *more])
 
-    signed = stored(rows.mapInArrow(sign, "k binary, bands array<long>" + (f", {extra}" if extra else "")), "signatures")
-    twice = signed.select(F.explode("bands").alias("bk")).groupBy("bk").count().filter("count > 1")
-    held = spark.sparkContext.broadcast(bloom(twice, F.col("bk")))
+    signed = stored(rows.mapInArrow(sign, "k binary, bands binary" + (f", {extra}" if extra else "")), "signatures")
+    held = spark.sparkContext.broadcast(bloom(shared_bands(signed, bands), F.col("h")))
     once = signed.filter("bands IS NOT NULL").select("k", "bands")
 
     def survivors(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column("bands").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = _longs(batch.column("bands"))
             ok = np.flatnonzero(may_hold(held.value, flat))
             keys = batch.column("k").take(pa.array(ok // bands))
             yield pa.RecordBatch.from_arrays([keys, pa.array(flat[ok])], names=["k", "bk"])
@@ -421,7 +513,7 @@ def similar(
                 names=["k", "content"],
             )
 
-    content = rows.mapInArrow(fetch, "k binary, content binary").groupBy("k").agg(F.first("content").alias("content"))
+    content = rows.select("text").mapInArrow(fetch, "k binary, content binary").groupBy("k").agg(F.first("content").alias("content"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     cells = members.join(lists.join(content, "k"), "k").withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int"))
     cells = cells.select("bk", "k", "bs", "content", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
@@ -430,8 +522,7 @@ def similar(
     cells = cells.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j")
 
     def sets_of(contents):
-        hashes, count = shingle(contents)
-        return [np.unique(part) for part in np.split(hashes, np.cumsum(count)[:-1])]
+        return distinct(*shingle(contents))
 
     found = cells.mapInArrow(lambda it: _verify(it, sets_of, threshold, degrees), "k binary, deg long, other binary")
     links = stored(found, "links")

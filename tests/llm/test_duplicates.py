@@ -166,6 +166,45 @@ def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+@pytest.mark.parametrize("packed, group", [(1 << 20, 1 << 19), (30, 8)])
+def test_shared_bands_are_those_of_different_items(spark, packed, group, monkeypatch):
+    """Copies of one item share no band, however often they are signed; many items of one band count as two."""
+    monkeypatch.setattr(minhash, "PACKED_HASHES", packed)
+    monkeypatch.setattr(minhash, "GROUP_HASHES", group)
+    rng, bands = random.Random(4), 3
+    items = [(hashlib.md5(b"%d" % i).digest(), [rng.randrange(-(1 << 63), 1 << 63), rng.choice([5, -5, 7 + i]), rng.randrange(-40, 40) << 55]) for i in range(60)]
+    rows = [i for i in items for _ in range(rng.choice([1, 1, 2, 5]))]
+    rng.shuffle(rows)
+    signed = spark.createDataFrame([(bytearray(k), bytearray(np.array(b, dtype=np.int64).tobytes())) for k, b in rows] + [(bytearray(16), None)], "k binary, bands binary")
+    owners = collections.defaultdict(set)
+    for k, b in items:
+        for h in b:
+            owners[h].add(k)
+    got = [r.h for r in minhash.shared_bands(signed.repartition(3), bands).collect()]
+    assert sorted(got) == sorted(h for h, k in owners.items() if len(k) > 1)
+    assert minhash.shared_bands(signed.filter("bands IS NULL"), bands).collect() == []
+
+
+def test_distinct_hashes_of_each_item():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        count = rng.integers(0, 6, rng.integers(1, 8))
+        hashes = rng.integers(0, 5, count.sum()).astype(np.uint64)
+        want = [np.unique(p).tolist() for p in np.split(hashes, np.cumsum(count)[:-1])]
+        assert [p.tolist() for p in minhash.distinct(hashes.copy(), count)] == want
+
+
+def test_lines_that_stand_alone_go_no_further(spark, monkeypatch):
+    """What is stored for the choice of first lines are repeated and linked lines only."""
+    import llm.linededup as linededup
+
+    kept, own = {}, linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name: kept.setdefault(name, own(df, name)))
+    rows = [(i, f"line number {i} of its own, {passage(random.Random(i), 12)}\nthe same line everywhere") for i in range(20)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.lines_dropped for r in got) == 19 and kept["each"].count() == 1
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     long = [(200 + i, "\n".join(passage(rng, 6) for _ in range(n)), "en", "s", 0, "", "", 0, 0.0, "") for i, n in enumerate((300, 310, 40, 1))]
