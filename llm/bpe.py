@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_key
-from .minhash import _key_longs, bloom, flat_parts, key_long, may_hold, spans_for
+from .minhash import FLAT_BYTES, _key_longs, bloom, flat_parts, key_long, may_hold, spans_for
 
 WINDOW = 16
 MEAN_CHUNK = 512
@@ -136,6 +137,19 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
                     yield i, p, c, hashlib.blake2b(c, digest_size=16).digest()
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``FLAT_BYTES`` of ``column`` (no nulls). Chunks and ids take a dozen times the
+    memory of their text, so a worker holds them for a piece at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            held = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, held + FLAT_BYTES, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def assemble(text: bytes, hits: list[tuple[int, int, list[int]]], coder: Coder) -> list[int]:
     """Ids of a text from the exact middles of known chunks (begin, end, ids); what lies between
     them, the joins included, is encoded again."""
@@ -165,7 +179,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         return [t.encode("utf-8") for t in batch.column("text").to_pylist()]
 
     def digests(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([d for *_, d in chunks(raw(batch))], pa.binary())], names=["c"])
 
     shared = docs.select("text").mapInArrow(digests, "c binary").groupBy("c").count().filter("count > 1")
@@ -179,7 +193,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
 
     def contents(batches):
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for _, _, c, d in held(raw(batch)):
                 if d not in sent:
@@ -192,7 +206,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
 
     def encode_once(batches):
         coder = Coder(path)
-        for batch in batches:
+        for batch in slices(batches, "content"):
             out = []
             for d, c in zip(batch.column("c").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if found := safe_range(c):
@@ -206,7 +220,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     codes = stored(once.mapInArrow(encode_once, "c binary, a int, b int, ids binary"), "codes")
 
     def places(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys, out = batch.column("d").to_pylist(), []
             for i, p, _, d in held(raw(batch)):
                 out.append((keys[i], p, d))
@@ -224,20 +238,20 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         """Rows whose texts hold no chunk that may be shared, encoded where they lie."""
         coder = Coder(path)
         row = finish(coder)
-        for batch in batches:
+        for batch in slices(batches):
             texts = raw(batch)
             joined = {i for i, *_ in held(texts)}
             ids = batch.column("id").to_pylist()
             yield from row([(ids[i], t, coder.encode(t.decode("utf-8"))) for i, t in enumerate(texts) if i not in joined])
 
     def with_others(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.take(pa.array(sorted({i for i, *_ in held(raw(batch))}), pa.int64()))
 
     def joined(batches):
         coder = Coder(path)
         row = finish(coder)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, t, h in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "hits")), strict=True):
                 t = t.encode("utf-8")

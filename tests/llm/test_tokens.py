@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import documents, frame, ordered, passage
 from tokenizers import Tokenizer
@@ -100,6 +101,32 @@ def test_other_tokenizers_are_refused():
     assert bpe.MEAN_CHUNK > bpe.LEAST_CHUNK > bpe.WINDOW
 
 
+def test_work_is_done_on_slices_of_bounded_text():
+    """All rows once and in order, in pieces of a bounded size but for longer texts."""
+    texts = ["", "x" * bpe.FLAT_BYTES, "", "é" * bpe.FLAT_BYTES, *["y" * 1000] * 5000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = list(bpe.slices([batch, batch.slice(2, 3), batch.slice(0, 0)]))
+    assert [i for b in got for i in b.column("id").to_pylist()] == [*range(len(texts)), 2, 3, 4]
+    sizes = [sum(len(t.encode()) for t in b.column("text").to_pylist()) for b in got]
+    assert max(s for s, b in zip(sizes, got, strict=True) if b.num_rows > 1) <= bpe.FLAT_BYTES and len(got) < 12
+
+
+def test_a_task_holds_the_ids_of_a_slice_at_a_time(spark, plain, monkeypatch):
+    """Of one batch of rows several come out, so never are all its ids held."""
+    monkeypatch.setattr(bpe, "FLAT_BYTES", 300)
+    rows = [(i, f"{i} some words of document {i}, no two of which are alike " * 2) for i in range(40)]
+
+    def finish(coder):
+        def row(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)] * len(rows), pa.int64())], names=["held"])
+
+        return row
+
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = [r.held for r in bpe._encoded(docs, BYTE, finish, "held long").collect()]
+    assert len(got) == 40 and max(got) <= 3
+
+
 @pytest.mark.parametrize("block_ids", [50, 1 << 20])
 def test_token_store(spark, plain, block_ids):
     rows = documents()
