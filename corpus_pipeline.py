@@ -77,7 +77,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     just the lines in which it differs. Documents are therefore compared twice: as they are, and by
     their whole texts in ``documents`` of ``sf_dir`` (not if that is empty: a table made elsewhere)."""
     left = keep_one(docs)
-    return keep_one_of_whole(left, table(spark, sf_dir, "documents")) if sf_dir else left
+    # stored, since the second comparison reads the ids and the rows
+    return keep_one_of_whole(stored(left, "left"), table(spark, sf_dir, "documents")) if sf_dir else left
 
 
 @_stage(3)

@@ -86,7 +86,8 @@ def keep_one_of_whole(docs: DataFrame, whole: DataFrame, id_col: str = "doc_id",
     whole texts stays if one of them does.
     """
     ids = docs.select(F.col(id_col).alias("id")).distinct()
-    at_hand = whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    # read three times: without the table, texts would be shuffled as often
+    at_hand = stored(whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "whole")
     classes = jaccard_classes(at_hand, "id", "text").groupBy("id").agg(F.max("kept").alias("kept"))
     gone = classes.filter("NOT kept").select(F.col("id").alias("gone_id"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 from fixtures import documents, frame, ordered, passage
+from pyspark.sql import functions as F
 
 from llm import minhash
 from llm.common import components
@@ -91,6 +92,18 @@ def test_one_of_each_group_stays(spark):
     assert sorted(repr(g) for g in got if not shingled(g[1])) == sorted(repr((r[0], r[1])) for r in rows if not shingled(r[1]))
 
 
+def test_whole_texts_at_hand_are_gathered_once(spark, monkeypatch):
+    """The comparison of whole texts reads a stored table three times, so texts are not shuffled for each."""
+    import llm.neardup as neardup
+
+    made, own = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: made.append(name) or own(df, name))
+    whole = spark.createDataFrame([(i, passage(random.Random(i % 4), 30)) for i in range(8)], "doc_id long, text string")
+    left = whole.filter("doc_id <> 1").withColumn("text", F.lit("what is left"))
+    assert sorted(r.doc_id for r in neardup.keep_one_of_whole(left, whole).collect()) == [0, 2, 3, 5]
+    assert made.count("whole") == 1
+
+
 def test_empty_tables(spark):
     empty = frame(spark, []).limit(0)
     assert jaccard_classes(empty).collect() == [] and keep_one(empty).collect() == []
