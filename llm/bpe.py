@@ -137,15 +137,15 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
                     yield i, p, c, hashlib.blake2b(c, digest_size=16).digest()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``FLAT_BYTES`` of ``column`` (no nulls). Chunks and ids take a dozen times the
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` (``FLAT_BYTES``) bytes of ``column`` (no nulls). Chunks and ids take a dozen times the
     memory of their text, so a worker holds them for a piece at a time."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < batch.num_rows:
             held = int(ends[begin - 1]) if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, held + FLAT_BYTES, side="right")))
+            end = max(begin + 1, int(np.searchsorted(ends, held + (size or FLAT_BYTES), side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
 

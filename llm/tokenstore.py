@@ -30,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import slices
+
 BLOCK_IDS = 1 << 20
 LEAST_COUNT = 4
 LEAST_GAIN = 0.005
 CACHED_WORDS = 500_000
+SLICE_BYTES = 8 << 20  # of text that are encoded together; arrays take a dozen times that
 SHORT_TEXT = 200  # characters: below, the arrays cost more than looking up each word
 LONG_WORD = 1000  # characters: ``tiktoken`` may merge a word in time that grows with the square of its length
 CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 LETTER, DIGIT, OTHER = 1, 2, 3
 WORD_END = "\x01"  # stands for the model's end-of-word suffix; not a common character
+ODD_PIECE = "\x02"  # stands for a piece that goes to the library as it is; not a common character
 # what ``Pieces`` splits itself; other files are left to the library piece by piece
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = [
@@ -71,9 +75,9 @@ class Pieces:
     Exact where the file's pre-tokenizer drops white space and no added token holds any: blanks
     separate pieces that neither normalisation nor merges can join, which is checked on loading.
     Where the file splits words by ``SPLIT``, pieces of common characters are cut into words here: what is common is
-    asked of the library on loading, character by character (``_common``). ``tiktoken`` runs the merges of all words
-    of a text at once where that gives the model's own ids (``_merger``); else, in texts below ``SHORT_TEXT``
-    characters and in those with a word above ``LONG_WORD``, only new words go to the library's model.
+    asked of the library on loading, character by character (``_common``). Texts are cut together, and ``tiktoken``
+    runs the merges of their different words at once where that gives the model's own ids (``_merger``); else, for words
+    above ``LONG_WORD`` and for texts below ``SHORT_TEXT`` characters in all, only new words go to the library's model.
     Pieces with any other character or an added token go to the library as they are. Words and pieces
     that the library has met are kept, up to ``CACHED_WORDS``. It is called
     for one word or piece at a time: its batches start threads and hold all their encodings.
@@ -100,7 +104,7 @@ class Pieces:
         self.words = re.compile(f"{CONTRACTION.pattern}|[{letters}]+|[0-9]|[^ \\n0-9{letters}]+").findall if common else None
         self.merger = self._merger(path) if common else None
         self.kinds = np.zeros(COMMON_BLOCKS[-1].stop, dtype=np.uint8)  # by code point; blanks stay 0
-        for kind, chars in ((OTHER, self.image), (LETTER, map(ord, letters)), (DIGIT, range(48, 58))):
+        for kind, chars in ((OTHER, [*self.image, ord(ODD_PIECE)]), (LETTER, map(ord, letters)), (DIGIT, range(48, 58))):
             self.kinds[list(chars)] = kind
 
     @classmethod
@@ -173,6 +177,8 @@ class Pieces:
             if WORD_END.encode() not in own:
                 ranks[own + WORD_END.encode() * token.endswith(end)] = i
         ranks[WORD_END.encode()] = vocab[next(c for c, b in to_byte.items() if b == ord(WORD_END))]
+        self.last = np.zeros(len(vocab), dtype=bool)  # by id: the token ends a word
+        self.last[[i for token, i in vocab.items() if token.endswith(end)]] = True
         never = {2 * WORD_END: len(vocab)}  # an encoding without special tokens looks for the empty one
         return tiktoken.Encoding("words", pat_str=f"[^ \\n{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens=never)
 
@@ -192,47 +198,86 @@ class Pieces:
                 pass
         return not self.odd.search(text)
 
-    def _joined(self, text: str) -> bytes:
-        """Packed ids of a text of common characters."""
-        text = text.lower()
-        if self.merger is None or len(text) < SHORT_TEXT:
-            return b"".join(map(self.known.__getitem__, self.words(text)))
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-        kind = np.append(self.kinds[codes], 0)
+    def _packed(self, text: str) -> bytes:
+        """Packed ids of a text, each word or piece by itself."""
+        if self._is_common(text):
+            return b"".join(map(self.known.__getitem__, self.words(text.lower())))
+        out = []
+        for piece in text.replace("\n", " ").split(" "):
+            # no word holds what makes a piece odd, so both are told apart in one table
+            out += [self._odd(piece)] if self.odd.search(piece) else map(self.known.__getitem__, self.words(piece.lower()))
+        return b"".join(out)
+
+    def _odd(self, piece: str) -> bytes:
+        if piece not in self.known:
+            self.known[piece] = np.array(self._ids(piece), dtype=self.dtype).tobytes()
+        return self.known[piece]
+
+    def _merge(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Packed ids of words in UTF-16, blanks before them included, by one call of ``tiktoken``."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[1 : len(words) + 1] // 2
+        codes = np.frombuffer(words.buffers()[2], dtype="<u2")[: ends[-1]]
+        line = np.insert(codes, ends, ord(WORD_END)).tobytes().decode("utf-16-le")
+        ids = self.merger.encode_to_numpy(line, disallowed_special=())
+        return _binary(np.flatnonzero(self.last[ids]) + 1, ids.astype(self.dtype))
+
+    def _merged(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that are cut and merged together: of equal words one is merged."""
+        lines, odd = [], []
+        for text in texts:
+            if not self._is_common(text):
+                pieces = text.replace("\n", " ").split(" ")
+                for i, piece in enumerate(pieces):
+                    if self.odd.search(piece):
+                        odd.append(piece)
+                        pieces[i] = ODD_PIECE
+                text = " ".join(pieces)
+            lines.append(text.lower())
+        line = "\n".join(lines)
+        codes = np.frombuffer(line.encode("utf-16-le"), dtype="<u2")
+        kind = np.append(self.kinds[codes], np.uint8(0))
         end = (kind[:-1] != 0) & ((kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT))
-        if "'" in text:
+        if "'" in line:
             # others take an apostrophe along; behind anything else it may begin a word of its own
-            for m in CONTRACTION.finditer(text):
+            for m in CONTRACTION.finditer(line):
                 if not m.start() or kind[m.start() - 1] != OTHER:
                     end[m.start()], end[m.end() - 1] = False, True
         at = np.flatnonzero(end) + 1
         if not len(at):
-            return b""
-        if np.diff(at, prepend=0).max() > LONG_WORD:
-            return b"".join(map(self.known.__getitem__, self.words(text)))
-        line = np.insert(codes, at, ord(WORD_END)).tobytes().decode("utf-32-le")
-        return self.merger.encode_to_numpy(line, disallowed_special=()).astype(self.dtype).tobytes()
-
-    def _packed(self, text: str) -> bytes:
-        if self._is_common(text):
-            return self._joined(text)
-        out, common = [], []
-        for piece in text.replace("\n", " ").split(" "):
-            if self.odd.search(piece):
-                # no word holds what makes a piece odd, so both are told apart in one table
-                if piece not in self.known:
-                    self.known[piece] = np.array(self._ids(piece), dtype=self.dtype).tobytes()
-                out += self._joined(" ".join(common)), self.known[piece]
-                common = []
-            else:
-                common.append(piece)
-        return b"".join([*out, self._joined(" ".join(common))])
+            return [b""] * len(texts)
+        # a word takes along the blanks before it; long words and odd pieces are told apart as nulls
+        aside = (np.diff(at, prepend=0) > LONG_WORD) | (codes[at - 1] == ord(ODD_PIECE))
+        own = np.flatnonzero(aside)
+        words = _binary(at, codes, ~aside if len(own) else None).dictionary_encode()
+        coded, index = self._merge(words.dictionary), words.indices
+        if len(own):
+            pieces, begins = iter(odd), np.append(0, at)[own]
+            alone = (line[a:b].strip(" \n") for a, b in zip(begins.tolist(), at[own].tolist(), strict=True))
+            alone = [self._odd(next(pieces)) if word == ODD_PIECE else self.known[word] for word in alone]
+            index = index.fill_null(0).to_numpy().copy()
+            index[own] = len(coded) + np.arange(len(own))
+            coded, index = pa.concat_arrays([coded, pa.array(alone, pa.large_binary())]), pa.array(index)
+        out = coded.take(index)
+        stops = np.cumsum([len(t) + 1 for t in lines]) - 1  # of each text in the line
+        stops = np.frombuffer(out.buffers()[1], dtype=np.int64)[np.searchsorted(at, stops, side="right")].tolist()
+        packed = memoryview(out.buffers()[2] or b"")
+        return [bytes(packed[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in ``dtype``."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        return [self._packed(t) for t in texts]
+        if self.merger is None or sum(map(len, texts)) < SHORT_TEXT:
+            return [self._packed(t) for t in texts]
+        return self._merged(texts)
+
+
+def _binary(ends: np.ndarray, values: np.ndarray, valid: np.ndarray | None = None) -> pa.LargeBinaryArray:
+    """Array of the pieces of ``values`` that end before ``ends``."""
+    offsets, mask = np.append(0, ends) * values.itemsize, None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [mask, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,15 +292,20 @@ def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(seq) - 1)  # places of the pairs that may be frequent
     while len(at):
         bins = 1 << max(12, int(len(at)).bit_length())
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        bucket = ((pair * np.uint64(turn)) >> np.uint64(65 - bins.bit_length())).astype(np.int64)
+        # in place, and rows are taken by number: a mask that is half true costs more
+        pair = seq[at].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= seq[at + 1]
+        bucket = pair * np.uint64(turn)
+        bucket >>= np.uint64(65 - bins.bit_length())
+        bucket = bucket.view(np.int64)
         turn = turn * 0xD6E8FEB86659FD93 % (1 << 64)
-        many = (np.bincount(bucket, minlength=bins) >= LEAST_COUNT)[bucket]
+        many = np.flatnonzero((np.bincount(bucket, minlength=bins) >= LEAST_COUNT)[bucket])
         at, pair, bucket = at[many], pair[many], bucket[many]
         counted = np.zeros(bins, dtype=np.uint64)
         counted[bucket] = pair
         own = counted[bucket] == pair
-        count = np.bincount(bucket[own], minlength=bins)
+        count = np.bincount(bucket[np.flatnonzero(own)], minlength=bins)
         often = np.flatnonzero(count >= LEAST_COUNT)
         kinds = counted[often]
         order = np.lexsort((kinds, count[often]))
@@ -263,26 +313,30 @@ def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         # more frequent pairs win; among equals the one with the larger number
         rank = np.zeros(bins, dtype=np.int32)
         rank[often[order]] = np.arange(1, len(kinds) + 1)
-        here = np.where(own, rank[bucket], 0)
-        left, here, at = at[~own | (here > 0)], here[here > 0], at[here > 0]
+        here = rank[bucket]
+        here *= own
+        often = np.flatnonzero(here)
+        left, here, at = at[np.flatnonzero(~own | (here > 0))], here[often], at[often]
         weight = np.zeros(len(seq) + 2, dtype=np.int32)  # by place + 1, with zeros at either end
         weight[at + 1] = here
         before = weight[at]
         win = (here >= before) & (here >= weight[at + 2])
-        again = here == before
-        if again.any():
+        again = np.flatnonzero(here == before)
+        if len(again):
             # a run of one id holds the same pair again and again: every other one counts
-            number = np.arange(len(at))
-            win &= (number - np.maximum.accumulate(np.where(again, 0, number))) % 2 == 0
+            number = np.arange(len(again))
+            begin = np.maximum.accumulate(np.where(np.diff(again, prepend=-2) > 1, number, 0))
+            win[again[(number - begin) % 2 == 0]] = False
+        win = np.flatnonzero(win)
         good = np.bincount(here[win], minlength=len(kinds) + 1)[1:] >= LEAST_COUNT
-        win &= good[here - 1]
-        gain = int(win.sum())
-        if gain < max(LEAST_COUNT, LEAST_GAIN * len(seq)):
+        win = win[np.flatnonzero(good[here[win] - 1])]
+        if len(win) < max(LEAST_COUNT, LEAST_GAIN * len(seq)):
             break
         spot = at[win]
         seq[spot] = (np.cumsum(good) - 1 + new)[here[win] - 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[spot + 1] = False
+        keep = np.flatnonzero(keep)
         next_ = np.zeros(len(seq), dtype=bool)
         next_[left] = True
         next_[spot] = True
@@ -372,17 +426,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids
                rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(kind).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
-            part = some.column("part")[0].as_py()
-            for i, p in zip(some.column("id").to_pylist(), coder.encode(some.column("text").to_pylist()), strict=True):
-                ids.append(i)
-                packed.append(p + tail)
-                held += len(packed[-1]) // coder.dtype.itemsize
-                if held >= block_ids:
-                    yield flush()
-                    ids, packed, held, block = [], [], 0, block + 1
+    for batch in slices(batches, size=SLICE_BYTES):
+        part = batch.column("part")[0].as_py()
+        for i, p in zip(batch.column("id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
+            ids.append(i)
+            packed.append(p + tail)
+            held += len(packed[-1]) // coder.dtype.itemsize
+            if held >= block_ids:
+                yield flush()
+                ids, packed, held, block = [], [], 0, block + 1
     if ids:
         yield flush()
 

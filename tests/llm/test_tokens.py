@@ -11,7 +11,7 @@ import pytest
 from fixtures import documents, frame, ordered, passage
 from tokenizers import Tokenizer
 
-from llm import bpe
+from llm import bpe, tokenstore
 from llm.bpe import Coder, assemble, chunks, encode_digests, encode_ids, safe_range
 from llm.tokenstore import Pieces, decode_range, expand, expansion_lengths, read_documents, repair, write_tokens
 from meterline.session import scratch_path
@@ -197,6 +197,53 @@ def test_long_texts_equal_the_library(plain):
     assert got == [plain[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_equal_words_of_several_texts_are_merged_once(plain):
+    rng, coder, asked = random.Random(10), Pieces(WORD), []
+
+    class Merger:
+        def encode_to_numpy(self, line, **how):
+            asked.append(line)
+            return inner.encode_to_numpy(line, **how)
+
+    inner, coder.merger = coder.merger, Merger()
+    words = [passage(rng, 1) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(20)]
+    got = [np.frombuffer(b, dtype=coder.dtype).tolist() for b in coder.encode(texts)]
+    assert got == [plain[1].encode(t, add_special_tokens=False).ids for t in texts]
+    # a word may stand behind a blank, a line's end or another word
+    different = {w for t in texts for w, _ in plain[1].pre_tokenizer.pre_tokenize_str(plain[1].normalizer.normalize_str(t))}
+    assert len(asked) == 1 and asked[0].count("\x01") <= 3 * len(different)
+
+
+def test_texts_of_all_kinds_in_one_call(plain):
+    """Empty and blank texts, odd pieces, long words and the stand-ins themselves keep their places."""
+    rng, coder = random.Random(11), Pieces(WORD)
+    bits = ["", " ", "\n\n", " " * 1200, "漢字 and", "a\x01b", "\x02", "\x02 \x01", "<|endoftext|>", "it's", "IT'S 12", "x" * 1300, "é" * 1001 + "!", "𝒳 y", "word", "\t"]
+    for n in (1, 2, 5, 60):
+        for _ in range(40):
+            texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(n)] + ["x" * 200]
+            got = [np.frombuffer(b, dtype=coder.dtype).tolist() for b in coder.encode(texts)]
+            assert got == [plain[1].encode(t, add_special_tokens=False).ids for t in texts]
+    for texts in (["漢 " * 300], [" " * 300], ["", " " * 300, ""], ["x" * 3000], ["\x02" + " " * 300]):
+        got = [np.frombuffer(b, dtype=coder.dtype).tolist() for b in coder.encode(texts)]
+        assert got == [plain[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_are_encoded_by_bounded_text(plain, monkeypatch):
+    """A call gets rows up to a number of bytes, whatever their number."""
+    monkeypatch.setattr(tokenstore, "SLICE_BYTES", 5000)
+    held, encode = [], Pieces.encode
+    monkeypatch.setattr(Pieces, "encode", lambda self, texts: held.append(sum(map(len, texts))) or encode(self, texts))
+    texts = [f"text {i} " * (300 if i % 50 else 1) for i in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts), pa.array([0] * 100, pa.int32())], names=["id", "text", "part"])
+    blocks = [b.to_pylist()[0] for b in tokenstore._blocks(iter([rows, rows.slice(0, 0)]), WORD, 1, 1 << 20)]
+    assert sum(held) == sum(map(len, texts)) and max(held) <= 5000
+    want = [plain[1].encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert len(blocks) == 1 and blocks[0]["ids"] == list(range(100)) and blocks[0]["sizes"] == list(map(len, want))
+    symbols, rules, _ = tokenstore.unpack(blocks[0])
+    assert expand(symbols, rules, blocks[0]["first"]).tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("ids", [[], [5], [7] * 1000, [1, 2] * 300, list(range(50)) * 20, np.random.default_rng(1).integers(0, 9, 5000).tolist()])
 def test_repair_round_trip_and_random_access(ids):
     ids = np.array(ids, dtype=np.uint32)
