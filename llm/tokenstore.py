@@ -291,7 +291,7 @@ def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     seq, rules, new, turn = ids.astype(np.uint32), [], first, 0x9E3779B97F4A7C15
     at = np.arange(len(seq) - 1)  # places of the pairs that may be frequent
     while len(at):
-        bins = 1 << max(12, int(len(at)).bit_length())
+        bins = 1 << max(12, int(len(at)).bit_length() - 1)  # larger ones leave the processor's caches
         # in place, and rows are taken by number: a mask that is half true costs more
         pair = seq[at].astype(np.uint64)
         pair <<= np.uint64(32)
@@ -308,9 +308,9 @@ def repair(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         count = np.bincount(bucket[np.flatnonzero(own)], minlength=bins)
         often = np.flatnonzero(count >= LEAST_COUNT)
         kinds = counted[often]
-        order = np.lexsort((kinds, count[often]))
+        order = np.sort(count[often] << 32 | np.arange(len(often))) & 0xFFFFFFFF
         kinds = kinds[order]
-        # more frequent pairs win; among equals the one with the larger number
+        # more frequent pairs win; among equals the one in the later bucket
         rank = np.zeros(bins, dtype=np.int32)
         rank[often[order]] = np.arange(1, len(kinds) + 1)
         here = rank[bucket]

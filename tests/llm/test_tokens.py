@@ -244,6 +244,13 @@ def test_blocks_are_encoded_by_bounded_text(plain, monkeypatch):
     assert expand(symbols, rules, blocks[0]["first"]).tolist() == sum(want, [])
 
 
+def test_repair_of_equally_frequent_pairs_in_ascending_order():
+    """Ties are not broken by the symbols: each pair would lose to the next one."""
+    ids = np.tile(np.arange(1000), 40).astype("<u2")
+    symbols, rules = repair(ids, 1000)
+    assert (expand(symbols, rules, 1000) == ids).all() and len(symbols) + 2 * len(rules) < len(ids) / 4
+
+
 @pytest.mark.parametrize("ids", [[], [5], [7] * 1000, [1, 2] * 300, list(range(50)) * 20, np.random.default_rng(1).integers(0, 9, 5000).tolist()])
 def test_repair_round_trip_and_random_access(ids):
     ids = np.array(ids, dtype=np.uint32)
